@@ -20,7 +20,10 @@ class Sql:
     def __add__(self, other): return self._join("+", other)
     def __sub__(self, other): return self._join("-", other)
     def __mul__(self, other): return self._join("*", other)
-    def __truediv__(self, other): return self._join("/", other)
+    def __truediv__(self, other):
+        """Division; null instead of an error where the divisor is a zero price."""
+        return self._join("/", call("nullif", other, 0) if isinstance(other, Sql) else other)
+
     def __lt__(self, other): return self._join("<", other)
     def __le__(self, other): return self._join("<=", other)
     def __gt__(self, other): return self._join(">", other)

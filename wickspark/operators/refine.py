@@ -47,7 +47,7 @@ def entry_rules(ahead: int = 0) -> dict[str, Sql]:
     return {name: ready & rule for name, rule in rules.items()}
 
 
-def _hammer_low(strict_low: bool = True) -> Sql:
+def _hammer_low() -> Sql:
     c, o, l = Sql("_c0"), Sql("_o0"), Sql("_l0")
     return ((c > o) & (o / l < Sql(SMALL_BODY))) | ((c < o) & (c / l < Sql(SMALL_BODY)))
 
@@ -123,7 +123,7 @@ def up_hammer(bars: DataFrame) -> DataFrame:
     """Open of a hammer that closes or opens at its high, else 0."""
     rows = candles.frame(bars).select("code", "trade_date", "open", "high", "close",
                                       candles.pattern_value("CDLHAMMER").alias("_v"))
-    at_top = "abs(1 - close / high) < 0.001D OR abs(1 - open / high) < 0.001D"
+    at_top = "abs(1 - close / nullif(high, 0)) < 0.001D OR abs(1 - open / nullif(high, 0)) < 0.001D"
     return rows.selectExpr("code", "trade_date", f"IF(_v = 100 AND ({at_top}), open, 0D) AS hammer")
 
 

@@ -44,7 +44,7 @@ def outcomes(bars: DataFrame, hold: int = HOLD_DAYS, combined: bool = False) ->
     look = base.selectExpr(
         "*", *[f"lead(struct(open AS o, close AS c, trade_date AS d), {k}) {W} AS _x{k}" for k in ahead],
         f"max(bar_idx) {WHOLE} AS last_idx")
-    breach = " ".join(f"WHEN _x{k + 1}.c / _x1.o - 1 <= {STOP_LOSS}D THEN {k}" for k in range(1, stop_bars + 1))
+    breach = " ".join(f"WHEN _x{k + 1}.c / nullif(_x1.o, 0) - 1 <= {STOP_LOSS}D THEN {k}" for k in range(1, stop_bars + 1))
     look = look.selectExpr(
         "*", f"array({', '.join(f'_x{k}' for k in ahead)}) AS _path",
         f"array({', '.join(f'_x{k}.c' for k in ahead)}) AS _closes",
@@ -207,9 +207,9 @@ def marked_returns(marks_: DataFrame, cash: float = START_CASH, keys: Iterable[s
     """W8 + W9 on the marks: return against the previous equity, running peak, drawdown."""
     part = f"OVER (PARTITION BY {', '.join(keys)} ORDER BY bar_idx"
     return marks_.selectExpr(
-        "*", f"equity / lag(equity, 1, {cash}D) {part}) - 1 AS daily_return",
+        "*", f"equity / nullif(lag(equity, 1, {cash}D) {part}), 0) - 1 AS daily_return",
         f"greatest(max(equity) {part} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), {cash}D) AS peak",
-    ).selectExpr("*", "(peak - equity) / peak * 100 AS drawdown")
+    ).selectExpr("*", "(peak - equity) / nullif(peak, 0) * 100 AS drawdown")
 
 
 def equity_curve(bars: DataFrame, trades: DataFrame, cash: float = START_CASH) -> DataFrame:

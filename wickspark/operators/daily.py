@@ -53,12 +53,10 @@ def day_errors(requested: DataFrame, bars: DataFrame, day) -> DataFrame:
 def sell_gate(signals: DataFrame, held: DataFrame, keep_when_empty: bool = True) -> DataFrame:
     """Sells only for held codes; an empty held list keeps all sells (or none, by the flag).
 
-    The emptiness is a one-row aggregate joined to the signals, so nothing runs on the driver."""
+    The emptiness test is a scalar subquery of the plan, so nothing runs on the driver."""
     known = held.select("code").distinct().withColumn("_h", F.lit(True))
-    size = held.agg(F.count("*").alias("_n"))
-    j = signals.join(known, "code", "left").join(F.broadcast(size))  # one row
-    empty = (F.col("_n") == 0) & F.lit(keep_when_empty)
-    return j.filter((F.col("side") == "buy") | F.col("_h") | empty).drop("_h", "_n")
+    empty = (held.agg(F.count("*")).scalar() == 0) & F.lit(keep_when_empty)
+    return signals.join(known, "code", "left").filter((F.col("side") == "buy") | F.col("_h") | empty).drop("_h")
 
 
 def attach_performance(signals: DataFrame, performance: DataFrame) -> DataFrame:

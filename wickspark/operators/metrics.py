@@ -290,15 +290,18 @@ def tracking_summary(signals: DataFrame, targets: DataFrame) -> DataFrame:
     """One row of totals for a tracking day.
 
     signals: (code, side, win_rate, tier); targets: (code, is_index, failed)."""
-    s = signals.agg(
-        F.countDistinct("code").alias("codes_with_signals"), F.count_if(F.col("side") == "buy").alias("buy_count"),
-        F.count_if((F.col("side") == "buy") & (F.col("tier") == "strong")).alias("strong_buy_count"),
-        F.count_if((F.col("side") == "buy") & (F.col("tier") == "recommend")).alias("recommend_buy_count"),
-        F.count_if((F.col("side") == "buy") & (F.col("tier") == "other")).alias("other_buy_count"),
+    s = signals.select("code", "side", "win_rate", "tier", F.lit(None).cast("boolean").alias("is_index"),
+                       F.lit(None).cast("boolean").alias("failed"))
+    t = targets.select("code", F.lit(None).cast("string").alias("side"), F.lit(None).cast("double").alias("win_rate"),
+                       F.lit(None).cast("string").alias("tier"), "is_index", "failed")
+    buy = F.col("side") == "buy"
+    return s.unionByName(t).agg(
+        F.count("failed").alias("total"), F.count_if(~F.col("failed")).alias("success"),
+        F.count_if(F.col("failed")).alias("failed"), F.count_if(F.col("is_index")).alias("index_count"),
+        F.count_if(~F.col("is_index")).alias("stock_count"),
+        F.countDistinct(F.when(F.col("side").isNotNull(), F.col("code"))).alias("codes_with_signals"),
+        F.count_if(buy).alias("buy_count"), F.count_if(buy & (F.col("tier") == "strong")).alias("strong_buy_count"),
+        F.count_if(buy & (F.col("tier") == "recommend")).alias("recommend_buy_count"),
+        F.count_if(buy & (F.col("tier") == "other")).alias("other_buy_count"),
         F.count_if(F.col("side") == "sell").alias("sell_count"),
-        F.round(F.avg(F.when(F.col("side") == "buy", F.col("win_rate"))), 2).alias("avg_win_rate"))
-    t = targets.agg(F.count("*").alias("total"), F.count_if(~F.col("failed")).alias("success"),
-                    F.count_if(F.col("failed")).alias("failed"), F.count_if(F.col("is_index")).alias("index_count"),
-                    F.count_if(~F.col("is_index")).alias("stock_count"))
-    one = F.lit(1).alias("_one")  # two one-row aggregates side by side
-    return t.select("*", one).join(s.select("*", one), "_one").drop("_one")
+        F.round(F.avg(F.when(buy, F.col("win_rate"))), 2).alias("avg_win_rate"))

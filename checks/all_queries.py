@@ -1,3 +1,3 @@
 """Import every module that registers queries."""
 
-from checks import signal_queries  # noqa: F401
+from checks import signal_queries, table_queries, trade_queries  # noqa: F401

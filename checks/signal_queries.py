@@ -179,7 +179,7 @@ add("rule_indicator_union_v2", lambda s, d: R.indicator_union_v2(A.bars(s, d)).f
     "FROM q) WHERE buy_signal IS NOT NULL OR sell_signal IS NOT NULL")
 _CB = [p for p, _ in R.COMBO_BUYS]
 _RANK_B = "CASE g.pattern " + " ".join(f"WHEN '{p}' THEN {i}" for i, p in enumerate(_CB)) + " END"
-_RANK_S = "CASE g.pattern " + " ".join(f"WHEN '{p}' THEN {i}" for i, p in enumerate(R.COMBO_SELLS)) + " END"
+_RANK_S = "CASE g.pattern " + " ".join(f"WHEN '{p}' THEN {i}" for p, i in {p: i for i, p in enumerate(R.COMBO_SELLS)}.items()) + " END"
 _ALLC = tuple(dict.fromkeys(_CB + list(R.COMBO_SELLS)))
 add("rule_pattern_combo", lambda s, d: R.pattern_combo(A.bars(s, d)).filter("buy OR sell").select("code", "trade_date", "buy_signal", "sell_signal"),
     S.with_(S.BARS, _NUM, _LAGS, S.sig(_ALLC),

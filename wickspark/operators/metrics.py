@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from wickspark.functions.codes import perf_group
 from wickspark.model import (BUY_CLASS, HOLD_DAYS, INVEST_FRACTION, LOT, MIN_YEARS, PATTERN_NAMES,
                              SELL_CLASS, START_CASH, YEAR_BARS)
+from wickspark.operators import candles
 from wickspark.operators import trades as T
 from wickspark.operators.trades import KEYS
 
@@ -222,7 +223,8 @@ def segment_summary(results: DataFrame) -> DataFrame:
     worst = F.min_by("segment_id", F.struct("return_pct", "segment_id"))
     return (results.rollup("code", "type").agg(
         F.count("*").alias("segments"), F.count_if(F.col("return_pct") > 0).alias("positive"),
-        F.round(F.sum("return_pct"), 2).alias("total_return"), F.round(F.avg("return_pct"), 2).alias("avg_return"),
+        F.round(F.sum("return_pct"), 2).alias("total_return"),
+        F.round(F.round(F.sum("return_pct"), 2) / F.count("return_pct"), 2).alias("avg_return"),
         F.sum("trades").alias("trades"),
         F.coalesce(F.bround(F.sum("won") / F.nullif(F.sum("trades"), F.lit(0)) * 100, 0), F.lit(0.0)).alias("win_rate"),
         best.alias("best_segment"), worst.alias("worst_segment"))
@@ -262,12 +264,9 @@ def observe_day_sweep(bars: DataFrame, names: Iterable[str], days: Iterable[int]
     Patterns are found once; the look-ahead of the longest period serves all shorter ones."""
     names = tuple(names)
     days = tuple(days)
-    from wickspark.operators import candles
-    look = bars
-    for n in days:
-        o = T.outcomes(look, n)
-        keep = [c for c in o.columns if c not in ("_buy", "_sell", "last_idx")]
-        look = o.select(*keep, F.struct("_buy", "_sell").alias(f"_h{n}_"))
+    base = candles.bar_index(bars)
+    look = T.look_ahead(base, max(days)).selectExpr(*base.columns, *[
+        f"named_struct('_buy', {T.outcome_text(n, 'buy')}, '_sell', {T.outcome_text(n, 'sell')}) AS _h{n}_" for n in days])
     carried = [f"_h{n}_" for n in days]
     rows = candles.frame(look).select("code", "trade_date", "bar_idx", *carried, candles.values(names).alias("_values"))
     long = candles.unpivot(rows, names, "code", "trade_date", "bar_idx", *carried)

@@ -35,6 +35,8 @@ def entry_rules(ahead: int = 0) -> dict[str, Sql]:
 
     o, h, l, c = (lambda k, n=n: p(n, k) for n in "ohlc")
     ready = Sql(f"bar_idx + {ahead}") >= 3
+    if ahead:
+        ready = ready & Sql(f"lead(bar_idx, {ahead}) {W} IS NOT NULL")
     falling = (c(1) < o(1)) & (c(1) < c(2)) & (c(2) < c(3)) & (c(0) < c(1))
     rules = {
         "CDLSEPARATINGLINES": (c(2) > c(3)) & (c(0) > o(0)),

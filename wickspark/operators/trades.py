@@ -30,45 +30,50 @@ WHOLE = ("OVER (PARTITION BY code ORDER BY trade_date "
 
 # --- T1, T3, T4, T8: the outcome of entering on the bar after this one --------------------------
 
+def look_ahead(bars: DataFrame, longest: int) -> DataFrame:
+    """Bars + the next longest + 2 bars as columns `_x1`.. and arrays, `last_idx`, bars left `_n`."""
+    ahead = range(1, longest + 3)
+    look = bar_index(bars).selectExpr(
+        "*", *[f"lead(struct(open AS o, close AS c, trade_date AS d), {k}) {W} AS _x{k}" for k in ahead],
+        f"max(bar_idx) {WHOLE} AS last_idx")
+    return look.selectExpr("*", f"array({', '.join(f'_x{k}' for k in ahead)}) AS _path",
+                           f"array({', '.join(f'_x{k}.c' for k in ahead)}) AS _closes", "last_idx - bar_idx AS _n")
+
+
+def outcome_text(hold: int, side: str, combined: bool = False) -> str:
+    """Struct of the position opened at the next bar's open; null where none can be opened.
+
+    Offsets count from the entry bar, which is one after the signal bar."""
+    stop_bars = hold - 1 if combined else hold
+    free_after_hold = hold if combined else hold + 1
+    held_at_hold = hold if combined else hold + 1
+    breach = " ".join(f"WHEN _x{k + 1}.c / nullif(_x1.o, 0) - 1 <= {STOP_LOSS}D THEN {k}" for k in range(1, stop_bars + 1))
+    stop = f"(CASE {breach} END)" if side == "buy" and breach else "CAST(NULL AS INT)"
+    kind = (f"CASE WHEN {stop} IS NOT NULL AND _n >= {stop} + 2 THEN 'stop' "
+            f"WHEN {stop} IS NULL AND _n >= {hold + 1} THEN 'hold' ELSE 'end' END")
+    off = f"CASE {kind} WHEN 'stop' THEN {stop} + 1 WHEN 'hold' THEN {hold} ELSE _n - 1 END"
+    exit_bar = f"element_at(_path, greatest({off}, 0) + 1)"
+    held = f"CASE {kind} WHEN 'stop' THEN {stop} + 1 WHEN 'hold' THEN {held_at_hold} ELSE _n END"
+    free = (f"CASE {kind} WHEN 'stop' THEN bar_idx + 1 + {stop} + 1 "
+            f"WHEN 'hold' THEN bar_idx + 1 + {free_after_hold} ELSE {NEVER} END")
+    return (f"CASE WHEN _n >= 1 AND _x1.o > 0 THEN named_struct("
+            f"'entry_idx', bar_idx + 1, 'entry_date', _x1.d, 'entry_price', _x1.o, "
+            f"'exit_idx', bar_idx + 1 + ({off}), 'exit_date', {exit_bar}.d, "
+            f"'exit_price', CASE WHEN {kind} = 'end' THEN {exit_bar}.c ELSE {exit_bar}.o END, "
+            f"'exit_reason', {kind}, 'held_bars', {held}, 'next_free', {free}, 'last_idx', last_idx, "
+            f"'closes', slice(_closes, 1, greatest({held}, 0))) END")
+
+
 def outcomes(bars: DataFrame, hold: int = HOLD_DAYS, combined: bool = False) -> DataFrame:
     """Bars + `_buy` and `_sell`: where a position opened at the next bar's open would end.
 
     combined=True is the one-account variant (T9): the hold exit of bar e+hold comes before the
     stop test of that bar, and a new entry may share the exit bar.
     """
-    stop_bars = hold - 1 if combined else hold
-    free_after_hold = hold if combined else hold + 1
-    held_at_hold = hold if combined else hold + 1
-    ahead = range(1, hold + 3)
     base = bar_index(bars)
-    look = base.selectExpr(
-        "*", *[f"lead(struct(open AS o, close AS c, trade_date AS d), {k}) {W} AS _x{k}" for k in ahead],
-        f"max(bar_idx) {WHOLE} AS last_idx")
-    breach = " ".join(f"WHEN _x{k + 1}.c / nullif(_x1.o, 0) - 1 <= {STOP_LOSS}D THEN {k}" for k in range(1, stop_bars + 1))
-    look = look.selectExpr(
-        "*", f"array({', '.join(f'_x{k}' for k in ahead)}) AS _path",
-        f"array({', '.join(f'_x{k}.c' for k in ahead)}) AS _closes",
-        "last_idx - bar_idx AS _n",
-        f"CASE {breach} END AS _s" if stop_bars > 0 else "CAST(NULL AS INT) AS _s")
-
-    def outcome(stop: str) -> str:
-        # offsets from the entry bar; the entry bar is one after the signal bar
-        kind = (f"CASE WHEN {stop} IS NOT NULL AND _n >= {stop} + 2 THEN 'stop' "
-                f"WHEN {stop} IS NULL AND _n >= {hold + 1} THEN 'hold' ELSE 'end' END")
-        off = f"CASE {kind} WHEN 'stop' THEN {stop} + 1 WHEN 'hold' THEN {hold} ELSE _n - 1 END"
-        exit_bar = f"element_at(_path, greatest({off}, 0) + 1)"
-        held = f"CASE {kind} WHEN 'stop' THEN {stop} + 1 WHEN 'hold' THEN {held_at_hold} ELSE _n END"
-        free = (f"CASE {kind} WHEN 'stop' THEN bar_idx + 1 + {stop} + 1 "
-                f"WHEN 'hold' THEN bar_idx + 1 + {free_after_hold} ELSE {NEVER} END")
-        return (f"named_struct('entry_idx', bar_idx + 1, 'entry_date', _x1.d, 'entry_price', _x1.o, "
-                f"'exit_idx', bar_idx + 1 + ({off}), 'exit_date', {exit_bar}.d, "
-                f"'exit_price', CASE WHEN {kind} = 'end' THEN {exit_bar}.c ELSE {exit_bar}.o END, "
-                f"'exit_reason', {kind}, 'held_bars', {held}, 'next_free', {free}, 'last_idx', last_idx, "
-                f"'closes', slice(_closes, 1, greatest({held}, 0)))")
-
-    return look.selectExpr(*base.columns, "last_idx",
-                           f"CASE WHEN _n >= 1 AND _x1.o > 0 THEN {outcome('_s')} END AS _buy",
-                           f"CASE WHEN _n >= 1 AND _x1.o > 0 THEN {outcome('CAST(NULL AS INT)')} END AS _sell")
+    return look_ahead(base, hold).selectExpr(
+        *base.columns, "last_idx", f"{outcome_text(hold, 'buy', combined)} AS _buy",
+        f"{outcome_text(hold, 'sell', combined)} AS _sell")
 
 
 CANDIDATE = ("entry_idx", "entry_date", "entry_price", "exit_idx", "exit_date", "exit_price", "exit_reason",

@@ -10,7 +10,8 @@ from checks.trade_queries import _SCAN_FEW, FEW, few_scan
 from wickspark import adapters as A
 from wickspark.functions import codes as K
 from wickspark.model import DAILY_PATTERNS, DAILY_BUY_ORDER, TRACKED_INDEXES
-from wickspark.operators import daily as D, metrics as M, ordered as O, selection as F_, trades as T
+from wickspark.operators import candles, daily as D, metrics as M, selection as F_
+from wickspark.operators.indicators import latest_row
 from wickspark.sources import bars as B, files as X, text as Q
 from wickspark.streaming import ingest as N
 
@@ -88,8 +89,6 @@ add("source_top_up_latest", lambda s, d: B.top_up_latest(A.bars(s, d), _quotes(s
 
 def _quote_lines(s, d):
     """Each code's last bar as a quote text line; overseas codes in the other layout, part of them at night."""
-    last = D.latest_row(A.bars(s, d)) if hasattr(D, "latest_row") else None
-    from wickspark.operators.indicators import latest_row
     last = latest_row(A.bars(s, d))
     sym = K.quote_symbol(F.col("code"))
     num = lambda c: F.col(c).cast("string")
@@ -109,10 +108,9 @@ add("source_parse_quotes", lambda s, d: Q.parse_quote_lines(_quote_lines(s, d)),
 
 
 def _log_lines(s, d):
-    """Every lineitem as a line of a tracking log: a start line, its details, or another message.
+    """Every order as a line of a tracking log: a start line, its details, or another message.
 
-    A file is an order's last digit, so there are ten long files; the position is the rank by key,
-    found in two levels like the operator itself finds its positions."""
+    All lines belong to one file: the case the two-level scan is for."""
     li = A.table(s, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority", "o_orderstatus")
     kind = F.col("o_orderkey") % 5
     code = F.concat(F.lpad((F.floor(F.col("o_orderkey") / 5) % 900 + 600000).cast("string"), 6, "0"), F.lit(".SH"))
@@ -214,7 +212,6 @@ add("filter_fill_forward_zero", lambda s, d: F_.fill_forward_zero(_holes(s, d)),
 
 def _raw(s, d):
     """Raw rows with every kind of fault: all sources at once, some prices bent by volume."""
-    k = F.pmod(F.xxhash64("code"), F.lit(1)).cast("int")
     src = A.sources(s, d)
     one = B.merge_bar_sources(src)
     lead = F.substring("code", 1, 3)
@@ -390,7 +387,6 @@ add("daily_consecutive", lambda s, d: D.consecutive(_few_signals(s, d)).select("
 
 
 def _year_signals(s, d):
-    from wickspark.operators import candles
     b = A.bars(s, d)
     return candles.signals(b, FEW).select("code", "trade_date", "pattern", "value").join(b.select("code", "trade_date", "close"), ["code", "trade_date"])
 
@@ -432,7 +428,7 @@ def _ticks(s, d):
     return A.table(s, d, "events").select(F.col("event_type").alias("code"), "ts", F.col("value").alias("price"), F.col("event_id").alias("seq"))
 
 
-add("stream_latest_quotes", lambda s, d: N.latest_quotes(_ticks(s, d)).select("code", F.to_date("window_start").alias("day"), "ts", "price", "seq"),
-    "SELECT event_type AS code, CAST(ts AS DATE) AS day, max(ts) AS ts, arg_max(value, ts) AS price, arg_max(event_id, ts) AS seq FROM events GROUP BY 1, 2")
+add("stream_latest_quotes", lambda s, d: N.latest_quotes(_ticks(s, d)).select("code", F.to_date("window_start").alias("day"), "price", "seq"),
+    "SELECT event_type AS code, CAST(ts AS DATE) AS day, arg_max(value, ts) AS price, arg_max(event_id, ts) AS seq FROM events GROUP BY 1, 2")
 add("stream_ticks_to_bars", lambda s, d: N.ticks_to_bars(_ticks(s, d)),
     "SELECT event_type AS code, CAST(ts AS DATE) AS trade_date, arg_min(value, event_id) AS open, max(value) AS high, min(value) AS low, arg_max(value, event_id) AS close, count(*) AS ticks FROM events GROUP BY 1, 2")

@@ -31,8 +31,7 @@ def combined_trades(bars: DataFrame, buy: Iterable[str], sell: Iterable[str], ho
         return f"array_compact(array({', '.join(cells)}))" if cells else "CAST(array() AS array<string>)"
 
     rows = candles.frame(look)
-    keep = [c for c in rows.columns]
-    rows = rows.select(*keep, *[candles.pattern_value(n) for n in names])
+    rows = rows.select("*", *[candles.pattern_value(n) for n in names])
     rows = rows.selectExpr("code", "_buy", "_sell", f"{triggered(buy, '>')} AS _bs", f"{triggered(sell, '<')} AS _ss")
     picked = rows.selectExpr("code", "IF(size(_bs) > 0, 'buy', 'sell') AS side",
                              "IF(size(_bs) > 0, _buy, _sell) AS _t",

@@ -264,9 +264,8 @@ def observe_day_sweep(bars: DataFrame, names: Iterable[str], days: Iterable[int]
     Patterns are found once; the look-ahead of the longest period serves all shorter ones."""
     names = tuple(names)
     days = tuple(days)
-    base = candles.bar_index(bars)
-    look = T.look_ahead(base, max(days)).selectExpr(*base.columns, *[
-        f"named_struct('_buy', {T.outcome_text(n, 'buy')}, '_sell', {T.outcome_text(n, 'sell')}) AS _h{n}_" for n in days])
+    look = T.look_ahead(bars, days)
+    look = look.selectExpr("*", *[f"named_struct('_buy', _buy{n}, '_sell', _sell{n}) AS _h{n}_" for n in days])
     carried = [f"_h{n}_" for n in days]
     rows = candles.frame(look).select("code", "trade_date", "bar_idx", *carried, candles.values(names).alias("_values"))
     long = candles.unpivot(rows, names, "code", "trade_date", "bar_idx", *carried)

@@ -30,50 +30,54 @@ WHOLE = ("OVER (PARTITION BY code ORDER BY trade_date "
 
 # --- T1, T3, T4, T8: the outcome of entering on the bar after this one --------------------------
 
-def look_ahead(bars: DataFrame, longest: int) -> DataFrame:
-    """Bars + the next longest + 2 bars as columns `_x1`.. and arrays, `last_idx`, bars left `_n`."""
-    ahead = range(1, longest + 3)
-    look = bar_index(bars).selectExpr(
+def look_ahead(bars: DataFrame, holds: Iterable[int], combined: bool = False) -> DataFrame:
+    """Bars + the outcome of a position opened at the next bar's open, per side and holding period.
+
+    Adds `last_idx` and, per period n, `_buy{n}` and `_sell{n}` (null where nothing can be opened).
+    The next bars are read once for the longest period; the stop bar and the kind of exit are
+    columns of their own, so that the outcome structs stay small expressions.
+    """
+    holds = tuple(holds)
+    base = bar_index(bars)
+    ahead = range(1, max(holds) + 3)
+    look = base.selectExpr(
         "*", *[f"lead(struct(open AS o, close AS c, trade_date AS d), {k}) {W} AS _x{k}" for k in ahead],
         f"max(bar_idx) {WHOLE} AS last_idx")
-    return look.selectExpr("*", f"array({', '.join(f'_x{k}' for k in ahead)}) AS _path",
+    look = look.selectExpr("*", f"array({', '.join(f'_x{k}' for k in ahead)}) AS _path",
                            f"array({', '.join(f'_x{k}.c' for k in ahead)}) AS _closes", "last_idx - bar_idx AS _n")
-
-
-def outcome_text(hold: int, side: str, combined: bool = False) -> str:
-    """Struct of the position opened at the next bar's open; null where none can be opened.
-
-    Offsets count from the entry bar, which is one after the signal bar."""
-    stop_bars = hold - 1 if combined else hold
-    free_after_hold = hold if combined else hold + 1
-    held_at_hold = hold if combined else hold + 1
-    breach = " ".join(f"WHEN _x{k + 1}.c / nullif(_x1.o, 0) - 1 <= {STOP_LOSS}D THEN {k}" for k in range(1, stop_bars + 1))
-    stop = f"(CASE {breach} END)" if side == "buy" and breach else "CAST(NULL AS INT)"
-    kind = (f"CASE WHEN {stop} IS NOT NULL AND _n >= {stop} + 2 THEN 'stop' "
-            f"WHEN {stop} IS NULL AND _n >= {hold + 1} THEN 'hold' ELSE 'end' END")
-    off = f"CASE {kind} WHEN 'stop' THEN {stop} + 1 WHEN 'hold' THEN {hold} ELSE _n - 1 END"
-    exit_bar = f"element_at(_path, greatest({off}, 0) + 1)"
-    held = f"CASE {kind} WHEN 'stop' THEN {stop} + 1 WHEN 'hold' THEN {held_at_hold} ELSE _n END"
-    free = (f"CASE {kind} WHEN 'stop' THEN bar_idx + 1 + {stop} + 1 "
-            f"WHEN 'hold' THEN bar_idx + 1 + {free_after_hold} ELSE {NEVER} END")
-    return (f"CASE WHEN _n >= 1 AND _x1.o > 0 THEN named_struct("
-            f"'entry_idx', bar_idx + 1, 'entry_date', _x1.d, 'entry_price', _x1.o, "
-            f"'exit_idx', bar_idx + 1 + ({off}), 'exit_date', {exit_bar}.d, "
-            f"'exit_price', CASE WHEN {kind} = 'end' THEN {exit_bar}.c ELSE {exit_bar}.o END, "
-            f"'exit_reason', {kind}, 'held_bars', {held}, 'next_free', {free}, 'last_idx', last_idx, "
-            f"'closes', slice(_closes, 1, greatest({held}, 0))) END")
+    # offsets count from the entry bar, which is one after the signal bar; short positions have no stop
+    stops, kinds, ends, out = [], [], [], []
+    for n in holds:
+        breach = " ".join(f"WHEN _x{k + 1}.c / nullif(_x1.o, 0) - 1 <= {STOP_LOSS}D THEN {k}"
+                          for k in range(1, n if combined else n + 1))
+        stops.append(f"CASE {breach} END AS _stop{n}" if breach else f"CAST(NULL AS INT) AS _stop{n}")
+        kinds += [f"CASE WHEN _stop{n} IS NULL AND _n >= {n + 1} THEN 'hold' WHEN _n >= _stop{n} + 2 THEN 'stop' "
+                  f"ELSE 'end' END AS _kbuy{n}", f"CASE WHEN _n >= {n + 1} THEN 'hold' ELSE 'end' END AS _ksell{n}"]
+        for side in ("buy", "sell"):
+            kind = f"_k{side}{n}"
+            stay = n if combined else n + 1
+            ends += [f"CASE {kind} WHEN 'stop' THEN _stop{n} + 1 WHEN 'hold' THEN {n} ELSE greatest(_n - 1, 0) END AS _off{side}{n}",
+                     f"CASE {kind} WHEN 'stop' THEN _stop{n} + 1 WHEN 'hold' THEN {stay} ELSE greatest(_n, 0) END AS _held{side}{n}"]
+            at = f"element_at(_path, _off{side}{n} + 1)"
+            out.append(
+                f"CASE WHEN _n >= 1 AND _x1.o > 0 THEN named_struct("
+                f"'entry_idx', bar_idx + 1, 'entry_date', _x1.d, 'entry_price', _x1.o, "
+                f"'exit_idx', bar_idx + 1 + _off{side}{n}, 'exit_date', {at}.d, "
+                f"'exit_price', IF({kind} = 'end', {at}.c, {at}.o), 'exit_reason', {kind}, 'held_bars', _held{side}{n}, "
+                f"'next_free', IF({kind} = 'end', {NEVER}, bar_idx + 1 + _held{side}{n}), 'last_idx', last_idx, "
+                f"'closes', slice(_closes, 1, _held{side}{n})) END AS _{side}{n}")
+    staged = look.selectExpr("*", *stops).selectExpr("*", *kinds).selectExpr("*", *ends)
+    return staged.selectExpr(*base.columns, "last_idx", *out)
 
 
 def outcomes(bars: DataFrame, hold: int = HOLD_DAYS, combined: bool = False) -> DataFrame:
-    """Bars + `_buy` and `_sell`: where a position opened at the next bar's open would end.
+    """Bars + `_buy` and `_sell` for one holding period.
 
     combined=True is the one-account variant (T9): the hold exit of bar e+hold comes before the
     stop test of that bar, and a new entry may share the exit bar.
     """
-    base = bar_index(bars)
-    return look_ahead(base, hold).selectExpr(
-        *base.columns, "last_idx", f"{outcome_text(hold, 'buy', combined)} AS _buy",
-        f"{outcome_text(hold, 'sell', combined)} AS _sell")
+    df = look_ahead(bars, [hold], combined)
+    return df.withColumnsRenamed({f"_buy{hold}": "_buy", f"_sell{hold}": "_sell"})
 
 
 CANDIDATE = ("entry_idx", "entry_date", "entry_price", "exit_idx", "exit_date", "exit_price", "exit_reason",

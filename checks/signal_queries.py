@@ -166,17 +166,18 @@ for _name, _ctes in RULE_SQL.items():
     add(f"rule_{_name}", _flagged(R.RULES[_name]),
         S.with_(S.BARS, *_ctes) + "SELECT code, trade_date, buy, sell FROM flags WHERE buy OR sell")
 
-_UNION = [_lined(**_LINES, **{f"n{p}": _roll("avg", "close", p) for p in (10, 20, 60, 90)}), _prev("lined", "p", hp="h", lp="l", tlp="l10"),
-          _cross("p", "q", {"up": ("close", "hp"), "dn": ("close", "lp"), "x": ("f", "m"), "td": ("close", "tlp"),
-                            **{f"x{p}": ("close", f"n{p}") for p in (10, 20, 60, 90)}})]
+UNION_SQL = [_lined(**_LINES, **{f"n{p}": _roll("avg", "close", p) for p in (10, 20, 60, 90)}), _prev("lined", "p", hp="h", lp="l", tlp="l10"),
+             _cross("p", "q", {"up": ("close", "hp"), "dn": ("close", "lp"), "x": ("f", "m"), "td": ("close", "tlp"),
+                               **{f"x{p}": ("close", f"n{p}") for p in (10, 20, 60, 90)}})]
 _NEAR_BUY = " OR ".join(f"coalesce(close > n{p} AND close - n{p} < close * 0.01, false)" for p in (10, 20, 60, 90))
-add("rule_indicator_union", lambda s, d: R.indicator_union(A.bars(s, d)).filter("buy OR sell").select("code", "trade_date", "buy_signal", "sell_signal"),
-    S.with_(S.BARS, *_UNION) + "SELECT * FROM (SELECT code, trade_date, CASE WHEN up <> 0 THEN 'turtle' WHEN x = 1 THEN 'double_ma' END AS buy_signal, "
-    "CASE WHEN td = -1 THEN 'turtle' WHEN x = -1 THEN 'double_ma' WHEN dn = -1 THEN 'breakout' END AS sell_signal FROM q) WHERE buy_signal IS NOT NULL OR sell_signal IS NOT NULL")
-add("rule_indicator_union_v2", lambda s, d: R.indicator_union_v2(A.bars(s, d)).filter("buy OR sell").select("code", "trade_date", "buy_signal", "sell_signal"),
-    S.with_(S.BARS, *_UNION) + f"SELECT * FROM (SELECT code, trade_date, CASE WHEN up <> 0 THEN 'turtle' WHEN {_NEAR_BUY} THEN 'near_ma' WHEN x = 1 THEN 'double_ma' END AS buy_signal, "
-    "CASE WHEN td = -1 THEN 'turtle' WHEN x10 = -1 OR x20 = -1 OR x60 = -1 OR x90 = -1 THEN 'near_ma' WHEN x = -1 THEN 'double_ma' WHEN dn = -1 THEN 'breakout' END AS sell_signal "
-    "FROM q) WHERE buy_signal IS NOT NULL OR sell_signal IS NOT NULL")
+UNION_BUY = "CASE WHEN up <> 0 THEN 'turtle' WHEN x = 1 THEN 'double_ma' END"
+UNION_SELL = "CASE WHEN td = -1 THEN 'turtle' WHEN x = -1 THEN 'double_ma' WHEN dn = -1 THEN 'breakout' END"
+UNION_BUY_V2 = f"CASE WHEN up <> 0 THEN 'turtle' WHEN {_NEAR_BUY} THEN 'near_ma' WHEN x = 1 THEN 'double_ma' END"
+UNION_SELL_V2 = ("CASE WHEN td = -1 THEN 'turtle' WHEN x10 = -1 OR x20 = -1 OR x60 = -1 OR x90 = -1 THEN 'near_ma' WHEN x = -1 THEN 'double_ma' "
+                 "WHEN dn = -1 THEN 'breakout' END")
+for _name, _fn, _b, _s in (("indicator_union", R.indicator_union, UNION_BUY, UNION_SELL), ("indicator_union_v2", R.indicator_union_v2, UNION_BUY_V2, UNION_SELL_V2)):
+    add(f"rule_{_name}", lambda s, d, fn=_fn: fn(A.bars(s, d)).filter("buy OR sell").select("code", "trade_date", "buy_signal", "sell_signal"),
+        S.with_(S.BARS, *UNION_SQL) + f"SELECT * FROM (SELECT code, trade_date, {_b} AS buy_signal, {_s} AS sell_signal FROM q) WHERE buy_signal IS NOT NULL OR sell_signal IS NOT NULL")
 _CB = [p for p, _ in R.COMBO_BUYS]
 _RANK_B = "CASE g.pattern " + " ".join(f"WHEN '{p}' THEN {i}" for i, p in enumerate(_CB)) + " END"
 _RANK_S = "CASE g.pattern " + " ".join(f"WHEN '{p}' THEN {i}" for p, i in {p: i for i, p in enumerate(R.COMBO_SELLS)}.items()) + " END"

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from checks import sql as S
 from checks.registry import add
-from checks.signal_queries import RULE_SQL
+from checks.signal_queries import (_TR, RULE_SQL, UNION_BUY, UNION_BUY_V2, UNION_SELL, UNION_SELL_V2, UNION_SQL, _lined,
+                                   _roll)
 from wickspark import adapters as A
 from wickspark.model import ALL_PATTERNS, BUY_CLASS, CAUTIOUS, SELL_CLASS
 from wickspark.operators import candles, combined as C, cycles as Z, metrics as M, rules as R, trades as T
@@ -208,9 +209,40 @@ for _rule, _m in (("breakout", 1.001), ("single_ma", 1.001), ("double_ma", 1.005
     add(f"trade_flags_{_rule}",
         lambda s, d, r=_rule, m=_m: R.flag_trades(R.RULES[r](A.bars(s, d)), margin=m).filter("NOT is_open").select(*_FT),
         _flag_sql(RULE_SQL[_rule], str(_m)) + _FSQL)
-add("trade_turtle_account", lambda s, d: R.turtle_trades(R.turtle(A.bars(s, d))))
-add("trade_indicator_union_account", lambda s, d: R.turtle_trades(R.indicator_union(A.bars(s, d))))
-add("trade_indicator_union_v2_account", lambda s, d: R.turtle_trades(R.indicator_union_v2(A.bars(s, d)), cash_share=1 / 3))
+
+
+def _turtle_sql(signal_ctes, lot: str) -> str:
+    """Walk every bar of a code with the account's state; one row per bar."""
+    buy = ("s.size = 0 AND e.b IS NOT NULL AND (e.b <> 'turtle' OR s.n = 0 OR coalesce(e.close > s.price + 0.5 * e.atr AND s.n <= 4, false)) "
+           "AND q.lot > 0 AND q.lot * e.no * (1 + 0.0001::DOUBLE) <= s.cash")
+    stop = "(coalesce(e.s = 'turtle', false) OR coalesce(e.close < s.price - 2 * e.atr, false)) AND s.n > 0"
+    sell = f"s.size > 0 AND (({stop}) OR coalesce(e.s <> 'turtle', false))"
+    return S.with_(
+        S.BARS, _TR, *signal_ctes,
+        f"""ev AS (SELECT g.code, g.trade_date, g.close, a.atr, g.b, g.s, lead(g.open) OVER w AS no, lead(g.trade_date) OVER w AS nd, row_number() OVER w AS k
+          FROM sgn g JOIN atr a USING (code, trade_date) WINDOW w AS (PARTITION BY g.code ORDER BY g.trade_date)),
+        st AS (SELECT DISTINCT code, 0::BIGINT AS k, 1e8::DOUBLE AS cash, 0::DOUBLE AS size, 0::DOUBLE AS price, 0 AS n, NULL::DATE AS since, NULL::VARCHAR AS sig,
+            NULL::DATE AS in_date, NULL::DOUBLE AS in_price, NULL::DATE AS out_date, NULL::DOUBLE AS out_price, NULL::DOUBLE AS sold, NULL::VARCHAR AS bought_by, NULL::VARCHAR AS sold_by FROM ev
+          UNION ALL SELECT s.code, e.k,
+            CASE WHEN {buy} THEN s.cash - q.lot * e.no * (1 + 0.0001::DOUBLE) WHEN {sell} THEN s.cash + s.size * e.no * (1 - 0.0001::DOUBLE) ELSE s.cash END,
+            CASE WHEN {buy} THEN q.lot WHEN {sell} THEN 0 ELSE s.size END, CASE WHEN {buy} THEN e.no ELSE s.price END,
+            CASE WHEN {buy} THEN s.n + CASE WHEN e.b = 'turtle' THEN 1 ELSE 0 END WHEN s.size > 0 AND ({stop}) THEN 0 ELSE s.n END,
+            CASE WHEN {buy} THEN e.nd ELSE s.since END, CASE WHEN {buy} THEN e.b ELSE s.sig END,
+            s.since, s.price, CASE WHEN {sell} THEN e.nd END, CASE WHEN {sell} THEN e.no END, s.size, s.sig, CASE WHEN {stop} THEN 'turtle' ELSE e.s END
+          FROM st s JOIN ev e ON e.code = s.code AND e.k = s.k + 1 AND e.nd IS NOT NULL,
+          LATERAL (SELECT coalesce(CASE WHEN e.b = 'turtle' THEN {lot} ELSE floor(s.cash / (e.close * 1.001) / 100) * 100 END, 0) AS lot) q)""", recursive=True) \
+        + "SELECT code, in_date AS entry_date, in_price AS entry_price, out_date AS exit_date, out_price AS exit_price, sold AS size, bought_by AS signal, sold_by AS exit_signal FROM st WHERE out_date IS NOT NULL"
+
+
+_PER_ATR = "floor(s.cash * 0.01 / e.atr / 100) * 100"
+_THIRD = "floor(s.cash * (1.0::DOUBLE / 3) / (e.close * 1.001) / 100) * 100"
+_AT = ("code", "entry_date", "entry_price", "exit_date", "exit_price", "size", "signal", "exit_signal")
+add("trade_turtle_account", lambda s, d: R.turtle_trades(R.turtle(A.bars(s, d))).select(*_AT),
+    _turtle_sql([*RULE_SQL["turtle"], "sgn AS (SELECT code, trade_date, open, close, CASE WHEN buy THEN 'turtle' END AS b, CASE WHEN sell THEN 'turtle' END AS s FROM flags)"], _PER_ATR))
+add("trade_indicator_union_account", lambda s, d: R.turtle_trades(R.indicator_union(A.bars(s, d))).select(*_AT),
+    _turtle_sql([*UNION_SQL, f"sgn AS (SELECT code, trade_date, open, close, {UNION_BUY} AS b, {UNION_SELL} AS s FROM q)"], _PER_ATR))
+add("trade_indicator_union_v2_account", lambda s, d: R.turtle_trades(R.indicator_union_v2(A.bars(s, d)), cash_share=1 / 3).select(*_AT),
+    _turtle_sql([*UNION_SQL, f"sgn AS (SELECT code, trade_date, open, close, {UNION_BUY_V2} AS b, {UNION_SELL_V2} AS s FROM q)"], _THIRD))
 
 
 def pool_performance(s, d):
@@ -346,8 +378,28 @@ add("metric_observe_day_sweep",
     lambda s, d: M.observe_day_sweep(A.bars(s, d), ["CDLENGULFING", "CDLHARAMI"], range(1, 10)).select("code", "observe_day", "pattern", "side", "trades", "win_rate", "return_pct", "sharpe", "max_drawdown"),
     _sweep_sql(list(range(1, 10))) + "SELECT code, observe_day, pattern, side, trades, win_rate, return_pct, sharpe, max_drawdown FROM acct")
 _GRID = [{"n": 10, "diff": 0.005}, {"n": 10, "diff": 0.01}, {"n": 30, "diff": 0.005}, {"n": 30, "diff": 0.01}]
-add("metric_param_sweep", lambda s, d: R.param_sweep(A.bars(s, d), "near_window", _GRID))
-add("metric_best_params", lambda s, d: R.best_params(R.param_sweep(A.bars(s, d), "near_window", _GRID)))
+
+
+def _param_sql() -> str:
+    """One account walk per parameter set."""
+    ctes, rows = [S.BARS, "lastc AS (SELECT code, last(close ORDER BY trade_date) AS lc FROM bars GROUP BY code)"], []
+    for i, g in enumerate(_GRID):
+        n, diff = g["n"], g["diff"]
+        flags = [_lined(h=_roll("max", "high", n), l=_roll("min", "low", n)),
+                 f"flags AS (SELECT *, coalesce(abs(close - l) < close * {diff}, false) AS buy, coalesce(abs(close - h) < close * {diff}, false) AS sell FROM lined)"]
+        text = _flag_sql(flags).split(S.BARS + ",\n", 1)[1].rstrip()
+        for c in ("lined", "flags", "seen", "ev", "st"):
+            text = re.sub(rf"\b{c}\b", f"{c}_{i}", text)
+        ctes.append(text)
+        rows.append(f"""SELECT s.code, {i} AS set_no, 'n={n},diff={diff}' AS params, count(*) FILTER (s.out_date IS NOT NULL) + max(CASE WHEN z.size > 0 THEN 1 ELSE 0 END) AS trades,
+          round(ln(max(z.cash + z.size * lc) / 1e8::DOUBLE) * 100, 4) AS log_return FROM st_{i} s JOIN (SELECT * FROM st_{i} QUALIFY row_number() OVER (PARTITION BY code ORDER BY n DESC) = 1) z ON z.code = s.code
+          JOIN lastc c ON c.code = s.code GROUP BY s.code HAVING trades > 0""")
+    return S.with_(*ctes, "sweep AS (" + " UNION ALL ".join(rows) + ")", recursive=True)
+
+
+add("metric_param_sweep", lambda s, d: R.param_sweep(A.bars(s, d), "near_window", _GRID), _param_sql() + "SELECT code, set_no, params, trades, log_return FROM sweep")
+add("metric_best_params", lambda s, d: R.best_params(R.param_sweep(A.bars(s, d), "near_window", _GRID)),
+    _param_sql() + "SELECT code, set_no, params, trades, log_return FROM sweep QUALIFY row_number() OVER (PARTITION BY code ORDER BY log_return DESC, set_no) = 1")
 
 # --- Z1-Z4 --------------------------------------------------------------------------------------
 

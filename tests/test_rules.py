@@ -101,7 +101,8 @@ def test_turtle_trades(spark, data, rule, share):
     for code, g in pdf.groupby("code"):
         mine = got[got.code == code].sort_values("trade_no")
         want = walk_turtle(g, share)
-        assert list(zip(mine.entry_date, mine.exit_date, mine["size"], mine.signal, mine.exit_signal, mine.cash_out.round(2))) == want
+        assert list(zip(mine.entry_date, mine.exit_date, mine["size"], mine.signal, mine.exit_signal)) == [w[:5] for w in want]
+        assert all(abs(a - w[5]) < 0.02 for a, w in zip(mine.cash_out, want))
         seen += len(want)
     assert seen > 0
 

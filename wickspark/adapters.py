@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wickspark.functions.codes import classify_board
+from wickspark.functions.pick import computed_once
 from wickspark.model import OVERSEAS_INDEXES
 
 # Prefix and suffix of a made code by supplier number, so that every code class occurs.
@@ -63,17 +64,15 @@ def _ohlc(raw: DataFrame, *keys: str) -> DataFrame:
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rolled = _ohlc(ticks(spark, sf_dir))
-    return rolled.select(code_of(F.col("l_suppkey")).alias("code"), "trade_date",
-                         "open", "high", "low", "close", "vol")
+    rolled = computed_once(_ohlc(ticks(spark, sf_dir)), code=code_of(F.col("l_suppkey")))
+    return rolled.select("code", "trade_date", "open", "high", "low", "close", "vol")
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same bars as three overlapping sources (by return flag) with a priority."""
-    rolled = _ohlc(ticks(spark, sf_dir), "l_returnflag")
+    rolled = computed_once(_ohlc(ticks(spark, sf_dir), "l_returnflag"), code=code_of(F.col("l_suppkey")))
     rank = F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "N", 2).otherwise(3)
-    return rolled.select(code_of(F.col("l_suppkey")).alias("code"), "trade_date", "open", "high", "low",
-                         "close", "vol", F.col("l_returnflag").alias("source"), rank.alias("priority"))
+    return rolled.select("code", "trade_date", "open", "high", "low", "close", "vol", F.col("l_returnflag").alias("source"), rank.alias("priority"))
 
 
 def universe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,9 +80,9 @@ def universe(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier")
     n = table(spark, sf_dir, "nation")
     r = table(spark, sf_dir, "region")
-    code = code_of(F.col("s_suppkey"))
+    s = computed_once(s, code=code_of(F.col("s_suppkey")))
     return (s.join(n, s.s_nationkey == n.n_nationkey, "left")
             .join(r, n.n_regionkey == r.r_regionkey, "left")
-            .select(code.alias("code"), F.col("s_name").alias("name"), F.col("n_name").alias("area"),
-                    F.col("r_name").alias("region"), classify_board(code).alias("board"),
+            .select("code", F.col("s_name").alias("name"), F.col("n_name").alias("area"),
+                    F.col("r_name").alias("region"), classify_board(F.col("code")).alias("board"),
                     F.col("s_acctbal").alias("total_mv"), F.col("s_suppkey").alias("key")))

@@ -29,33 +29,37 @@ W = OVER.format(rows="")
 TEN = OVER.format(rows=" ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING")
 FIVE = OVER.format(rows=" ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING")
 ALL = range(DEPTH + 1)
+BAR_INDEX = f"CAST(row_number() {W} - 1 AS INT) AS bar_idx"
 
 
 def bar_index(bars: DataFrame) -> DataFrame:
     """Position of the bar in its code's range, from 0; every look-back counts from it."""
     if "bar_idx" in bars.columns:
         return bars
-    return bars.selectExpr("*", f"CAST(row_number() {W} - 1 AS INT) AS bar_idx")
+    return bars.selectExpr("*", BAR_INDEX)
 
 
-def frame(bars: DataFrame) -> DataFrame:
+def frame(bars: DataFrame, extra: Iterable[str] = ()) -> DataFrame:
     """Bars + shapes, rolling means and facts of the last five bars, on one shared window.
 
+    Everything that reads bars directly sits in the first window node, caller's `extra` window
+    expressions included; only what reads another window's result needs a second and third one.
+
     The facts are stored as columns below the last window on purpose.  With all patterns asked for,
     the frame has more than 100 columns, and Spark then compiles the pattern projection as many
     small methods; as one fused loop it passes the 64 KB limit of a method and is interpreted.
     Columns no asked-for pattern uses are pruned, window expressions included.
     """
-    shape = bar_index(bars).selectExpr(
+    shape = bars.selectExpr(
         "*", *[f"{src} AS {name}0" for name, src in _PRICES.items()],
         "abs(close - open) AS _bd0", "greatest(close, open) AS _tp0", "least(close, open) AS _bt0",
         "high - greatest(close, open) AS _up0", "least(close, open) - low AS _lo0",
-        "close >= open AS _wh0", "high - low AS _sp0")
-    means = shape.selectExpr(
-        "*", f"avg(_bd0) {TEN} AS _ab0", f"avg(_sp0) {TEN} AS _ar0", f"avg(_sp0 - _bd0) {TEN} AS _as0",
-        f"avg(_sp0) {FIVE} AS _a50")
-    lagged = means.selectExpr("*", *[f"lag({m}0, {k}) {W} AS {m}{k}"
-                                     for m in (*_PRICES, *_SHAPE, *_MEANS) for k in ALL[1:]])
+        "close >= open AS _wh0", "high - low AS _sp0", "(high - low) - abs(close - open) AS _sh0")
+    index = [] if "bar_idx" in bars.columns else [BAR_INDEX]
+    first = shape.selectExpr(
+        "*", *index, f"avg(_bd0) {TEN} AS _ab0", f"avg(_sp0) {TEN} AS _ar0", f"avg(_sh0) {TEN} AS _as0",
+        f"avg(_sp0) {FIVE} AS _a50", *[f"lag({m}0, {k}) {W} AS {m}{k}" for m in (*_PRICES, *_SHAPE) for k in ALL[1:]], *extra)
+    lagged = first.selectExpr("*", *[f"lag({m}0, {k}) {W} AS {m}{k}" for m in _MEANS for k in ALL[1:]])
     facts = lagged.selectExpr(
         "*",
         *[f"_bd{k} > _ab{k} AS _long{k}" for k in ALL],

@@ -19,7 +19,6 @@ def combined_trades(bars: DataFrame, buy: Iterable[str], sell: Iterable[str], ho
     """Any buy pattern beats any sell pattern of the same bar; signals while held are ignored."""
     buy, sell = tuple(buy), tuple(sell)
     names = tuple(dict.fromkeys(buy + sell))
-    look = T.outcomes(bars, hold, combined=True)
     guarded = [n for n in names if n in CAUTIOUS] if cautious else []
     rules = refine.entry_rules(1) if guarded else {}
 
@@ -30,9 +29,11 @@ def combined_trades(bars: DataFrame, buy: Iterable[str], sell: Iterable[str], ho
             cells.append(f"CASE WHEN {hit} THEN '{n}' END")
         return f"array_compact(array({', '.join(cells)}))" if cells else "CAST(array() AS array<string>)"
 
-    rows = candles.frame(look)
+    rows = candles.frame(bars, T.ahead_of([hold]))
     rows = rows.select("*", *[candles.pattern_value(n) for n in names])
-    rows = rows.selectExpr("code", "_buy", "_sell", f"{triggered(buy, '>')} AS _bs", f"{triggered(sell, '<')} AS _ss")
+    ahead = [f"_x{k}" for k in range(1, hold + 3)]
+    rows = rows.selectExpr("code", "bar_idx", "last_idx", *ahead, f"{triggered(buy, '>')} AS _bs", f"{triggered(sell, '<')} AS _ss")
+    rows = T.with_outcomes(rows, ("code", "_bs", "_ss"), [hold], combined=True).withColumnsRenamed({f"_buy{hold}": "_buy", f"_sell{hold}": "_sell"})
     picked = rows.selectExpr("code", "IF(size(_bs) > 0, 'buy', 'sell') AS side",
                              "IF(size(_bs) > 0, _buy, _sell) AS _t",
                              "IF(size(_bs) > 0, _bs, _ss) AS trigger_patterns",

@@ -66,11 +66,15 @@ def attach_performance(signals: DataFrame, performance: DataFrame) -> DataFrame:
     return j.withColumn("no_perf_data", F.coalesce("_known", F.lit(True))).drop("_known")
 
 
-def attach_market(signals: DataFrame, market: DataFrame) -> DataFrame:
-    """Market-wide figures and display name.  market has one row per pattern and side (at most 122)."""
+def attach_market(signals: DataFrame, market: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """Market-wide figures, display name and, from texts (pattern, pattern_desc), the description.
+
+    market has one row per pattern and side (at most 122), texts one per pattern (61): both are
+    bounded by the fixed pattern list, so both are broadcast."""
     m = F.broadcast(market.select("pattern", "side", F.col("win_rate").alias("market_win_rate"),
                                   F.col("return_pct").alias("market_return"), F.col("trades").alias("market_trade_count")))
-    return signals.join(m, ["pattern", "side"], "left").withColumn("pattern_cn", pattern_cn(F.col("pattern")))
+    out = signals.join(m, ["pattern", "side"], "left").withColumn("pattern_cn", pattern_cn(F.col("pattern")))
+    return out if texts is None else out.join(F.broadcast(texts.select("pattern", "pattern_desc")), "pattern", "left")
 
 
 def tier(signals: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wickspark.functions.pick import pick_row
 from wickspark.operators.candles import W, bar_index
 
 OVER = "OVER (PARTITION BY code ORDER BY trade_date ROWS BETWEEN {a} AND {b})"
@@ -119,6 +120,4 @@ def max_drawdown(values: DataFrame, col: str = "close") -> DataFrame:
 
 def latest_row(bars: DataFrame) -> DataFrame:
     """The newest bar of each code, as an aggregate."""
-    rest = [c for c in bars.columns if c != "code"]
-    return (bars.groupBy("code").agg(F.max_by(F.struct(*rest), "trade_date").alias("_r"))
-            .select("code", *[f"_r.{c}" for c in rest]))
+    return pick_row(bars, ["code"], F.unix_date("trade_date"), F.max_by)

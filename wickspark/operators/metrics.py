@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wickspark.functions.codes import perf_group
+from wickspark.functions.pick import pick_row
 from wickspark.model import (BUY_CLASS, HOLD_DAYS, INVEST_FRACTION, LOT, MIN_YEARS, PATTERN_NAMES,
                              SELL_CLASS, START_CASH, YEAR_BARS)
 from wickspark.operators import candles
@@ -144,10 +145,7 @@ def buy_hold_adjusted(bars: DataFrame, held: DataFrame) -> DataFrame:
 
 def keep_last(df: DataFrame, keys: Iterable[str], seq: str) -> DataFrame:
     """Last row per key by the load sequence, as an aggregate: no key is gathered or sorted."""
-    keys = tuple(keys)
-    rest = [c for c in df.columns if c not in keys]
-    return (df.groupBy(*keys).agg(F.max_by(F.struct(*rest), seq).alias("_r"))
-            .select(*keys, *[f"_r.{c}" for c in rest]))
+    return pick_row(df, keys, F.col(seq), F.max_by)
 
 
 def market_wide_stats(performance: DataFrame) -> DataFrame:
@@ -264,10 +262,9 @@ def observe_day_sweep(bars: DataFrame, names: Iterable[str], days: Iterable[int]
     Patterns are found once; the look-ahead of the longest period serves all shorter ones."""
     names = tuple(names)
     days = tuple(days)
-    look = T.look_ahead(bars, days)
-    look = look.selectExpr("*", *[f"named_struct('_buy', _buy{n}, '_sell', _sell{n}) AS _h{n}_" for n in days])
     carried = [f"_h{n}_" for n in days]
-    rows = candles.frame(look).select("code", "trade_date", "bar_idx", *carried, candles.values(names).alias("_values"))
+    rows = T.pattern_rows(bars, names, days).selectExpr(
+        "code", "trade_date", "bar_idx", "_values", *[f"named_struct('_buy', _buy{n}, '_sell', _sell{n}) AS _h{n}_" for n in days])
     long = candles.unpivot(rows, names, "code", "trade_date", "bar_idx", *carried)
     every = F.explode(F.array(*[F.struct(F.lit(n).alias("observe_day"), F.col(f"_h{n}_").alias("o")) for n in days]))
     spread = long.select("code", "trade_date", "pattern", "value", every.alias("_e"))

@@ -16,7 +16,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wickspark.model import (ALL_PATTERNS, CAUTIOUS, COMMISSION, HOLD_DAYS, INVEST_FRACTION, LOT,
+from wickspark.model import (ALL_PATTERNS, COMMISSION, HOLD_DAYS, INVEST_FRACTION, LOT,
                              START_CASH, STOP_LABEL, STOP_LOSS)
 from wickspark.operators import candles
 from wickspark.operators.candles import W, bar_index
@@ -30,20 +30,23 @@ WHOLE = ("OVER (PARTITION BY code ORDER BY trade_date "
 
 # --- T1, T3, T4, T8: the outcome of entering on the bar after this one --------------------------
 
-def look_ahead(bars: DataFrame, holds: Iterable[int], combined: bool = False) -> DataFrame:
-    """Bars + the outcome of a position opened at the next bar's open, per side and holding period.
+def ahead_of(holds: Iterable[int]) -> list[str]:
+    """Window expressions: the next bars up to the longest holding period, and the last bar's index."""
+    return [f"lead(struct(open AS o, close AS c, trade_date AS d), {k}) {W} AS _x{k}" for k in range(1, max(holds) + 3)
+            ] + [f"CAST(count(*) {WHOLE} - 1 AS INT) AS last_idx"]
 
-    Adds `last_idx` and, per period n, `_buy{n}` and `_sell{n}` (null where nothing can be opened).
-    The next bars are read once for the longest period; the stop bar and the kind of exit are
-    columns of their own, so that the outcome structs stay small expressions.
+
+def with_outcomes(rows: DataFrame, keep: Iterable[str], holds: Iterable[int], combined: bool = False) -> DataFrame:
+    """Outcome of a position opened at the next bar's open, per side and holding period.
+
+    rows carry `bar_idx` and the `ahead_of` columns.  Returns `keep`, `last_idx` and, per period n,
+    `_buy{n}` and `_sell{n}` (null where nothing can be opened).  The stop bar and the kind of exit
+    are columns of their own, so that the outcome structs stay small expressions.
     """
     holds = tuple(holds)
-    base = bar_index(bars)
     ahead = range(1, max(holds) + 3)
-    look = base.selectExpr(
-        "*", *[f"lead(struct(open AS o, close AS c, trade_date AS d), {k}) {W} AS _x{k}" for k in ahead],
-        f"max(bar_idx) {WHOLE} AS last_idx")
-    look = look.selectExpr("*", f"array({', '.join(f'_x{k}' for k in ahead)}) AS _path",
+    keep = tuple(dict.fromkeys((*keep, "bar_idx", "last_idx")))
+    look = rows.selectExpr(*keep, *[f"_x{k}" for k in ahead], f"array({', '.join(f'_x{k}' for k in ahead)}) AS _path",
                            f"array({', '.join(f'_x{k}.c' for k in ahead)}) AS _closes", "last_idx - bar_idx AS _n")
     # offsets count from the entry bar, which is one after the signal bar; short positions have no stop
     stops, kinds, ends, out = [], [], [], []
@@ -67,7 +70,7 @@ def look_ahead(bars: DataFrame, holds: Iterable[int], combined: bool = False) ->
                 f"'next_free', IF({kind} = 'end', {NEVER}, bar_idx + 1 + _held{side}{n}), 'last_idx', last_idx, "
                 f"'closes', slice(_closes, 1, _held{side}{n})) END AS _{side}{n}")
     staged = look.selectExpr("*", *stops).selectExpr("*", *kinds).selectExpr("*", *ends)
-    return staged.selectExpr(*base.columns, "last_idx", *out)
+    return staged.selectExpr(*keep, *out)
 
 
 def outcomes(bars: DataFrame, hold: int = HOLD_DAYS, combined: bool = False) -> DataFrame:
@@ -76,10 +79,20 @@ def outcomes(bars: DataFrame, hold: int = HOLD_DAYS, combined: bool = False) ->
     combined=True is the one-account variant (T9): the hold exit of bar e+hold comes before the
     stop test of that bar, and a new entry may share the exit bar.
     """
-    df = look_ahead(bars, [hold], combined)
+    rows = bars.selectExpr("*", *([] if "bar_idx" in bars.columns else [candles.BAR_INDEX]), *ahead_of([hold]))
+    df = with_outcomes(rows, bars.columns, [hold], combined)
     return df.withColumnsRenamed({f"_buy{hold}": "_buy", f"_sell{hold}": "_sell"})
 
 
+def pattern_rows(bars: DataFrame, names: Iterable[str], holds: Iterable[int], guarded: dict | None = None) -> DataFrame:
+    """`_values` of the patterns and the outcomes of entering after each bar, from one window pass."""
+    holds = tuple(holds)
+    rows = candles.frame(bars, ahead_of(holds)).select(
+        "code", "trade_date", "bar_idx", "last_idx", *[f"_x{k}" for k in range(1, max(holds) + 3)],
+        candles.values(names).alias("_values"), *[F.expr(str(r)).alias(f"_ok_{n}") for n, r in (guarded or {}).items()])
+    return with_outcomes(rows, ("code", "trade_date", "_values", *[f"_ok_{n}" for n in (guarded or {})]), holds)
+
+
 CANDIDATE = ("entry_idx", "entry_date", "entry_price", "exit_idx", "exit_date", "exit_price", "exit_reason",
              "held_bars", "next_free", "last_idx", "closes")
 
@@ -89,12 +102,9 @@ def candidate_trades(bars: DataFrame, names: Iterable[str] | None = None, hold:
     """One row per signal that can open a position, with its outcome."""
     names = tuple(names or ALL_PATTERNS)
     sides = tuple(sides)
-    look = outcomes(bars, hold)
-    guarded = [n for n in names if n in CAUTIOUS] if cautious else []
-    rules = entry_rules(ahead=1) if guarded else {}
-    rows = candles.frame(look)
-    rows = rows.select("code", "trade_date", "bar_idx", "_buy", "_sell", candles.values(names).alias("_values"),
-                       *[F.expr(str(rules[n])).alias(f"_ok_{n}") for n in guarded])
+    rules = entry_rules(ahead=1) if cautious else {}
+    guarded = {n: rules[n] for n in names if n in rules}
+    rows = pattern_rows(bars, names, [hold], guarded).withColumnsRenamed({f"_buy{hold}": "_buy", f"_sell{hold}": "_sell"})
     long = candles.unpivot(rows, names, "code", "trade_date", "bar_idx", "_buy", "_sell",
                            *[f"_ok_{n}" for n in guarded])
     if guarded:

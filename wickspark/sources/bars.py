@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wickspark.functions.codes import classify_board
-from wickspark.model import BAR_SCHEMA, BAR_VALUES, COVER_END_SLACK, COVER_START_SLACK
+from wickspark.functions.pick import pick_row
+from wickspark.model import BAR_SCHEMA, COVER_END_SLACK, COVER_START_SLACK
 from wickspark.operators.selection import good_rows
 
 KEY = ("code", "trade_date")
+BEFORE_ALL = -(2 ** 63)  # load sequence of what is already stored
 
 # Column names of the vendor layouts -> column names of a bar.
 LAYOUTS = {
@@ -50,14 +52,9 @@ def normalize_vendor(df: DataFrame, layout: str) -> DataFrame:
     return df.select(*[cols.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in BAR_SCHEMA.fields])
 
 
-def _first_of(df: DataFrame, order, pick=F.min_by) -> DataFrame:
-    rest = [c for c in df.columns if c not in KEY]
-    return df.groupBy(*KEY).agg(pick(F.struct(*rest), order).alias("_r")).select(*KEY, *[f"_r.{c}" for c in rest])
-
-
 def merge_bar_sources(union: DataFrame) -> DataFrame:
     """Of rows with the same code and date keep the one with the lowest `priority`."""
-    return _first_of(union, F.col("priority"))
+    return pick_row(union, KEY, F.col("priority"), F.min_by)
 
 
 def union_sources(*sources: DataFrame) -> DataFrame:
@@ -86,7 +83,7 @@ def choose_source(union: DataFrame, end) -> DataFrame:
     main = F.col("priority") == F.col("_bp")
     tail = F.col("is_local") & ~main & (F.col("_bmax") < end) & (F.col("_local_max") > F.col("_bmax"))
     kept = j.filter(main | tail).withColumn("_tail", tail.cast("int")).drop("_bp", "_bmax", "_local_max")
-    return _first_of(kept, F.struct("_tail", "priority"), F.max_by).drop("_tail")  # a tail row replaces its date
+    return pick_row(kept, KEY, F.col("_tail") * 1000 + F.col("priority"), F.max_by).drop("_tail")  # a tail row replaces its date
 
 
 def top_up_latest(bars: DataFrame, quotes: DataFrame, end) -> DataFrame:
@@ -95,7 +92,7 @@ def top_up_latest(bars: DataFrame, quotes: DataFrame, end) -> DataFrame:
     behind = bars.groupBy("code").agg(F.max("trade_date").alias("_m")).filter(F.col("_m") < end).select("code")
     fresh = quotes.filter(F.col("trade_date") == end).join(behind, "code", "left_semi").withColumn("_s", F.lit(1))
     both = bars.withColumn("_s", F.lit(0)).unionByName(fresh, allowMissingColumns=True)
-    return _first_of(both, F.col("_s"), F.max_by).drop("_s")
+    return pick_row(both, KEY, F.col("_s"), F.max_by).drop("_s")
 
 
 # --- store --------------------------------------------------------------------------------------
@@ -118,12 +115,11 @@ def read_bars(spark: SparkSession, path: str, start=None, end=None, codes: list[
 
 def upserted(stored: DataFrame | None, new: DataFrame, seq: str | None = None) -> DataFrame:
     """S3 as a table function: quality gate per code, keep-last per date, new over stored."""
-    order = F.col(seq) if seq else F.lit(0)
-    fresh = good_rows(new.filter(classify_board(F.col("code")) != "excluded"))
-    fresh = fresh.withColumn("_s", F.struct(F.lit(1).alias("a"), order.cast("long").alias("b")))
-    both = fresh if stored is None else stored.withColumn(
-        "_s", F.struct(F.lit(0).alias("a"), F.lit(0).cast("long").alias("b"))).unionByName(fresh, allowMissingColumns=True)
-    out = _first_of(both, F.col("_s"), F.max_by).drop("_s")
+    order = (F.col(seq) if seq else F.lit(0)).cast("long")
+    both = good_rows(new.filter(classify_board(F.col("code")) != "excluded")).withColumn("_s", order)
+    if stored is not None:
+        both = stored.withColumn("_s", F.lit(BEFORE_ALL)).unionByName(both, allowMissingColumns=True)
+    out = pick_row(both, KEY, F.col("_s"), F.max_by).drop("_s")
     return out.drop(seq) if seq and seq in out.columns else out
 
 

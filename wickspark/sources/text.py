@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wickspark.functions.pick import computed_once
 from wickspark.operators.ordered import running_max, with_previous
 
 # The shape of a quote variable and of a tracking line, and the words that open a block.
@@ -21,10 +22,8 @@ NIGHT_HOURS = 4  # a US quote stamped before this hour belongs to the day before
 
 def parse_quote_lines(lines: DataFrame, text: str = "value") -> DataFrame:
     """Text lines -> symbol, trade_date, open, high, low, close, vol; lines that do not parse drop out."""
-    parts = F.struct(F.regexp_extract(text, QUOTE, 1).alias("symbol"), F.split(F.regexp_extract(text, QUOTE, 2), ",").alias("_p"))
-    # exploding a one-element array keeps the split a column: a filter on the fields below is not
-    # pushed through it, which would repeat the regular expression for every field
-    raw = lines.select(F.explode_outer(F.array(parts)).alias("q")).select("q.symbol", "q._p").filter("symbol <> ''")
+    raw = computed_once(lines.select(text), symbol=F.regexp_extract(text, QUOTE, 1),
+                        _p=F.split(F.regexp_extract(text, QUOTE, 2), ",")).filter("symbol <> ''")
     n = F.size("_p")
     share = F.col("symbol").rlike("^(sh|sz)") & (n >= SHARE_MIN)
     us = F.col("symbol").startswith("gb_") & (n >= US_MIN)

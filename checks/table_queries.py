@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from checks import sql as S
 from checks.registry import add
-from checks.trade_queries import _SCAN_FEW, FEW, few_scan
+from checks.trade_queries import _BUYS, _COMB, _SCAN_FEW, _SELLS, FEW, _renamed, few_scan
 from wickspark import adapters as A
 from wickspark.functions import codes as K
 from wickspark.model import DAILY_PATTERNS, DAILY_BUY_ORDER, TRACKED_INDEXES
 from wickspark.operators import candles, daily as D, metrics as M, selection as F_
 from wickspark.operators.indicators import latest_row
+from wickspark.plans import flows as P
 from wickspark.sources import bars as B, files as X, text as Q
 from wickspark.streaming import ingest as N
 
@@ -78,8 +79,7 @@ add("source_choose", lambda s, d: B.choose_source(_asked(s, d), END).select(*_BA
 
 def _quotes(s, d):
     """The last bar of each code one week later."""
-    last = A.bars(s, d).groupBy("code").agg(F.max_by(F.struct("trade_date", "open", "high", "low", "close", "vol"), "trade_date").alias("q"))
-    return last.select("code", F.date_add("q.trade_date", 7).alias("trade_date"), *[F.col(f"q.{c}") for c in ("open", "high", "low", "close", "vol")])
+    return latest_row(A.bars(s, d)).select("code", F.date_add("trade_date", 7).alias("trade_date"), "open", "high", "low", "close", "vol")
 
 
 add("source_top_up_latest", lambda s, d: B.top_up_latest(A.bars(s, d), _quotes(s, d), END),
@@ -421,6 +421,32 @@ add("metric_tracking_summary",
     count(*) FILTER (side = 'buy') AS buy_count, count(*) FILTER (tier = 'strong') AS strong_buy_count, count(*) FILTER (tier = 'recommend') AS recommend_buy_count, count(*) FILTER (tier = 'other') AS other_buy_count,
     count(*) FILTER (side = 'sell') AS sell_count, round(avg(win_rate) FILTER (side = 'buy'), 2) AS avg_win_rate FROM t""")
 
+# --- whole flows ----------------------------------------------------------------------------------
+
+add("flow_market_update", lambda s, d: P.market_update(A.bars(s, d), A.universe(s, d), _positions(s, d), patterns=FEW),
+    _SCAN_FEW[:-1] + f", {S.UNIVERSE} SELECT code, side || '_' || pattern AS strategy, side, pattern, trades, win_rate, return_pct, sharpe, max_drawdown FROM scan JOIN universe USING (code) WHERE side = 'buy' OR key % 7 = 0")
+add("flow_daily_tracking",
+    lambda s, d: P.daily_tracking(A.bars(s, d), DAYS, few_scan(s, d).filter("pattern <> 'CDLSHORTLINE'"), M.market_wide_stats(few_scan(s, d)), _positions(s, d), _config(s, d), "directional", patterns=FEW)
+    .select("code", "trade_date", "side", "pattern", "pct_chg", "win_rate", "no_perf_data", "market_trade_count", "tier", "followup_return", "followup_days"),
+    _PERFJ[:-1] + f""", {_CFG}, on_ AS (SELECT * FROM cfg WHERE enabled), {_MKT},
+    f AS (SELECT code, trade_date, close, last_value(close) OVER aft AS l, count(*) OVER aft AS n FROM bars WINDOW aft AS ({S.W} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))
+    SELECT g.code, g.trade_date, g.side, g.pattern, g.pct_chg, p.win_rate, p.code IS NULL AS no_perf_data, m.t AS market_trade_count, {_TIER} AS tier,
+    CASE WHEN f.n > 0 THEN round((f.l - f.close) / f.close * 100, 2) END AS followup_return, f.n AS followup_days
+    FROM {_GJ} LEFT JOIN mkt m ON m.pattern = g.pattern AND m.side = g.side JOIN f ON f.code = g.code AND f.trade_date = g.trade_date
+    WHERE (g.side = 'buy' OR g.code IN (SELECT code FROM universe WHERE key % 7 = 0)) AND ({S.short_index('g.code')} OR NOT EXISTS (SELECT 1 FROM on_ c WHERE c.code = g.code)
+      OR EXISTS (SELECT 1 FROM on_ c WHERE c.code = g.code AND c.pattern = g.fired AND c.pattern_type = g.side))""")
+_BT = (S.BARS, S.sig(tuple(dict.fromkeys(_BUYS + _SELLS))))
+add("flow_backtest", lambda s, d: P.backtest(A.bars(s, d), _BUYS, _SELLS).select("code", "total_return", "total_trades", "win_rate", "sharpe", "max_drawdown", "real_return", "buy_hold_return", "hold_ratio"),
+    S.with_(*_BT, _renamed(S.outcomes(), "_1"), _renamed(S.CAND, "_1").replace("FROM sig", "FROM sig"),
+            f"cand1f AS (SELECT * FROM cand_1 WHERE (side = 'buy' AND pattern IN {_BUYS}) OR (side = 'sell' AND pattern IN {_SELLS}))",
+            _renamed(S.walk(), "_1").replace("FROM cand_1 a", "FROM cand1f a").replace("JOIN cand_1 b", "JOIN cand1f b"),
+            *[c for c in _COMB[2:]], S.equity(("code",)),
+            """pct1 AS (SELECT code, exit_i - e AS hd, round(CASE WHEN side = 'buy' THEN exit_price / entry_price - 1 ELSE entry_price / exit_price - 1 END * 100, 2) AS p FROM trades_1),
+            one AS (SELECT code, round(sum(p), 2) AS total_return, count(*) AS total_trades, round_even(count(*) FILTER (p > 0) / count(*) * 100, 0) AS win_rate, sum(hd) AS hd FROM pct1 GROUP BY code),
+            fin AS (SELECT code, trunc((cash_out / 1e8::DOUBLE - 1) * 100 * 100) / 100.0 AS real_return FROM trades QUALIFY row_number() OVER (PARTITION BY code ORDER BY trade_no DESC) = 1),
+            bh AS (SELECT code, round((last(close ORDER BY trade_date) / first(close ORDER BY trade_date) - 1) * 100, 2) AS buy_hold_return, count(*) AS n FROM bars GROUP BY code)""", recursive=True)
+    + "SELECT code, total_return, total_trades, win_rate, sharpe, max_drawdown, real_return, buy_hold_return, round(hd / n, 4) AS hold_ratio FROM one JOIN acct USING (code) JOIN fin USING (code) JOIN bh USING (code)".replace("win_rate, sharpe", "one.win_rate, sharpe"))
+
 # --- ST1, ST2 on tables ---------------------------------------------------------------------------
 
 

@@ -16,12 +16,17 @@ from wickspark.operators.metrics import keep_last, pattern_cn
 PERF = ("win_rate", "return_pct", "sharpe", "max_drawdown", "trades")
 
 
-def daily_signals(bars: DataFrame, days, names: Iterable[str] = DAILY_PATTERNS, cautious: bool = False) -> DataFrame:
+def daily_signals(bars: DataFrame, days, names: Iterable[str] = DAILY_PATTERNS, cautious: bool = False,
+                  since=None) -> DataFrame:
     """Every pattern that speaks on the tracking day(s), with the day's close and change.
 
     days: one date or a list.  The whole history is the look-back, so no pattern is silenced by a
-    short window; only the rows of the asked days leave the window stage."""
+    short window; only the rows of the asked days leave the window stage.  `since` reads less: months
+    before it are not touched.  The result is the same as long as every code has 25 bars from `since`
+    to the day (the longest pattern looks back 14 bars)."""
     names = tuple(names)
+    if since is not None:
+        bars = bars.filter(F.col("trade_date") >= F.lit(since).cast("date"))
     wanted = [F.lit(d).cast("date") for d in (days if isinstance(days, (list, tuple)) else [days])]
     rules = refine.signal_rules() if cautious else {}
     guarded = [n for n in names if n in rules]

@@ -24,6 +24,7 @@ from wickspark.operators.refine import entry_rules
 
 KEYS = ("code", "pattern", "side")
 NEVER = 2147483647
+PAGE = 64  # trades are appended page by page: appending to one long array would copy it every time
 WHOLE = ("OVER (PARTITION BY code ORDER BY trade_date "
          "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
 
@@ -153,14 +154,16 @@ def accounts(candidates: DataFrame, cash: float = START_CASH, keys: Iterable[str
            f"{into} - {size} * x.exit_price * {1 + COMMISSION}D)")
     schema = grouped.schema["_c"].dataType.elementType.simpleString()
     done = f"struct<c:{schema},size:double,cash_before:double,cash_in:double,cash_out:double>"
+    trade = f"array(named_struct('c', x, 'size', {size}, 'cash_before', acc.cash, 'cash_in', {into}, 'cash_out', {out}))"
+    full = f"size(acc.page) >= {PAGE}"
     fold = f"""aggregate(_c,
-        named_struct('free', -1, 'cash', {cash}D, 'trades', CAST(array() AS array<{done}>)),
+        named_struct('free', -1, 'cash', {cash}D, 'pages', CAST(array() AS array<array<{done}>>), 'page', CAST(array() AS array<{done}>)),
         (acc, x) -> IF(x.entry_idx >= acc.free AND {size} > 0,
-            named_struct('free', x.next_free, 'cash', {out}, 'trades',
-                concat(acc.trades, array(named_struct('c', x, 'size', {size}, 'cash_before', acc.cash,
-                                                      'cash_in', {into}, 'cash_out', {out})))),
+            named_struct('free', x.next_free, 'cash', {out},
+                         'pages', IF({full}, concat(acc.pages, array(acc.page)), acc.pages),
+                         'page', IF({full}, {trade}, concat(acc.page, {trade}))),
             acc),
-        acc -> acc.trades)"""
+        acc -> flatten(concat(acc.pages, array(acc.page))))"""
     return grouped.selectExpr(*keys, f"{fold} AS trades")
 
 

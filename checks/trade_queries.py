@@ -11,7 +11,7 @@ from checks.registry import add
 from checks.signal_queries import (_TR, RULE_SQL, UNION_BUY, UNION_BUY_V2, UNION_SELL, UNION_SELL_V2, UNION_SQL, _lined,
                                    _roll)
 from wickspark import adapters as A
-from wickspark.model import ALL_PATTERNS, BUY_CLASS, CAUTIOUS, SELL_CLASS
+from wickspark.model import ALL_PATTERNS, BUY_CLASS, SELL_CLASS
 from wickspark.operators import candles, combined as C, cycles as Z, metrics as M, rules as R, trades as T
 
 FEW = ("CDLDOJI", "CDLENGULFING", "CDLHARAMI", "CDLMARUBOZU", "CDLSHORTLINE")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wickspark.model import (CAUTIOUS, COMMISSION, DAILY_BUY_ORDER, DAILY_SELL_ORDER, HOLD_DAYS, LOT,
-                             START_CASH)
+                             PATTERN_ALIAS, START_CASH)
 from wickspark.operators import candles, refine
 from wickspark.operators import trades as T
 from wickspark.operators.candles import W
@@ -53,8 +53,7 @@ def pool_candidates(bars: DataFrame, performance: DataFrame, hold: int = HOLD_DA
     rows = candles.frame(bars).select("code", "trade_date", "bar_idx", "open", "close",
                                       *[candles.pattern_value(n) for n in names],
                                       *[F.expr(str(rules[n])).alias(f"_ok_{n}") for n in CAUTIOUS])
-    shown = {"CDL2CROWS": "CDLADVANCEBLOCK"}
-    buy = " ".join(f"WHEN {n} > 0{f' AND coalesce(_ok_{n}, false)' if n in CAUTIOUS else ''} THEN '{shown.get(n, n)}'"
+    buy = " ".join(f"WHEN {n} > 0{f' AND coalesce(_ok_{n}, false)' if n in CAUTIOUS else ''} THEN '{PATTERN_ALIAS.get(n, n)}'"
                    for n in reversed(names))
     sell = " OR ".join(f"{n} < 0" for n in names if n in sells)
     rows = rows.selectExpr("code", "trade_date", "bar_idx", "open", "close", f"CASE {buy} END AS pattern",

@@ -126,8 +126,9 @@ def upserted(stored: DataFrame | None, new: DataFrame, seq: str | None = None) -
 def upsert_bars(spark: SparkSession, path: str, new: DataFrame, seq: str | None = None) -> None:
     """S3: merge new bars into the store, rewriting only the months they touch.
 
-    One task writes one month of one board, however many codes it has; the list of touched months is
-    bounded by the calendar and is the only thing the driver sees."""
+    Rows are brought together by board and month with a rebalance hint: AQE joins small months into
+    one task and splits a large one (a board may hold most of the market) by size.  The list of touched
+    months is bounded by the calendar and is the only thing the driver sees."""
     new = new.withColumn("trade_date", as_date(F.col("trade_date")))
     months = [r[0] for r in new.select(F.date_format("trade_date", "yyyyMM")).distinct().collect() if r[0]]
     try:
@@ -137,7 +138,7 @@ def upsert_bars(spark: SparkSession, path: str, new: DataFrame, seq: str | None
             raise
         stored = None
     out = with_partitions(upserted(stored, new, seq))
-    (out.repartition("board", "ym").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (out.hint("rebalance", "board", "ym").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("board", "ym").parquet(path))
 
 

@@ -177,3 +177,10 @@ def test_vendor_layouts(spark):
     assert (r.trade_date, r.vol, r.turnover_rate) == (D(2024, 1, 5), 300.0, None)
     frac = spark.createDataFrame([("600000.SH", "2024-01-05", 1.0, 2.0, 0.5, 1.5, 3.0, 0.25)], "code string, date string, open double, high double, low double, close double, volume double, turnover double")
     assert B.normalize_vendor(frac, "stock_fraction").first().turnover_rate == 25.0
+
+
+def test_update_log_appends(spark, folder):
+    row = spark.createDataFrame([("t1", "600000.SH", "ok", 3)], "task_id string, code string, status string, rows_added int")
+    for _ in range(2):
+        B.append_update_log(row, f"{folder}/log")
+    assert spark.read.parquet(f"{folder}/log").count() == 2

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wickspark.llm import mixing, urls
+from wickspark.llm import decontamination, mixing, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -17,6 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    ids = F.array_join(F.array_sort(F.col("items").cast("array<string>")), ",")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), "contaminated")
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_verdicts(table(spark, sf_dir, "pages"), spark.createDataFrame(urls.RULES, urls.RULE_COLUMNS))
 
@@ -26,5 +32,5 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_copies") * F.col("mix_size")).alias("taken"))
 
 
-QUERIES |= {"op4_url_filter": op4_url_filter, "op7_mixing": op7_mixing}
-SQL |= {"op4_url_filter": urls.SQL, "op7_mixing": mixing.SQL}
+QUERIES |= {"op1_decontamination": op1_decontamination, "op4_url_filter": op4_url_filter, "op7_mixing": op7_mixing}
+SQL |= {"op1_decontamination": decontamination.SQL, "op4_url_filter": urls.SQL, "op7_mixing": mixing.SQL}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wickspark.llm import decontamination, mixing, urls
+from wickspark.llm import decontamination, mixing, substrings, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -23,6 +23,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), "contaminated")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.substring_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_verdicts(table(spark, sf_dir, "pages"), spark.createDataFrame(urls.RULES, urls.RULE_COLUMNS))
 
@@ -32,5 +37,5 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_copies") * F.col("mix_size")).alias("taken"))
 
 
-QUERIES |= {"op1_decontamination": op1_decontamination, "op4_url_filter": op4_url_filter, "op7_mixing": op7_mixing}
-SQL |= {"op1_decontamination": decontamination.SQL, "op4_url_filter": urls.SQL, "op7_mixing": mixing.SQL}
+QUERIES |= {"op2_substring_dedup": op2_substring_dedup, "op1_decontamination": op1_decontamination, "op4_url_filter": op4_url_filter, "op7_mixing": op7_mixing}
+SQL |= {"op2_substring_dedup": substrings.SQL, "op1_decontamination": decontamination.SQL, "op4_url_filter": urls.SQL, "op7_mixing": mixing.SQL}

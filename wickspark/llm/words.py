@@ -71,11 +71,14 @@ def powers(base: int, n: int) -> np.ndarray:
 
 @dataclass
 class Words:
-    """Words of texts first ... first + count - 1 of a batch. bounds: of text t, words bounds[t] ... bounds[t + 1] - 1."""
+    """Words of texts first ... first + count - 1 of a batch.
+
+    Of text t: bytes at[t] ... at[t + 1] - 1 of data, words bounds[t] ... bounds[t + 1] - 1."""
 
     first: int
     count: int
     data: np.ndarray
+    at: np.ndarray
     start: np.ndarray
     end: np.ndarray
     bounds: np.ndarray
@@ -144,7 +147,7 @@ def words_of(column: pa.Array | pa.ChunkedArray, kind: np.ndarray, size: int = S
         total = np.add.reduceat(value, start) if len(start) else np.zeros(0, np.uint64)
         total *= powers(_INVERSE, len(part) + 1)[start]
         bounds = np.searchsorted(start, at)
-        yield Words(a, b - a, codes if kind is not SPACED else part, start, end, bounds, mixed(total + (end - start).astype(np.uint64)))
+        yield Words(a, b - a, codes if kind is not SPACED else part, at, start, end, bounds, mixed(total + (end - start).astype(np.uint64)))
 
 
 def grams(words: Words, n: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -161,10 +164,18 @@ def grams(words: Words, n: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
     return out, np.arange(w) + n <= last
 
 
+def whole_hash(words: Words) -> np.ndarray:
+    """Hash of all words of each text."""
+    w = len(words.hash)
+    total = np.append(np.uint64(0), np.cumsum(words.hash * powers(_BASE, w + 1)[:w]))
+    first, last = words.bounds[:-1], words.bounds[1:]
+    return mixed((total[last] - total[first]) * powers(_INVERSE, w + 1)[first] + (last - first).astype(np.uint64))
+
+
 def second(words: Words) -> Words:
     """The same words with hashes of another kind: with it, grams() gives the other half of a 128-bit hash."""
     other = mixed(words.hash ^ np.uint64(0xA0761D6478BD642F))
-    return Words(words.first, words.count, words.data, words.start, words.end, words.bounds, other)
+    return Words(words.first, words.count, words.data, words.at, words.start, words.end, words.bounds, other)
 
 
 def signed(x: np.ndarray) -> np.ndarray:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wickspark.llm import decontamination, mixing, substrings, urls
+from wickspark.llm import decontamination, mixing, neardup, substrings, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -32,10 +32,14 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_verdicts(table(spark, sf_dir, "pages"), spark.createDataFrame(urls.RULES, urls.RULE_COLUMNS))
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix(docs).select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_copies") * F.col("mix_size")).alias("taken"))
 
 
-QUERIES |= {"op2_substring_dedup": op2_substring_dedup, "op1_decontamination": op1_decontamination, "op4_url_filter": op4_url_filter, "op7_mixing": op7_mixing}
-SQL |= {"op2_substring_dedup": substrings.SQL, "op1_decontamination": decontamination.SQL, "op4_url_filter": urls.SQL, "op7_mixing": mixing.SQL}
+QUERIES |= {"op5_minhash": op5_minhash, "op2_substring_dedup": op2_substring_dedup, "op1_decontamination": op1_decontamination, "op4_url_filter": op4_url_filter, "op7_mixing": op7_mixing}
+SQL |= {"op5_minhash": neardup.SQL, "op2_substring_dedup": substrings.SQL, "op1_decontamination": decontamination.SQL, "op4_url_filter": urls.SQL, "op7_mixing": mixing.SQL}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wickspark.llm import decontamination, mixing, neardup, substrings, urls
+from wickspark.llm import decontamination, langid, mixing, neardup, quality, substrings, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -36,10 +36,19 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.languages(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return found.select("doc_id", F.col("lid_held_out").alias("held_out"), F.col("lid_pred").alias("lang_pred"), F.col("lid_score").alias("score"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix(docs).select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_copies") * F.col("mix_size")).alias("taken"))
 
 
-QUERIES |= {"op5_minhash": op5_minhash, "op2_substring_dedup": op2_substring_dedup, "op1_decontamination": op1_decontamination, "op4_url_filter": op4_url_filter, "op7_mixing": op7_mixing}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.qualities(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES |= {"op6_language": op6_language, "op10_quality": op10_quality, "op5_minhash": op5_minhash, "op2_substring_dedup": op2_substring_dedup, "op1_decontamination": op1_decontamination, "op4_url_filter": op4_url_filter, "op7_mixing": op7_mixing}
 SQL |= {"op5_minhash": neardup.SQL, "op2_substring_dedup": substrings.SQL, "op1_decontamination": decontamination.SQL, "op4_url_filter": urls.SQL, "op7_mixing": mixing.SQL}

@@ -241,7 +241,7 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     all. If a doc_id has several rows they are one place: equal windows at equal positions of it are no repeat, and what goes
     from one goes at the same positions from the others. No rows: no rows.
     """
-    n = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     placed = plain.withColumn("place", place_of(F.col("doc_id"), F.col("text"), n))
     settle = _settle(n)

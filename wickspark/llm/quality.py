@@ -88,11 +88,11 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     model.weight, model.bias = dual_descent([v for v, a in zip(vectors, aside, strict=True) if not a], y[~aside], size)
     seen = aside if aside.any() else ~aside
     margins = np.array([model.margin(r) for r, s in zip(rows, seen, strict=True) if s])
-    model.slope, model.shift = _logistic(margins, (y[seen] > 0).astype(float))
+    model.slope, model.shift = logistic(margins, (y[seen] > 0).astype(float))
     return model
 
 
-def _logistic(x: np.ndarray, t: np.ndarray) -> tuple[float, float]:
+def logistic(x: np.ndarray, t: np.ndarray) -> tuple[float, float]:
     """Slope and shift of the logistic curve, by Newton steps, held back a little from infinity; the slope stays positive."""
     a, b = 1.0, 0.0
     for _ in range(50):

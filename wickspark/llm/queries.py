@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wickspark.llm import decontamination, langid, mixing, neardup, quality, substrings, urls
+from wickspark.llm import decontamination, langid, mixing, neardup, pages, quality, secrets, substrings, topk, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -28,6 +28,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_verdicts(table(spark, sf_dir, "pages"), spark.createDataFrame(urls.RULES, urls.RULE_COLUMNS))
 
@@ -46,9 +50,25 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_copies") * F.col("mix_size")).alias("taken"))
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    counts = [F.expr(f"bigint(size(filter(secret_base, s -> s.kind = '{k}')))").alias(f"n_{k}") for k in secrets.KINDS]
+    return found.select("doc_id", *counts, F.sha2(told(F.col("secret_base")), 256).alias("base_sha256"), told(F.col("secret_spans")).alias("spans"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.qualities(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES |= {"op6_language": op6_language, "op10_quality": op10_quality, "op5_minhash": op5_minhash, "op2_substring_dedup": op2_substring_dedup, "op1_decontamination": op1_decontamination, "op4_url_filter": op4_url_filter, "op7_mixing": op7_mixing}
-SQL |= {"op5_minhash": neardup.SQL, "op2_substring_dedup": substrings.SQL, "op1_decontamination": decontamination.SQL, "op4_url_filter": urls.SQL, "op7_mixing": mixing.SQL}
+QUERIES |= {
+    "op1_decontamination": op1_decontamination, "op2_substring_dedup": op2_substring_dedup, "op3_topk": op3_topk, "op4_url_filter": op4_url_filter, "op5_minhash": op5_minhash,
+    "op6_language": op6_language, "op7_mixing": op7_mixing, "op8_html": op8_html, "op9_secrets": op9_secrets, "op10_quality": op10_quality,
+}
+SQL |= {
+    "op1_decontamination": decontamination.SQL, "op2_substring_dedup": substrings.SQL, "op3_topk": topk.SQL, "op4_url_filter": urls.SQL, "op5_minhash": neardup.SQL, "op7_mixing": mixing.SQL,
+}

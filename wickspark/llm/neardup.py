@@ -4,14 +4,14 @@ A document is the set of its distinct SHINGLE-word shingles. Documents with equa
 The signature holds HASHES minima under universal hash functions; nodes that agree in all ROWS minima of a band are in
 one bucket. At a similarity of 0.8 a pair misses all 32 bands with probability 3e-6; that is the only approximation.
 
-First, in every bucket, all nodes are paired with its smallest node (a star, not all pairs): links are confirmed, components
+First, in every bucket, all nodes are paired with the node that meets most others in all buckets (a star, not all pairs): links are confirmed, components
 formed. What may be missing are links between nodes of a bucket that are still in different components. So, second, buckets
-with several components compare all their nodes, block by block, across components; pairs that agree in enough minima are
-confirmed, and the components are formed again. No pair of a bucket goes unseen, unless its nodes are already connected.
+with several components compare all their nodes, block by block, across components: pairs that agree in enough minima are
+confirmed on their sets, unless a link found before connects them, and the components are formed again. No pair of a bucket goes unseen, unless its nodes are already connected.
 
 Scale: signatures are fixed-size. Buckets are counted with map-side combine. Stars make one pair for each node and band. Large
 groups of near copies become one component at once and cost nothing in the second step. Blocks bound memory there. Full
-sets are made only for nodes of candidate pairs. Joins on hot keys have both sides exchanged, so Spark's skew join splits them.
+sets are made only for nodes that share a bucket. Joins on hot keys have both sides exchanged, so Spark's skew join splits them.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from wickspark.llm.components import components
 from wickspark.llm.frames import cut
 from wickspark.llm.words import LOWER_SPACED, Words, grams, mixed, signed, words_of
 
-BANDS, ROWS, BLOCK = 32, 5, 4096
+BANDS, ROWS, BLOCK = 32, 5, 2048
 HASHES = BANDS * ROWS
 #: Pairs below this share of equal minima aren't confirmed: 5 standard deviations below 0.8.
 LEAST_EQUAL = 0.8 - 5 * (0.8 * 0.2 / HASHES) ** 0.5
@@ -108,55 +108,93 @@ def _confirm(percent: int):
             keep = []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
                 p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                common = len(p) + len(q) - len(np.union1d(p, q))
+                common = _common(p, q)
                 keep.append(100 * common >= percent * (len(p) + len(q) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows key, i, j, side, node, component, minima, by key, i, j. Pairs of a group in different components that agree enough;
-    in a group of two blocks, one of each."""
+def _common(p: np.ndarray, q: np.ndarray) -> int:
+    return len(np.intersect1d(p, q, assume_unique=True))
 
-    def pairs(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+
+class _Group:
+    """Nodes of a bucket's block, or of two blocks. links() confirms pairs across components on the full sets, and stops asking for
+    pairs that the links found so far connect."""
+
+    def __init__(self, rows: list[pa.RecordBatch]) -> None:
         t = pa.Table.from_batches(rows)
-        node, group, block = t["node"].to_numpy(), t["component"].to_numpy(), t["side"].to_numpy()
-        minima = np.frombuffer(b"".join(t["minima"].to_pylist()), np.uint32).reshape(-1, HASHES)
-        two = t["i"][0].as_py() != t["j"][0].as_py()
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        for r in range(len(node)):
-            other = np.flatnonzero((group[r + 1 :] != group[r]) & ((block[r + 1 :] != block[r]) | (not two))) + r + 1
-            if len(other):
-                near = other[(minima[other] == minima[r]).mean(axis=1) >= LEAST_EQUAL]
-                found.append((np.full(len(near), node[r]), node[near]))
-        a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not len(batch):
-            continue
-        marks = np.stack([batch.column(c).to_numpy() for c in ("key", "i", "j")])
-        cuts = np.append(np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1, len(batch)).tolist()
-        if held and any(held[0].column(c)[0] != batch.column(c)[0] for c in ("key", "i", "j")):
-            yield pairs(held)
-            held = []
-        at = 0
-        for stop in cuts:
-            held.append(batch.slice(at, stop - at))
-            at = stop
-            if stop < len(batch):
-                yield pairs(held)
+        self.node, self.side, self.band = t["node"].to_numpy(), t["side"].to_numpy(), t["band"][0].as_py()
+        self.two = t["i"][0].as_py() != t["j"][0].as_py()
+        self.minima = np.frombuffer(b"".join(t["minima"].to_pylist()), np.uint32).reshape(-1, HASHES)
+        self.sets = [np.frombuffer(x, np.uint64) for x in t["members"].to_pylist()]
+        self.sizes = np.array([len(x) for x in self.sets])
+        _, self.group = np.unique(t["component"].to_numpy(), return_inverse=True)
+        self.small: dict[int, frozenset] = {}
+
+    def _held(self, k: int) -> frozenset:
+        if k not in self.small:
+            self.small[k] = frozenset(self.sets[k].tolist())
+        return self.small[k]
+
+    def _confirmed(self, r: int, k: int, percent: int) -> bool:
+        few = max(self.sizes[r], self.sizes[k]) <= 2000
+        common = len(self._held(r) & self._held(k)) if few else _common(self.sets[r], self.sets[k])
+        return 100 * common >= percent * (self.sizes[r] + self.sizes[k] - common)
+
+    def links(self, percent: int) -> list[tuple[int, int]]:
+        out = []
+        for r in range(len(self.node) - 1):
+            rest = slice(r + 1, None)
+            low, high = np.minimum(self.sizes[rest], self.sizes[r]), np.maximum(self.sizes[rest], self.sizes[r])
+            other = np.flatnonzero((self.group[rest] != self.group[r]) & ((self.side[rest] != self.side[r]) | (not self.two)) & (100 * low >= percent * high)) + r + 1
+            if not len(other):
+                continue
+            equal = self.minima[other] == self.minima[r]
+            # a pair that several bands bring together is asked for in the first of them
+            first = equal.reshape(len(other), BANDS, ROWS).all(axis=2).argmax(axis=1)
+            alike = equal.mean(axis=1)
+            chosen = np.flatnonzero((alike >= LEAST_EQUAL) & (first == self.band))
+            for k in other[chosen[np.argsort(-alike[chosen], kind="stable")]].tolist():
+                if self.group[k] != self.group[r] and self._confirmed(r, k, percent):
+                    out.append((int(self.node[r]), int(self.node[k])))
+                    self.group[self.group == self.group[k]] = self.group[r]
+        return out
+
+
+def _across(percent: int):
+    """Rows by key, i, j, sorted so: confirmed links between components of each group."""
+
+    def linked(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        links = _Group(rows).links(percent)
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            marks = np.stack([batch.column(c).to_numpy() for c in ("key", "i", "j")])
+            cuts = np.append(np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1, len(batch)).tolist()
+            if held and any(held[0].column(c)[0] != batch.column(c)[0] for c in ("key", "i", "j")):
+                yield linked(held)
                 held = []
-    if held:
-        yield pairs(held)
+            at = 0
+            for stop in cuts:
+                held.append(batch.slice(at, stop - at))
+                at = stop
+                if stop < len(batch):
+                    yield linked(held)
+                    held = []
+        if held:
+            yield linked(held)
+
+    return run
 
 
-def _links(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets are as alike as is asked for."""
-    nodes = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = cut(texts.join(nodes, "doc_id", "left_semi").mapInArrow(_sets(size), "node bigint, members binary").dropDuplicates(["node"]))
     side = lambda one, other: sets.select(F.col("node").alias(one), F.col("members").alias(other))
     return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a bigint, b bigint")
 
@@ -178,30 +216,35 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> Dat
     member = cut(full.select("doc_id", "d1", "d2", key.alias("k")).join(first.select("d1", "d2", "node", key.alias("k")), ["k", "d1", "d2"]).select("doc_id", "node").distinct())
     nodes = full.join(member.filter("doc_id = node").select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "minima")
     width = 4 * ROWS
-    keys = F.array(*[F.xxhash64(F.lit(k), F.substring("minima", 1 + k * width, width)) for k in range(BANDS)])
-    rows = nodes.select("node", F.explode(keys).alias("key"))
-    heads = rows.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head < last").select(F.bitwise_not("key").alias("k"), "head")
-    bucketed = cut(rows.withColumn("k", F.bitwise_not("key")).join(heads, "k").select("key", "node", "head"))
-    star = bucketed.filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    keys = F.array(*[F.struct(F.lit(k).alias("band"), F.xxhash64(F.lit(k), F.substring("minima", 1 + k * width, width)).alias("key")) for k in range(BANDS)])
+    rows = nodes.select("node", F.explode(keys).alias("b")).select("node", "b.band", "b.key")
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select(F.bitwise_not("key").alias("k"), "size")
+    bucketed = cut(rows.withColumn("k", F.bitwise_not("key")).join(sizes, "k").select("key", "band", "node", "size"))
+    # what all of a group are copies of meets more of them than they meet each other
+    central = bucketed.groupBy("node").agg(F.sum("size").alias("weight"))
+    sets = cut(plain.join(central.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets(shingle), "node bigint, members binary").dropDuplicates(["node"]))
+    heads = bucketed.join(central, "node").groupBy("key").agg(F.max(F.struct("weight", "node"))["node"].alias("head")).select(F.bitwise_not("key").alias("k"), "head")
+    star = bucketed.withColumn("k", F.bitwise_not("key")).join(heads, "k").filter("node <> head").select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")).distinct()
     minima = lambda one, other: nodes.select(F.col("node").alias(one), F.col("minima").alias(other))
-    likely = cut(star.join(minima("a", "x"), "a").join(minima("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_alike, "a bigint, b bigint"))
-    links = cut(_links(likely, plain, shingle, percent))
+    likely = star.join(minima("a", "x"), "a").join(minima("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_alike, "a bigint, b bigint")
+    links = cut(_links(likely, sets, percent))
     # an id with several texts joins their nodes
     owned = member.groupBy("doc_id").agg(F.min("node").alias("node"), F.max("node").alias("last"))
     several = owned.filter("node < last").select("doc_id", F.col("node").alias("a")).join(member, "doc_id").select("a", F.col("node").alias("b"))
     links = links.union(several)
     found = cut(components(links))
 
-    placed = bucketed.select("key", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo < hi")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    spread = placed.withColumn("k", F.bitwise_not("key")).join(mixed_keys.select(F.bitwise_not("key").alias("k"), "m"), "k").withColumn("side", block).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    blocked = spread.select("key", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"), "side", "node", "component").join(nodes, "node")
-    sorted_rows = blocked.select("key", "i", "j", "side", "node", "component", "minima").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    crossed = cut(sorted_rows.mapInArrow(_across, "a bigint, b bigint").distinct())
-    if not crossed.isEmpty():
-        links = links.union(_links(crossed, plain, shingle, percent))
+    placed = bucketed.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select(F.bitwise_not("key").alias("k"))
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    spread = (
+        placed.withColumn("k", F.bitwise_not("key")).join(open_keys, "k")
+        .withColumn("side", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .select("key", "band", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"), "side", "node", "component")
+    )
+    blocked = spread.join(nodes, "node").join(sets, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    crossed = blocked.select("key", "band", "i", "j", "side", "node", "component", "minima", "members").mapInArrow(_across(percent), "a bigint, b bigint")
+    links = links.union(cut(crossed))
     answer = scanned.select("doc_id", "n").join(owned.select("doc_id", "node"), "doc_id", "left").join(components(links), "node", "left")
     component = F.coalesce("component", "node", "doc_id")
     return answer.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id").isNull() | (component == F.col("doc_id"))).alias("kept"))

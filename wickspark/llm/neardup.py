@@ -70,6 +70,11 @@ def _sum(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
+def _digests(sets: np.ndarray, bounds: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Two hashes of each whole set."""
+    return pa.array(signed(_sum(mixed(sets), bounds))), pa.array(signed(_sum(mixed(sets ^ _OTHER), bounds)))
+
+
 def _scan(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,8 +82,7 @@ def _scan(size: int):
                 sets, bounds = shingles(words, size)
                 rows = signatures(sets, bounds)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(words.first, words.count), pa.array(np.diff(bounds)), pa.array(signed(_sum(mixed(sets), bounds))),
-                    pa.array(signed(_sum(mixed(sets ^ _OTHER), bounds))), pa.array([r.tobytes() for r in rows], pa.binary())], ["doc_id", "n", "d1", "d2", "minima"])
+                    batch.column(0).slice(words.first, words.count), pa.array(np.diff(bounds)), *_digests(sets, bounds), pa.array([r.tobytes() for r in rows], pa.binary())], ["doc_id", "n", "d1", "d2", "minima"])
 
     return run
 
@@ -89,7 +93,8 @@ def _sets(size: int):
             for words in words_of(batch.column(1), LOWER_SPACED):
                 sets, bounds = shingles(words, size)
                 blobs = [sets[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(words.first, words.count), pa.array(blobs, pa.binary())], ["node", "members"])
+                digests = _digests(sets, bounds)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(words.first, words.count), *digests, pa.array(blobs, pa.binary())], ["node", "d1", "d2", "members"])
 
     return run
 
@@ -204,17 +209,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> Dat
 
     Words are runs of anything but white space, A-Z as a-z. Linked: 100 x intersection >= percent x union of the sets of
     hashed shingles (64 bits). component_id: the smallest doc_id reachable. Null, empty and blank texts have no shingle and no link.
-    Rows that repeat a doc_id with the same text are the same node, with other texts nodes under one id, and links of one
-    are links of all; kept doesn't tell them apart. Rows without doc_id are linked with nothing, have no component_id and are kept.
+    Rows that repeat a doc_id are one document; if their texts differ, the one whose set has the smallest hash is linked for
+    all, and kept doesn't tell them apart. Rows without doc_id are linked with nothing, have no component_id and are kept.
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scanned = cut(plain.mapInArrow(_scan(shingle), "doc_id bigint, n bigint, d1 bigint, d2 bigint, minima binary"))
+    scanned = cut(plain.mapInArrow(_scan(shingle), "doc_id bigint, n bigint, d1 bigint, d2 bigint, minima binary")).withColumn("_row", F.monotonically_increasing_id())
     full = scanned.filter("n > 0 AND doc_id IS NOT NULL")
-    first = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"))
+    one = full.groupBy("doc_id").agg(F.min(F.struct("d1", "d2", "_row")).alias("s")).select("doc_id", "s.*")
+    first = one.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"))
     # of a third of all rows that are copies, the join's side with the rows can be split: neither side is dealt by the key yet
     key = F.col("d1").bitwiseXOR(F.col("d2"))
-    member = cut(full.select("doc_id", "d1", "d2", key.alias("k")).join(first.select("d1", "d2", "node", key.alias("k")), ["k", "d1", "d2"]).select("doc_id", "node").distinct())
-    nodes = full.join(member.filter("doc_id = node").select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "minima")
+    member = cut(one.withColumn("k", key).join(first.withColumn("k", key), ["k", "d1", "d2"]).select("doc_id", "node", "_row"))
+    nodes = full.join(member.filter("doc_id = node").select("_row"), "_row", "left_semi").select(F.col("doc_id").alias("node"), "d1", "d2", "minima")
     width = 4 * ROWS
     keys = F.array(*[F.struct(F.lit(k).alias("band"), F.xxhash64(F.lit(k), F.substring("minima", 1 + k * width, width)).alias("key")) for k in range(BANDS)])
     rows = nodes.select("node", F.explode(keys).alias("b")).select("node", "b.band", "b.key")
@@ -222,16 +228,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> Dat
     bucketed = cut(rows.withColumn("k", F.bitwise_not("key")).join(sizes, "k").select("key", "band", "node", "size"))
     # what all of a group are copies of meets more of them than they meet each other
     central = bucketed.groupBy("node").agg(F.sum("size").alias("weight"))
-    sets = cut(plain.join(central.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets(shingle), "node bigint, members binary").dropDuplicates(["node"]))
+    sets = plain.join(central.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets(shingle), "node bigint, d1 bigint, d2 bigint, members binary")
+    # of an id with several texts or rows, one set
+    sets = sets.join(nodes.select("node", "d1", "d2"), ["node", "d1", "d2"], "left_semi").dropDuplicates(["node"]).select("node", "members")
+    sets = cut(sets)
     heads = bucketed.join(central, "node").groupBy("key").agg(F.max(F.struct("weight", "node"))["node"].alias("head")).select(F.bitwise_not("key").alias("k"), "head")
     star = bucketed.withColumn("k", F.bitwise_not("key")).join(heads, "k").filter("node <> head").select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")).distinct()
     minima = lambda one, other: nodes.select(F.col("node").alias(one), F.col("minima").alias(other))
     likely = star.join(minima("a", "x"), "a").join(minima("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_alike, "a bigint, b bigint")
     links = cut(_links(likely, sets, percent))
-    # an id with several texts joins their nodes
-    owned = member.groupBy("doc_id").agg(F.min("node").alias("node"), F.max("node").alias("last"))
-    several = owned.filter("node < last").select("doc_id", F.col("node").alias("a")).join(member, "doc_id").select("a", F.col("node").alias("b"))
-    links = links.union(several)
     found = cut(components(links))
 
     placed = bucketed.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -242,10 +247,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> Dat
         .withColumn("side", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .select("key", "band", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"), "side", "node", "component")
     )
-    blocked = spread.join(nodes, "node").join(sets, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    blocked = spread.join(nodes.select("node", "minima"), "node").join(sets, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     crossed = blocked.select("key", "band", "i", "j", "side", "node", "component", "minima", "members").mapInArrow(_across(percent), "a bigint, b bigint")
     links = links.union(cut(crossed))
-    answer = scanned.select("doc_id", "n").join(owned.select("doc_id", "node"), "doc_id", "left").join(components(links), "node", "left")
+    answer = scanned.select("doc_id", "n").join(member.select("doc_id", "node"), "doc_id", "left").join(components(links), "node", "left")
     component = F.coalesce("component", "node", "doc_id")
     return answer.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id").isNull() | (component == F.col("doc_id"))).alias("kept"))
 

@@ -7,11 +7,11 @@ one bucket. At a similarity of 0.8 a pair misses all 32 bands with probability 3
 First, in every bucket, all nodes are paired with the node that meets most others in all buckets (a star, not all pairs): links are confirmed, components
 formed. What may be missing are links between nodes of a bucket that are still in different components. So, second, buckets
 with several components compare all their nodes, block by block, across components: pairs that agree in enough minima are
-confirmed on their sets, unless a link found before connects them, and the components are formed again. No pair of a bucket goes unseen, unless its nodes are already connected.
+then confirmed on their sets, unless a link found before connects them, and the components are formed again. No pair of a bucket goes unseen, unless its nodes are already connected.
 
 Scale: signatures are fixed-size. Buckets are counted with map-side combine. Stars make one pair for each node and band. Large
 groups of near copies become one component at once and cost nothing in the second step. Blocks bound memory there. Full
-sets are made only for nodes that share a bucket. Joins on hot keys have both sides exchanged, so Spark's skew join splits them.
+sets are made only for nodes of pairs whose signatures are alike. Joins on hot keys have both sides exchanged, so Spark's skew join splits them.
 """
 
 from __future__ import annotations
@@ -51,8 +51,9 @@ def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(sets: np.ndarray, bounds: np.ndarray, step: int = 1 << 15) -> np.ndarray:
-    """A row of minima for each set; bounds as from shingles(). Sets that are empty have rows that mean nothing."""
-    out = np.zeros((len(bounds) - 1, HASHES), np.uint32)
+    """A row for each set with the low 16 bits of its minima; bounds as from shingles(). Sets that are empty have rows that mean
+    nothing. Different minima agree in them once in 65536."""
+    out = np.zeros((len(bounds) - 1, HASHES), np.uint16)
     full = np.flatnonzero(np.diff(bounds))
     a = 0
     while a < len(full):
@@ -60,7 +61,7 @@ def signatures(sets: np.ndarray, bounds: np.ndarray, step: int = 1 << 15) -> np.
         lo, hi = bounds[full[a]], bounds[full[b - 1] + 1]
         part, starts = sets[lo:hi], bounds[full[a:b]] - lo
         for k in range(HASHES):
-            out[full[a:b], k] = np.minimum.reduceat((part * _FACTORS[k] + _SHIFTS[k]) >> np.uint64(32), starts)
+            out[full[a:b], k] = np.minimum.reduceat((part * _FACTORS[k] + _SHIFTS[k]) >> np.uint64(16), starts) & np.uint64(0xFFFF)
         a = b
     return out
 
@@ -102,7 +103,7 @@ def _sets(size: int):
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose signatures agree in enough minima."""
     for batch in batches:
-        a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(-1, HASHES) for k in ("x", "y"))
+        a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, HASHES) for k in ("x", "y"))
         keep = (a == b).mean(axis=1) >= LEAST_EQUAL if len(a) else np.zeros(0, bool)
         yield batch.select(["a", "b"]).filter(pa.array(keep))
 
@@ -125,19 +126,39 @@ def _common(p: np.ndarray, q: np.ndarray) -> int:
 
 
 class _Group:
-    """Nodes of a bucket's block, or of two blocks. links() confirms pairs across components on the full sets, and stops asking for
-    pairs that the links found so far connect."""
+    """Nodes of a bucket's block, or of two blocks."""
 
     def __init__(self, rows: list[pa.RecordBatch]) -> None:
-        t = pa.Table.from_batches(rows)
-        self.node, self.side, self.band = t["node"].to_numpy(), t["side"].to_numpy(), t["band"][0].as_py()
+        self.table = t = pa.Table.from_batches(rows)
+        self.node, self.side, self.band, self.sizes = t["node"].to_numpy(), t["side"].to_numpy(), t["band"][0].as_py(), t["n"].to_numpy()
         self.two = t["i"][0].as_py() != t["j"][0].as_py()
-        self.minima = np.frombuffer(b"".join(t["minima"].to_pylist()), np.uint32).reshape(-1, HASHES)
-        self.sets = [np.frombuffer(x, np.uint64) for x in t["members"].to_pylist()]
-        self.sizes = np.array([len(x) for x in self.sets])
+        self.minima = np.frombuffer(b"".join(t["minima"].to_pylist()), np.uint16).reshape(-1, HASHES)
         _, self.group = np.unique(t["component"].to_numpy(), return_inverse=True)
         self.small: dict[int, frozenset] = {}
 
+    def _near(self, r: int, percent: int) -> np.ndarray:
+        """Later rows of other components that may be linked with row r, likeliest first. A pair that several bands bring together
+        is looked at in the first of them."""
+        rest = slice(r + 1, None)
+        low, high = np.minimum(self.sizes[rest], self.sizes[r]), np.maximum(self.sizes[rest], self.sizes[r])
+        other = np.flatnonzero((self.group[rest] != self.group[r]) & ((self.side[rest] != self.side[r]) | (not self.two)) & (100 * low >= percent * high)) + r + 1
+        if not len(other):
+            return other
+        equal = self.minima[other] == self.minima[r]
+        first = equal.reshape(len(other), BANDS, ROWS).all(axis=2).argmax(axis=1)
+        alike = equal.mean(axis=1)
+        chosen = np.flatnonzero((alike >= LEAST_EQUAL) & (first == self.band))
+        return other[chosen[np.argsort(-alike[chosen], kind="stable")]]
+
+    def near(self, percent: int) -> list[pa.RecordBatch]:
+        """The rows that may be linked with any, without their minima."""
+        found = np.zeros(len(self.node), bool)
+        for r in range(len(self.node) - 1):
+            near = self._near(r, percent)
+            found[near] = True
+            found[r] |= len(near) > 0
+        return self.table.drop_columns(["minima"]).filter(pa.array(found)).combine_chunks().to_batches()
+
     def _held(self, k: int) -> frozenset:
         if k not in self.small:
             self.small[k] = frozenset(self.sets[k].tolist())
@@ -148,32 +169,20 @@ class _Group:
         common = len(self._held(r) & self._held(k)) if few else _common(self.sets[r], self.sets[k])
         return 100 * common >= percent * (self.sizes[r] + self.sizes[k] - common)
 
-    def links(self, percent: int) -> list[tuple[int, int]]:
-        out = []
+    def links(self, percent: int) -> list[pa.RecordBatch]:
+        """Pairs confirmed on the full sets; pairs that links found so far connect aren't asked for."""
+        self.sets = [np.frombuffer(x, np.uint64) for x in self.table["members"].to_pylist()]
+        out: list[tuple[int, int]] = []
         for r in range(len(self.node) - 1):
-            rest = slice(r + 1, None)
-            low, high = np.minimum(self.sizes[rest], self.sizes[r]), np.maximum(self.sizes[rest], self.sizes[r])
-            other = np.flatnonzero((self.group[rest] != self.group[r]) & ((self.side[rest] != self.side[r]) | (not self.two)) & (100 * low >= percent * high)) + r + 1
-            if not len(other):
-                continue
-            equal = self.minima[other] == self.minima[r]
-            # a pair that several bands bring together is asked for in the first of them
-            first = equal.reshape(len(other), BANDS, ROWS).all(axis=2).argmax(axis=1)
-            alike = equal.mean(axis=1)
-            chosen = np.flatnonzero((alike >= LEAST_EQUAL) & (first == self.band))
-            for k in other[chosen[np.argsort(-alike[chosen], kind="stable")]].tolist():
+            for k in self._near(r, percent).tolist():
                 if self.group[k] != self.group[r] and self._confirmed(r, k, percent):
                     out.append((int(self.node[r]), int(self.node[k])))
                     self.group[self.group == self.group[k]] = self.group[r]
-        return out
+        return [pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])]
 
 
-def _across(percent: int):
-    """Rows by key, i, j, sorted so: confirmed links between components of each group."""
-
-    def linked(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-        links = _Group(rows).links(percent)
-        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["a", "b"])
+def _each_group(work):
+    """Rows by key, i, j, sorted so: what work makes of each group, which is all that is held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -183,17 +192,17 @@ def _across(percent: int):
             marks = np.stack([batch.column(c).to_numpy() for c in ("key", "i", "j")])
             cuts = np.append(np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1, len(batch)).tolist()
             if held and any(held[0].column(c)[0] != batch.column(c)[0] for c in ("key", "i", "j")):
-                yield linked(held)
+                yield from work(_Group(held))
                 held = []
             at = 0
             for stop in cuts:
                 held.append(batch.slice(at, stop - at))
                 at = stop
                 if stop < len(batch):
-                    yield linked(held)
+                    yield from work(_Group(held))
                     held = []
         if held:
-            yield linked(held)
+            yield from work(_Group(held))
 
     return run
 
@@ -220,22 +229,25 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> Dat
     # of a third of all rows that are copies, the join's side with the rows can be split: neither side is dealt by the key yet
     key = F.col("d1").bitwiseXOR(F.col("d2"))
     member = cut(one.withColumn("k", key).join(first.withColumn("k", key), ["k", "d1", "d2"]).select("doc_id", "node", "_row"))
-    nodes = full.join(member.filter("doc_id = node").select("_row"), "_row", "left_semi").select(F.col("doc_id").alias("node"), "d1", "d2", "minima")
-    width = 4 * ROWS
+    nodes = cut(full.join(member.filter("doc_id = node").select("_row"), "_row", "left_semi").select(F.col("doc_id").alias("node"), "n", "d1", "d2", "minima"))
+    width = 2 * ROWS
     keys = F.array(*[F.struct(F.lit(k).alias("band"), F.xxhash64(F.lit(k), F.substring("minima", 1 + k * width, width)).alias("key")) for k in range(BANDS)])
     rows = nodes.select("node", F.explode(keys).alias("b")).select("node", "b.band", "b.key")
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select(F.bitwise_not("key").alias("k"), "size")
     bucketed = cut(rows.withColumn("k", F.bitwise_not("key")).join(sizes, "k").select("key", "band", "node", "size"))
     # what all of a group are copies of meets more of them than they meet each other
     central = bucketed.groupBy("node").agg(F.sum("size").alias("weight"))
-    sets = plain.join(central.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets(shingle), "node bigint, d1 bigint, d2 bigint, members binary")
-    # of an id with several texts or rows, one set
-    sets = sets.join(nodes.select("node", "d1", "d2"), ["node", "d1", "d2"], "left_semi").dropDuplicates(["node"]).select("node", "members")
-    sets = cut(sets)
     heads = bucketed.join(central, "node").groupBy("key").agg(F.max(F.struct("weight", "node"))["node"].alias("head")).select(F.bitwise_not("key").alias("k"), "head")
     star = bucketed.withColumn("k", F.bitwise_not("key")).join(heads, "k").filter("node <> head").select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")).distinct()
     minima = lambda one, other: nodes.select(F.col("node").alias(one), F.col("minima").alias(other))
-    likely = star.join(minima("a", "x"), "a").join(minima("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_alike, "a bigint, b bigint")
+    likely = cut(star.join(minima("a", "x"), "a").join(minima("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_alike, "a bigint, b bigint"))
+
+    def sets_of(asked: DataFrame) -> DataFrame:
+        """Full sets of the nodes asked for; of an id with several texts or rows the one that its node stands for."""
+        made = plain.join(asked.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets(shingle), "node bigint, d1 bigint, d2 bigint, members binary")
+        return cut(made.join(nodes.select("node", "d1", "d2"), ["node", "d1", "d2"], "left_semi").dropDuplicates(["node"]).select("node", "members"))
+
+    sets = sets_of(likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct())
     links = cut(_links(likely, sets, percent))
     found = cut(components(links))
 
@@ -247,9 +259,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> Dat
         .withColumn("side", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .select("key", "band", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"), "side", "node", "component")
     )
-    blocked = spread.join(nodes.select("node", "minima"), "node").join(sets, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    crossed = blocked.select("key", "band", "i", "j", "side", "node", "component", "minima", "members").mapInArrow(_across(percent), "a bigint, b bigint")
-    links = links.union(cut(crossed))
+    grouped = lambda df: df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    place = "key bigint, band int, i int, j int, side int, node bigint, component bigint"
+    own = nodes.select("node", "n", "minima")
+    near = cut(grouped(spread.join(own, "node").select("key", "band", "i", "j", "side", "node", "component", "n", "minima")).mapInArrow(_each_group(lambda g: g.near(percent)), place + ", n bigint").drop("n"))
+    more = sets_of(near.select("node").distinct().join(sets, "node", "left_anti")).union(sets)
+    full_rows = near.join(own, "node").join(more, "node").select("key", "band", "i", "j", "side", "node", "component", "n", "minima", "members")
+    links = links.union(cut(grouped(full_rows).mapInArrow(_each_group(lambda g: g.links(percent)), "a bigint, b bigint")))
     answer = scanned.select("doc_id", "n").join(member.select("doc_id", "node"), "doc_id", "left").join(components(links), "node", "left")
     component = F.coalesce("component", "node", "doc_id")
     return answer.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id").isNull() | (component == F.col("doc_id"))).alias("kept"))

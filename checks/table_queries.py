@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks import sql as S
 from checks.registry import add
-from checks.trade_queries import _BUYS, _COMB, _SCAN_FEW, _SELLS, FEW, _renamed, few_scan
+from checks.trade_queries import _BUYS, _COMB, _SCAN_FEW, _SELLS, FEW, HOLES, _renamed, few_scan, holes
 from wickspark import adapters as A
 from wickspark.functions import codes as K
 from wickspark.model import DAILY_PATTERNS, DAILY_BUY_ORDER, TRACKED_INDEXES
@@ -27,16 +27,17 @@ add("source_read_bars", lambda s, d: F_.date_range(B.with_partitions(A.bars(s, d
     S.with_(S.BARS) + f"SELECT {_COLS}, {S.board_of()} AS board, strftime(trade_date, '%Y%m') AS ym FROM bars WHERE trade_date BETWEEN DATE '1997-03-15' AND DATE '1998-02-10'")
 
 
-def _stored_and_new(s, d):
-    src = A.sources(s, d)
-    stored = B.merge_bar_sources(src.filter("source <> 'N'")).select(*_BAR)
-    return stored, src.filter("source = 'N'").select(*_BAR)
+def _bar_loads(s, d):
+    """Two loads that overlap, the later one of source R."""
+    return A.sources(s, d).filter("source <> 'A'").select(*_BAR, F.col("source").alias("load"), F.when(F.col("source") == "N", 1).otherwise(2).cast("long").alias("seq"))
 
 
-add("source_upsert_bars", lambda s, d: B.upserted(*_stored_and_new(s, d)),
-    S.with_(S.SOURCES, "old AS (SELECT * FROM srcs WHERE source <> 'N' QUALIFY row_number() OVER (PARTITION BY code, trade_date ORDER BY priority) = 1)",
-            "new AS (SELECT * FROM srcs WHERE source = 'N' AND code NOT LIKE '%.BJ')")
+add("source_upsert_bars", lambda s, d: B.upserted(A.sources(s, d).filter("source = 'A'").select(*_BAR), _bar_loads(s, d), "seq", "load"),
+    S.with_(S.SOURCES, "old AS (SELECT * FROM srcs WHERE source = 'A')",
+            "new AS (SELECT * FROM srcs WHERE source <> 'A' AND code NOT LIKE '%.BJ' QUALIFY row_number() OVER (PARTITION BY code, trade_date ORDER BY source DESC) = 1)")
     + f"SELECT {_COLS} FROM new UNION ALL SELECT {_COLS} FROM old o WHERE NOT EXISTS (SELECT 1 FROM new n WHERE n.code = o.code AND n.trade_date = o.trade_date)")
+add("source_rejected", lambda s, d: B.rejected(_bar_loads(s, d), "load"),
+    S.with_(S.SOURCES) + "SELECT source AS load, code, 'excluded board' AS reason, count(*) AS rows FROM srcs WHERE source <> 'A' AND code LIKE '%.BJ' GROUP BY ALL")
 
 
 def _vendor(s, d):
@@ -199,15 +200,8 @@ add("filter_codes_without_rows", lambda s, d: F_.codes_without_rows(A.universe(s
     S.with_(S.BARS, S.UNIVERSE) + "SELECT code FROM universe WHERE code NOT IN (SELECT code FROM bars WHERE trade_date = DATE '2001-10-29')")
 
 
-def _holes(s, d):
-    """Bars with missing prices: no price in weeks of little volume."""
-    b = A.bars(s, d)
-    return b.select("code", "trade_date", *[F.when(F.col("vol") >= lim, F.col(c)).alias(c) for c, lim in (("open", 10), ("high", 20), ("low", 30), ("close", 40))], "vol")
-
-
-_HOLES = "holes AS (SELECT code, trade_date, CASE WHEN vol >= 10 THEN open END AS open, CASE WHEN vol >= 20 THEN high END AS high, CASE WHEN vol >= 30 THEN low END AS low, CASE WHEN vol >= 40 THEN close END AS close, vol FROM bars)"
-add("filter_fill_forward_zero", lambda s, d: F_.fill_forward_zero(_holes(s, d)),
-    S.with_(S.BARS, _HOLES) + "SELECT code, trade_date, " + ", ".join(f"coalesce(last_value({c} IGNORE NULLS) OVER ({S.W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS {c}" for c in ("open", "high", "low", "close", "vol")) + " FROM holes")
+add("filter_fill_forward_zero", lambda s, d: F_.fill_forward_zero(holes(s, d)),
+    S.with_(S.BARS, HOLES) + "SELECT code, trade_date, " + ", ".join(f"coalesce(last_value({c} IGNORE NULLS) OVER ({S.W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS {c}" for c in ("open", "high", "low", "close", "vol")) + " FROM holes")
 
 
 def _raw(s, d):
@@ -268,11 +262,14 @@ add("filter_watchlist", lambda s, d: F_.watchlist_filter(_watchlist(s, d), "buy"
     S.with_(S.UNIVERSE, _WL) + "SELECT code, pattern, signal_type, note, created_at FROM wl WHERE signal_type = 'buy' AND lower(name || code || pattern_cn || pattern) LIKE '%cdl%' AND trim(note) <> ''")
 
 
+_ALIAS = "CASE pattern WHEN 'CDL2CROWS' THEN 'CDLADVANCEBLOCK' ELSE pattern END"
+
+
 def _few_signals(s, d):
     return D.daily_signals(A.bars(s, d), DAYS, FEW).withColumn("track_date", F.col("trade_date"))
 
 
-_FEWSIG = "ds AS (SELECT g.code, g.trade_date, CASE WHEN value > 0 THEN 'buy' ELSE 'sell' END AS side, pattern, value FROM sig g WHERE i >= 3 AND trade_date IN (DATE '2001-10-15', DATE '2001-10-22', DATE '2001-10-29'))"
+_FEWSIG = f"ds AS (SELECT g.code, g.trade_date, CASE WHEN value > 0 THEN 'buy' ELSE 'sell' END AS side, {_ALIAS} AS pattern, value FROM sig g WHERE i >= 3 AND trade_date IN (DATE '2001-10-15', DATE '2001-10-22', DATE '2001-10-29'))"
 
 
 def _known(s, d):
@@ -286,11 +283,11 @@ add("filter_not_watched", lambda s, d: F_.not_watched(_few_signals(s, d), _known
 
 
 def _zero(s, d):
-    return _holes(s, d).select("code", "trade_date", *[F.when(F.col("vol") >= 60, F.col(c)).alias(c) for c in ("open", "high", "low", "close")], "vol")
+    return holes(s, d).select("code", "trade_date", *[F.when(F.col("vol") >= 60, F.col(c)).alias(c) for c in ("open", "high", "low", "close")], "vol")
 
 
 add("filter_chart_bars", lambda s, d: F_.chart_bars(_zero(s, d), 100),
-    S.with_(S.BARS, _HOLES, "last AS (SELECT * FROM holes QUALIFY row_number() OVER (PARTITION BY code ORDER BY trade_date DESC) <= 100)")
+    S.with_(S.BARS, HOLES, "last AS (SELECT * FROM holes QUALIFY row_number() OVER (PARTITION BY code ORDER BY trade_date DESC) <= 100)")
     + "SELECT * FROM (SELECT code, trade_date, " + ", ".join(f"coalesce(CASE WHEN vol >= 60 THEN {c} END, 0) AS {c}" for c in ("open", "high", "low", "close")) + ", vol FROM last) WHERE NOT (open = 0 AND high = 0 AND low = 0 AND close = 0)")
 _TEXTNUM = "CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'NaN' WHEN 2 THEN 'x' || o_orderkey ELSE o_totalprice::VARCHAR END"
 add("filter_clean_numeric",
@@ -339,7 +336,6 @@ add("filter_replace_configs",
 
 # --- D1-D15 -------------------------------------------------------------------------------------
 
-_ALIAS = "CASE pattern WHEN 'CDL2CROWS' THEN 'CDLADVANCEBLOCK' ELSE pattern END"
 _DAYSIG = f"""prev AS (SELECT code, trade_date, close, lag(close) OVER ({S.W}) AS pc FROM bars),
 day AS (SELECT g.code, g.trade_date, CASE WHEN value > 0 THEN 'buy' ELSE 'sell' END AS side, g.pattern AS fired, {_ALIAS} AS pattern, value, close, CASE WHEN pc > 0 THEN round((close - pc) / pc * 100, 2) END AS pct_chg
   FROM sig g JOIN prev USING (code, trade_date) WHERE g.i >= 3 AND g.trade_date IN (DATE '2001-10-15', DATE '2001-10-22', DATE '2001-10-29'))"""
@@ -443,7 +439,7 @@ add("flow_backtest", lambda s, d: P.backtest(A.bars(s, d), _BUYS, _SELLS).select
             *[c for c in _COMB[2:]], S.equity(("code",)),
             """pct1 AS (SELECT code, exit_i - e AS hd, round(CASE WHEN side = 'buy' THEN exit_price / entry_price - 1 ELSE entry_price / exit_price - 1 END * 100, 2) AS p FROM trades_1),
             one AS (SELECT code, round(sum(p), 2) AS total_return, count(*) AS total_trades, round_even(count(*) FILTER (p > 0) / count(*) * 100, 0) AS win_rate, sum(hd) AS hd FROM pct1 GROUP BY code),
-            fin AS (SELECT code, trunc((cash_out / 1e8::DOUBLE - 1) * 100 * 100) / 100.0 AS real_return FROM trades QUALIFY row_number() OVER (PARTITION BY code ORDER BY trade_no DESC) = 1),
+            fin AS (SELECT code, round((cash_out / 1e8::DOUBLE - 1) * 100, 2) AS real_return FROM trades QUALIFY row_number() OVER (PARTITION BY code ORDER BY trade_no DESC) = 1),
             bh AS (SELECT code, round((last(close ORDER BY trade_date) / first(close ORDER BY trade_date) - 1) * 100, 2) AS buy_hold_return, count(*) AS n FROM bars GROUP BY code)""", recursive=True)
     + "SELECT code, total_return, total_trades, win_rate, sharpe, max_drawdown, real_return, buy_hold_return, round(hd / n, 4) AS hold_ratio FROM one JOIN acct USING (code) JOIN fin USING (code) JOIN bh USING (code)".replace("win_rate, sharpe", "one.win_rate, sharpe"))
 

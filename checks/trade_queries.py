@@ -11,10 +11,10 @@ from checks.registry import add
 from checks.signal_queries import (_TR, RULE_SQL, UNION_BUY, UNION_BUY_V2, UNION_SELL, UNION_SELL_V2, UNION_SQL, _lined,
                                    _roll)
 from wickspark import adapters as A
-from wickspark.model import ALL_PATTERNS, BUY_CLASS, SELL_CLASS
+from wickspark.model import ALL_PATTERNS, BUY_CLASS, DAILY_PATTERNS, SELL_CLASS
 from wickspark.operators import candles, combined as C, cycles as Z, metrics as M, rules as R, trades as T
 
-FEW = ("CDLDOJI", "CDLENGULFING", "CDLHARAMI", "CDLMARUBOZU", "CDLSHORTLINE")
+FEW = DAILY_PATTERNS  # all patterns that the market update and the daily list work on
 _BASE = (S.BARS, S.sig(FEW), S.outcomes(), S.CAND)
 ACCOUNTS = (*_BASE, S.walk(), S.equity())
 
@@ -102,8 +102,13 @@ _COMB = (S.BARS, S.sig(tuple(dict.fromkeys(_BUYS + _SELLS))), S.outcomes(2, comb
 add("trade_combined",
     lambda s, d: C.combined_trades(A.bars(s, d), _BUYS, _SELLS).select(
         "code", "trade_no", "side", "entry_date", "entry_price", "exit_date", "exit_price", F.concat_ws(",", "trigger_patterns").alias("trigger_patterns"),
-        F.round("cash_out", 2).alias("cash_out")),
-    S.with_(*_COMB, recursive=True) + "SELECT code, CAST(trade_no AS INTEGER) AS trade_no, side, entry_date, entry_price, exit_date, exit_price, trig AS trigger_patterns, round(cash_out, 2) AS cash_out FROM trades")
+        F.round("cash_out", 2).alias("cash_out"), "hold_days", F.round("hold_max_drawdown", 4).alias("hold_max_drawdown")),
+    S.with_(*_COMB, """paid AS (SELECT *, lag(cash_out, 1, 1e8::DOUBLE) OVER (PARTITION BY code ORDER BY trade_no) AS cash_before FROM trades)""",
+            """held AS (SELECT t.code, t.trade_no, t.cash_before, n.i, t.cash_in + CASE WHEN t.side = 'buy' THEN 1 ELSE -1 END * t.size * n.close AS v
+              FROM paid t JOIN num n ON n.code = t.code AND n.i BETWEEN t.e AND t.e + t.held - 1)""",
+            "tops AS (SELECT *, greatest(cash_before, max(v) OVER (PARTITION BY code, trade_no ORDER BY i)) AS pk FROM held)",
+            "falls AS (SELECT code, trade_no, round(greatest(0, max((pk - v) / pk * 100)), 4) AS dd FROM tops GROUP BY ALL)", recursive=True) + "SELECT code, CAST(trade_no AS INTEGER) AS trade_no, side, entry_date, entry_price, exit_date, exit_price, trig AS trigger_patterns, round(cash_out, 2) AS cash_out, "
+    "CAST(exit_i - e + CASE WHEN kind = 'end' THEN 1 ELSE 0 END AS INTEGER) AS hold_days, dd AS hold_max_drawdown FROM trades JOIN falls USING (code, trade_no)")
 add("trade_combined_account",
     lambda s, d: M.account_metrics(C.combined_trades(A.bars(s, d), _BUYS, _SELLS), keys=("code",)).select(
         "code", "trades", "win_rate", "return_pct", "sharpe", "max_drawdown"),
@@ -267,8 +272,9 @@ def _grid(buy, sell):
 _YEARS = "greatest((z - a) / 365.0::DOUBLE, 0.01)"
 
 
-def scan_sql(buy, sell, names):
-    return S.with_(S.BARS, S.sig(names), S.outcomes(), S.CAND, S.walk(), S.equity(), _grid(buy, sell),
+def scan_sql(buy, sell, names, pre=(), src="bars"):
+    cand = S.CAND[:-1] + " WHERE r.entry_price > 0)"
+    return S.with_(S.BARS, *pre, S.sig(names, src=src), S.outcomes(src=src), cand, S.walk(), S.equity(), _grid(buy, sell),
                    f"""scan AS (SELECT p.code, t.pattern, t.side, coalesce(trades, 0) AS trades, coalesce(win_rate, 0) AS win_rate, coalesce(return_pct, 0) AS return_pct,
     {S.annual('coalesce(return_pct, 0)', _YEARS)} AS annualized, round(coalesce(held_bars, 0) / bars * 100, 2) AS capital_occupation,
     coalesce(sharpe, 0) AS sharpe, coalesce(max_drawdown, 0) AS max_drawdown
@@ -283,6 +289,29 @@ def few_scan(s, d):
 
 
 add("metric_scan_patterns", lambda s, d: M.scan_patterns(A.bars(s, d)), scan_sql(BUY_CLASS, SELL_CLASS, ALL_PATTERNS) + "SELECT * FROM scan")
+
+
+def holes(s, d):
+    """Bars with missing prices: no price in weeks of little volume."""
+    return A.bars(s, d).select("code", "trade_date", *[F.when(F.col("vol") >= lim, F.col(c)).alias(c) for c, lim in (("open", 10), ("high", 20), ("low", 30), ("close", 40))], "vol")
+
+
+HOLES = "holes AS (SELECT code, trade_date, CASE WHEN vol >= 10 THEN open END AS open, CASE WHEN vol >= 20 THEN high END AS high, CASE WHEN vol >= 30 THEN low END AS low, CASE WHEN vol >= 40 THEN close END AS close, vol FROM bars)"
+_FILLED = "filled AS (SELECT code, trade_date, " + ", ".join(f"coalesce(last_value({c} IGNORE NULLS) OVER ({S.W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS {c}" for c in ("open", "high", "low", "close", "vol")) + " FROM holes)"
+add("metric_scan_patterns_gaps", lambda s, d: M.scan_patterns(holes(s, d)), scan_sql(BUY_CLASS, SELL_CLASS, ALL_PATTERNS, (HOLES, _FILLED), "filled") + "SELECT * FROM scan")
+
+
+def _zeros(s, d):
+    """Bars whose prices are 0 in weeks of little volume."""
+    return A.bars(s, d).select("code", "trade_date", *[F.when(F.col("vol") >= 30, F.col(c)).otherwise(0.0).alias(c) for c in ("open", "high", "low", "close")], "vol")
+
+
+_ZEROS = "zeros AS (SELECT code, trade_date, " + ", ".join(f"CASE WHEN vol >= 30 THEN {c} ELSE 0 END AS {c}" for c in ("open", "high", "low", "close")) + ", vol FROM bars)"
+add("trade_zero_exit",
+    lambda s, d: T.select_trades(T.candidate_trades(_zeros(s, d))).filter("trade_no = 1").select("code", "pattern", "side", "entry_date", "exit_date", "exit_price", F.round("pnl_pct", 4).alias("pnl_pct")),
+    S.with_(S.BARS, _ZEROS, S.sig(src="zeros"), S.outcomes(src="zeros"), S.CAND[:-1] + " WHERE r.entry_price > 0)")
+    + "SELECT code, pattern, side, entry_date, exit_date, exit_price, round(CASE WHEN side = 'buy' THEN exit_price / entry_price - 1 WHEN exit_price <> 0 THEN entry_price / exit_price - 1 END * 100, 4) AS pnl_pct "
+      "FROM cand QUALIFY row_number() OVER (PARTITION BY code, pattern, side ORDER BY e) = 1")
 add("metric_pattern_result",
     lambda s, d: M.pattern_result(few_scan(s, d), few_trades(s, d)).select(
         "code", "pattern", "side", "pattern_cn", "trades", F.coalesce(F.size("trade_details"), F.lit(0)).alias("details"),

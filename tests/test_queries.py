@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from checks import registry
 from checks.compare import TABLES, canonical
 
 SF = os.environ.get("QUERY_SF_DIR", "/root/testdata/sf0.001")
@@ -31,7 +32,7 @@ def test_query_matches_sql(spark, con, name):
 
 
 def test_every_query_but_the_pool_has_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"trade_pool"}
+    assert set(registry.QUERIES) - set(registry.SQL) == {"trade_pool"}
 
 
 def plan(df):
@@ -69,3 +70,16 @@ def test_since_reads_less_and_gives_the_same(spark):
     key = ["code", "pattern", "side", "fired"]
     # rolling means may differ in the last bit, never in the signals
     assert sorted(map(tuple, full[key].values)) == sorted(map(tuple, part[key].values))
+
+
+def test_suspended_codes_keep_their_signals(spark):
+    from pyspark.sql import functions as F
+    from wickspark import adapters as A
+    from wickspark.operators import daily as D
+    bars = A.bars(spark, SF)
+    quiet = (F.crc32("code") % 2 == 0) & F.col("trade_date").between("2000-06-01", "2001-10-10")
+    bars = bars.filter(~quiet).cache()
+    key = ["code", "pattern", "side", "fired"]
+    full, part = (D.daily_signals(bars, "2001-10-15", since=x).select(key).toPandas() for x in (None, "2000-06-01"))
+    bars.unpersist()
+    assert len(full) and sorted(map(tuple, full.values)) == sorted(map(tuple, part.values))

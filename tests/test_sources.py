@@ -47,6 +47,14 @@ def test_upsert_keeps_last_load_and_refuses_bad_codes(spark, folder):
     assert [r.code for r in out.collect()] == ["600000.SH"]
     seq = frame(spark, [bar("600000.SH", D(2024, 1, 5), 10.0)]).selectExpr("*", "2 AS load")
     assert [r.close for r in B.upserted(frame(spark, [bar("600000.SH", D(2024, 1, 5), 9.0)]), seq, "load").collect()] == [10.0]
+    unknown = frame(spark, [bar("600000.SH", D(2024, 1, 5), 10.0)]).selectExpr("*", "CAST(NULL AS INT) AS load")
+    assert [r.close for r in B.upserted(None, unknown, "load").collect()] == [10.0]
+
+
+def test_a_source_that_reaches_the_end_beats_partial_ones(spark):
+    rows = [(bar("600000.SH", D(2024, 1, 5), 1.0), 900), (bar("600000.SH", D(2024, 2, 5), 2.0), 950)]
+    asked = frame(spark, [r for r, _ in rows]).selectExpr("*", "IF(close = 1, 900, 950) AS priority", "false AS is_local")
+    assert [r.close for r in B.choose_source(asked, "2024-02-01").collect()] == [2.0]
 
 
 @pytest.mark.parametrize("fault,reason", [
@@ -159,6 +167,23 @@ def test_ingest_stream_resumes(spark, folder):
     assert sorted((r.trade_date, r.close) for r in spark.read.parquet(store).collect()) == [(D(2023, 12, 5), 9.0), (D(2024, 1, 5), 11.0)]
 
 
+def test_ingest_does_not_depend_on_batches(spark, folder):
+    """Files that overlap, one with a repeated day (refused as a whole code), read one, two or all at a time."""
+    land = f"{folder}/land"
+    loads = [[bar("600000.SH", D(2024, 1, 5), 10.0), bar("600001.SH", D(2024, 1, 5), 5.0)], [bar("600000.SH", D(2024, 1, 5), 11.0), bar("600000.SH", D(2024, 1, 8), 12.0)],
+             [bar("600001.SH", D(2024, 1, 5), 6.0)] * 2 + [bar("600000.SH", D(2024, 1, 8), 13.0)], [bar("600001.SH", D(2024, 2, 5), 7.0)]]
+    for rows in loads:
+        frame(spark, rows).coalesce(1).write.mode("append").parquet(land)
+    stores, refused = [], []
+    for n in (1, 2, 1000):
+        N.ingest_bars_stream(spark, land, f"{folder}/store{n}", f"{folder}/cp{n}", max_files=n).awaitTermination()
+        stores.append(sorted((r.code, r.trade_date, r.close) for r in B.read_bars(spark, f"{folder}/store{n}").collect()))
+        refused.append(sorted((r.load, r.code, r.reason, r.rows) for r in spark.read.parquet(f"{folder}/store{n}_rejected").collect()))
+    assert stores[0] == [("600000.SH", D(2024, 1, 5), 11.0), ("600000.SH", D(2024, 1, 8), 13.0), ("600001.SH", D(2024, 1, 5), 5.0), ("600001.SH", D(2024, 2, 5), 7.0)]
+    assert stores[1] == stores[0] == stores[2]
+    assert [r[1:] for r in refused[0]] == [("600001.SH", "duplicate date", 2)] and refused[0] == [(r[0], *r[1:]) for r in refused[1]] == refused[2]
+
+
 def test_latest_quote_stream(spark, folder):
     ticks = spark.sql("SELECT 'a' AS code, timestamp'2024-01-05 10:00:00' AS ts, 1D AS price, 1L AS seq UNION ALL "
                       "SELECT 'a', timestamp'2024-01-05 11:00:00', 2D, 2L UNION ALL SELECT 'b', timestamp'2024-01-06 09:00:00', 3D, 3L")

@@ -12,11 +12,13 @@ from wickspark.model import (CAUTIOUS, COMMISSION, DAILY_BUY_ORDER, DAILY_SELL_O
 from wickspark.operators import candles, refine
 from wickspark.operators import trades as T
 from wickspark.operators.candles import W
+from wickspark.operators.selection import fill_forward_zero
 
 
 def combined_trades(bars: DataFrame, buy: Iterable[str], sell: Iterable[str], hold: int = HOLD_DAYS,
                     cash: float = START_CASH, cautious: bool = False) -> DataFrame:
     """Any buy pattern beats any sell pattern of the same bar; signals while held are ignored."""
+    bars = fill_forward_zero(bars)
     buy, sell = tuple(buy), tuple(sell)
     names = tuple(dict.fromkeys(buy + sell))
     guarded = [n for n in names if n in CAUTIOUS] if cautious else []
@@ -39,7 +41,7 @@ def combined_trades(bars: DataFrame, buy: Iterable[str], sell: Iterable[str], ho
                              "IF(size(_bs) > 0, _bs, _ss) AS trigger_patterns",
                              "size(_bs) + size(_ss) AS _k").filter("_k > 0 AND _t IS NOT NULL")
     cands = picked.select("code", "side", "trigger_patterns", *[f"_t.{c}" for c in T.CANDIDATE])
-    return T.select_trades(cands, cash, keys=("code",), extra=("trigger_patterns",))
+    return T.select_trades(cands, cash, keys=("code",), extra=("trigger_patterns",), combined=True)
 
 
 def pool_candidates(bars: DataFrame, performance: DataFrame, hold: int = HOLD_DAYS) -> DataFrame:

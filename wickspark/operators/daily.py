@@ -13,6 +13,7 @@ from wickspark.operators import candles, refine
 from wickspark.operators.candles import W
 from wickspark.operators.metrics import keep_last, pattern_cn
 
+LOOK_BACK = 25
 PERF = ("win_rate", "return_pct", "sharpe", "max_drawdown", "trades")
 
 
@@ -21,13 +22,21 @@ def daily_signals(bars: DataFrame, days, names: Iterable[str] = DAILY_PATTERNS,
     """Every pattern that speaks on the tracking day(s), with the day's close and change.
 
     days: one date or a list.  The whole history is the look-back, so no pattern is silenced by a
-    short window; only the rows of the asked days leave the window stage.  `since` reads less: months
-    before it are not touched.  The result is the same as long as every code has 25 bars from `since`
-    to the day (the longest pattern looks back 14 bars)."""
+    short window; only the rows of the asked days leave the window stage.  `since` reads less with the same
+    result: codes with LOOK_BACK bars from `since` to the first day are judged on these (the longest pattern looks back 14
+    bars); only if a code with a bar on the days has fewer, as after a suspension, is its whole history read too."""
     names = tuple(names)
+    asked = list(days) if isinstance(days, (list, tuple)) else [days]
+    wanted = [F.lit(d).cast("date") for d in asked]
     if since is not None:
-        bars = bars.filter(F.col("trade_date") >= F.lit(since).cast("date"))
-    wanted = [F.lit(d).cast("date") for d in (days if isinstance(days, (list, tuple)) else [days])]
+        recent = bars.filter(F.col("trade_date") >= F.lit(since).cast("date"))
+        seen = recent.groupBy("code").agg(F.count_if(F.col("trade_date") <= F.least(*wanted, F.lit("9999-12-31").cast("date"))).alias("_n"),
+                                          F.max(F.col("trade_date").isin(wanted)).alias("_on"))
+        lacking = seen.filter(F.col("_on") & (F.col("_n") < LOOK_BACK)).select("code")
+        if lacking.isEmpty():
+            bars = recent
+        else:
+            bars = recent.join(lacking, "code", "left_anti").unionByName(bars.join(lacking, "code", "left_semi"))
     rules = refine.signal_rules() if cautious else {}
     guarded = [n for n in names if n in rules]
     base = candles.frame(bars).withColumn("_prev", F.expr(f"lag(close, 1) {W}"))
@@ -74,12 +83,11 @@ def attach_performance(signals: DataFrame, performance: DataFrame) -> DataFrame:
 def attach_market(signals: DataFrame, market: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """Market-wide figures, display name and, from texts (pattern, pattern_desc), the description.
 
-    market has one row per pattern and side (at most 122), texts one per pattern (61): both are
-    bounded by the fixed pattern list, so both are broadcast."""
-    m = F.broadcast(market.select("pattern", "side", F.col("win_rate").alias("market_win_rate"),
-                                  F.col("return_pct").alias("market_return"), F.col("trades").alias("market_trade_count")))
+    market has one row per pattern and side, texts one per pattern; how they are joined is left to Spark, which sees their size."""
+    m = market.select("pattern", "side", F.col("win_rate").alias("market_win_rate"),
+                      F.col("return_pct").alias("market_return"), F.col("trades").alias("market_trade_count"))
     out = signals.join(m, ["pattern", "side"], "left").withColumn("pattern_cn", pattern_cn(F.col("pattern")))
-    return out if texts is None else out.join(F.broadcast(texts.select("pattern", "pattern_desc")), "pattern", "left")
+    return out if texts is None else out.join(texts.select("pattern", "pattern_desc"), "pattern", "left")
 
 
 def tier(signals: DataFrame) -> DataFrame:

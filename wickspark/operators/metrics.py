@@ -32,7 +32,7 @@ def account_metrics(trades: DataFrame, cash: float = START_CASH, keys: Iterable[
     live = T.marked_returns(T.marks(trades, keys), cash, keys)
     moved = F.when(F.col("daily_return") != 0, F.col("daily_return"))
     out = live.groupBy(*keys).agg(
-        F.count("pnl_pct").alias("trades"),
+        F.count("held_bars").alias("trades"),
         F.count_if(F.col("pnl_pct") > 0).alias("won"),
         F.round(F.sum("pnl_pct"), 2).alias("return_pct"),
         F.sum("held_bars").alias("held_bars"),
@@ -197,11 +197,12 @@ def db_stats(universe: DataFrame, bars: DataFrame) -> DataFrame:
             .withColumn("board", F.coalesce("board", F.lit("total"))))
 
 
-def account_return(trades: DataFrame, cash: float = START_CASH, keys: Iterable[str] = KEYS) -> DataFrame:
-    """Final value of the account over its start, percent, cut to two digits."""
+def account_return(trades: DataFrame, cash: float = START_CASH, keys: Iterable[str] = KEYS, rounded: bool = False) -> DataFrame:
+    """Final value of the account over its start, percent, cut to two digits or, as for the one-account form, rounded."""
     final = trades.groupBy(*keys).agg(F.max_by("cash_out", "trade_no").alias("final_value"))
     pct = (F.col("final_value") / F.lit(cash) - 1) * 100
-    return final.select(*keys, "final_value", ((pct * 100).cast("long") / 100.0).alias("account_return"))
+    two = F.round(pct, 2) if rounded else (pct * 100).cast("long") / 100.0
+    return final.select(*keys, "final_value", two.alias("account_return"))
 
 
 def log_return(values: DataFrame, value: str = "close") -> DataFrame:

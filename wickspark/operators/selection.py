@@ -30,18 +30,19 @@ def fill_forward_zero(df: DataFrame, cols: Iterable[str] = (*OHLC, "vol")) -> Da
     return df.selectExpr(*[f"coalesce(last({c}, true) {run}, 0D) AS {c}" if c in cols else c for c in df.columns])
 
 
-def quality_check(raw: DataFrame) -> DataFrame:
-    """one row per code: passed, reason (the first failing rule) and the rows it counts.
+def quality_check(raw: DataFrame, keys: Iterable[str] = ("code",)) -> DataFrame:
+    """one row per code (or load and code): passed, reason (the first failing rule) and the rows it counts.
 
     Counting duplicates by (code, date) first makes both steps aggregates with map-side combine, so a
     code with a third of all raw rows is no hot spot."""
     o, h, l, c = (F.col(x) for x in OHLC)
     odd = (h < F.greatest(o, c)) | (l > F.least(o, c)) | (h < l)
     low = (o <= 0) | (h <= 0) | (l <= 0) | (c <= 0)
-    day = raw.groupBy("code", "trade_date").agg(
+    keys = list(keys)
+    day = raw.groupBy(*keys, "trade_date").agg(
         F.count("*").alias("_rows"), *[F.count_if(F.col(x).isNull()).alias(f"_null_{x}") for x in OHLC],
         F.count_if(odd).alias("_odd"), F.count_if(low).alias("_low"))
-    per = day.groupBy("code").agg(
+    per = day.groupBy(*keys).agg(
         F.sum("_rows").alias("rows"), *[F.sum(f"_null_{x}").alias(f"_null_{x}") for x in OHLC],
         F.coalesce(F.sum(F.when(F.col("trade_date").isNull(), F.col("_rows"))), F.lit(0)).alias("_null_trade_date"),
         F.sum("_odd").alias("_odd"), F.sum("_low").alias("_low"), F.sum(F.col("_rows") - 1).alias("_dup"))
@@ -51,12 +52,13 @@ def quality_check(raw: DataFrame) -> DataFrame:
     for col, text in reversed(rules):
         reason = F.when(F.col(col) > 0, text).otherwise(reason)
         bad = F.when(F.col(col) > 0, F.col(col)).otherwise(bad)
-    return per.select("code", "rows", reason.isNull().alias("passed"), reason.alias("reason"), bad.alias("bad_rows"))
+    return per.select(*keys, "rows", reason.isNull().alias("passed"), reason.alias("reason"), bad.alias("bad_rows"))
 
 
-def good_rows(raw: DataFrame) -> DataFrame:
-    """the rows of the codes that pass."""
-    return raw.join(quality_check(raw).filter("passed").select("code"), "code", "left_semi")
+def good_rows(raw: DataFrame, keys: Iterable[str] = ("code",)) -> DataFrame:
+    """the rows of the codes (or loads and codes) that pass."""
+    keys = list(keys)
+    return raw.join(quality_check(raw, keys).filter("passed").select(*keys), keys, "left_semi")
 
 
 def market_cap_filter(universe: DataFrame, min_mv: float | None = None, max_mv: float | None = None) -> DataFrame:

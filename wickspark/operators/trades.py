@@ -21,6 +21,7 @@ from wickspark.model import (ALL_PATTERNS, COMMISSION, HOLD_DAYS, INVEST_FRACTIO
 from wickspark.operators import candles
 from wickspark.operators.candles import W, bar_index
 from wickspark.operators.refine import entry_rules
+from wickspark.operators.selection import fill_forward_zero
 
 KEYS = ("code", "pattern", "side")
 NEVER = 2147483647
@@ -80,6 +81,7 @@ def outcomes(bars: DataFrame, hold: int = HOLD_DAYS, combined: bool = False) ->
     combined=True is the one-account variant (T9): the hold exit of bar e+hold comes before the
     stop test of that bar, and a new entry may share the exit bar.
     """
+    bars = fill_forward_zero(bars)
     rows = bars.selectExpr("*", *([] if "bar_idx" in bars.columns else [candles.BAR_INDEX]), *ahead_of([hold]))
     df = with_outcomes(rows, bars.columns, [hold], combined)
     return df.withColumnsRenamed({f"_buy{hold}": "_buy", f"_sell{hold}": "_sell"})
@@ -100,7 +102,8 @@ CANDIDATE = ("entry_idx", "entry_date", "entry_price", "exit_idx", "exit_date",
 
 def candidate_trades(bars: DataFrame, names: Iterable[str] | None = None, hold: int = HOLD_DAYS,
                      cautious: bool = False, sides: Iterable[str] = ("buy", "sell")) -> DataFrame:
-    """One row per signal that can open a position, with its outcome."""
+    """One row per signal that can open a position, with its outcome. Missing prices are filled forward first."""
+    bars = fill_forward_zero(bars)
     names = tuple(names or ALL_PATTERNS)
     sides = tuple(sides)
     rules = entry_rules(ahead=1) if cautious else {}
@@ -132,9 +135,9 @@ def candidates_of(bars: DataFrame, signals: DataFrame, hold: int = HOLD_DAYS) ->
 # --- T2, T5: the account ------------------------------------------------------------------------
 
 def select_trades(candidates: DataFrame, cash: float = START_CASH, keys: Iterable[str] = KEYS,
-                  extra: Iterable[str] = ()) -> DataFrame:
+                  extra: Iterable[str] = (), combined: bool = False) -> DataFrame:
     """T2 + T5: greedy non-overlapping trades with lot size, fees and cash after each of them."""
-    return explode_trades(accounts(candidates, cash, keys, extra), keys, extra)
+    return explode_trades(accounts(candidates, cash, keys, extra), keys, extra, combined)
 
 
 def accounts(candidates: DataFrame, cash: float = START_CASH, keys: Iterable[str] = KEYS,
@@ -167,23 +170,26 @@ def accounts(candidates: DataFrame, cash: float = START_CASH, keys: Iterable[str
     return grouped.selectExpr(*keys, f"{fold} AS trades")
 
 
-def explode_trades(accounts_: DataFrame, keys: Iterable[str] = KEYS, extra: Iterable[str] = ()) -> DataFrame:
+def explode_trades(accounts_: DataFrame, keys: Iterable[str] = KEYS, extra: Iterable[str] = (), combined: bool = False) -> DataFrame:
+    """Trades of the accounts. combined: as the one-account form counts, the entry bar of a position that is open at the end
+    is a held day, and the fall is measured from the account's value before the entry fee."""
     keys, extra = tuple(keys), tuple(extra)
     side = () if "side" in keys else ("t.c.side AS side",)
     rows = accounts_.selectExpr(*keys, "posexplode(trades) AS (_no, t)").selectExpr(
         *keys, *side, "CAST(_no + 1 AS INT) AS trade_no", *[f"t.c.{c}" for c in CANDIDATE + extra],
         "t.size", "t.cash_before", "t.cash_in", "t.cash_out")
     sign = "IF(side = 'buy', 1, -1)"
-    fall = (f"aggregate(closes, named_struct('peak', cash_in + {sign} * size * entry_price, 'dd', 0D), "
+    start = "cash_before" if combined else f"cash_in + {sign} * size * entry_price"
+    days = "exit_idx - entry_idx" + (" + IF(exit_reason = 'end', 1, 0)" if combined else "")
+    fall = (f"aggregate(closes, named_struct('peak', {start}, 'dd', 0D), "
             f"(a, p) -> named_struct('peak', greatest(a.peak, cash_in + {sign} * size * p), "
             f"'dd', IF(greatest(a.peak, cash_in + {sign} * size * p) > 0, greatest(a.dd, "
             f"(greatest(a.peak, cash_in + {sign} * size * p) - (cash_in + {sign} * size * p)) "
             f"/ greatest(a.peak, cash_in + {sign} * size * p) * 100), a.dd)), a -> a.dd)")
     return rows.selectExpr(
         "*", f"{sign} * (exit_price - entry_price) * size AS pnl",
-        "CASE WHEN exit_price <> 0 THEN IF(side = 'buy', exit_price / entry_price - 1, "
-        "entry_price / exit_price - 1) * 100 END AS pnl_pct",
-        "exit_idx - entry_idx AS hold_days", f"{fall} AS hold_max_drawdown")
+        "CASE WHEN side = 'buy' THEN exit_price / entry_price - 1 WHEN exit_price <> 0 THEN entry_price / exit_price - 1 END * 100 AS pnl_pct",
+        f"{days} AS hold_days", f"{fall} AS hold_max_drawdown")
 
 
 def trade_details(trades: DataFrame) -> DataFrame:

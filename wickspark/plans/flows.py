@@ -27,7 +27,7 @@ def backtest(bars: DataFrame, buy: Iterable[str], sell: Iterable[str], hold: int
         F.bround(F.sum("won") / F.sum("trades") * 100, 0).alias("win_rate"), F.sum("hold_days").alias("hold_days"))
     joint = C.combined_trades(bars, buy, sell, hold, cash, cautious)
     risk = M.account_metrics(joint, cash, ("code",)).select("code", "sharpe", "max_drawdown")
-    real = M.account_return(joint, cash, ("code",)).select("code", F.col("account_return").alias("real_return"))
+    real = M.account_return(joint, cash, ("code",), rounded=True).select("code", F.col("account_return").alias("real_return"))
     held = M.buy_hold_adjusted(bars, single.select("code", F.col("total_return").alias("return_pct"), "hold_days"))
     return single.drop("hold_days").join(risk, "code").join(real, "code").join(held, "code")
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from wickspark.functions.codes import classify_board
 from wickspark.functions.pick import pick_row
 from wickspark.model import BAR_SCHEMA, COVER_END_SLACK, COVER_START_SLACK
-from wickspark.operators.selection import good_rows
+from wickspark.operators.selection import good_rows, quality_check
 
 KEY = ("code", "trade_date")
 BEFORE_ALL = -(2 ** 63)  # load sequence of what is already stored
@@ -74,7 +74,8 @@ def choose_source(union: DataFrame, end) -> DataFrame:
     end = F.lit(end).cast("date")
     reach = union.groupBy("code", "priority").agg(F.max("trade_date").alias("_max"), F.max("is_local").alias("_local"))
     # sources that reach the end: the first asked wins; otherwise the last one asked
-    rank = F.when(F.col("_max") >= end, F.col("priority")).otherwise(F.lit(1000) - F.col("priority"))
+    whole = F.col("_max") >= end
+    rank = F.struct((~whole).cast("int"), F.when(whole, F.col("priority")).otherwise(-F.col("priority")))
     best = reach.groupBy("code").agg(
         F.min_by(F.struct("priority", "_max"), rank).alias("_b"),
         F.max(F.when(F.col("_local"), F.col("_max"))).alias("_local_max"))
@@ -83,7 +84,8 @@ def choose_source(union: DataFrame, end) -> DataFrame:
     main = F.col("priority") == F.col("_bp")
     tail = F.col("is_local") & ~main & (F.col("_bmax") < end) & (F.col("_local_max") > F.col("_bmax"))
     kept = j.filter(main | tail).withColumn("_tail", tail.cast("int")).drop("_bp", "_bmax", "_local_max")
-    return pick_row(kept, KEY, F.col("_tail") * 1000 + F.col("priority"), F.max_by).drop("_tail")  # a tail row replaces its date
+    # a tail row replaces its date; priorities are 32-bit integers
+    return pick_row(kept, KEY, F.col("_tail") * F.lit(1 << 32) + F.col("priority"), F.max_by).drop("_tail")
 
 
 def top_up_latest(bars: DataFrame, quotes: DataFrame, end) -> DataFrame:
@@ -104,6 +106,7 @@ def with_partitions(df: DataFrame) -> DataFrame:
 def read_bars(spark: SparkSession, path: str, start=None, end=None, codes: list[str] | None = None) -> DataFrame:
     """Only the months, row groups and columns asked for are read."""
     df = spark.read.parquet(path)
+    df = df.drop("load_seq") if "load_seq" in df.columns else df
     if start is not None:
         df = df.filter(F.col("ym") >= F.date_format(F.lit(start).cast("date"), "yyyyMM")).filter(F.col("trade_date") >= F.lit(start).cast("date"))
     if end is not None:
@@ -113,33 +116,58 @@ def read_bars(spark: SparkSession, path: str, start=None, end=None, codes: list[
     return df
 
 
-def upserted(stored: DataFrame | None, new: DataFrame, seq: str | None = None) -> DataFrame:
-    """S3 as a table function: quality gate per code, keep-last per date, new over stored."""
-    order = (F.col(seq) if seq else F.lit(0)).cast("long")
-    both = good_rows(new.filter(classify_board(F.col("code")) != "excluded")).withColumn("_s", order)
+def load_rank(time, name):
+    """Order of loads as one number: the time of the load (timestamp), then its name. It doesn't depend on what is loaded together."""
+    digest = F.conv(F.substring(F.md5(name.cast("binary")), 1, 15), 16, 10).cast("decimal(20,0)")
+    return (F.unix_micros(time).cast("decimal(18,0)") * F.lit(str(10 ** 19)).cast("decimal(20,0)") + digest).cast("decimal(38,0)")
+
+
+def rejected(new: DataFrame, load: str | None = None) -> DataFrame:
+    """S3: what a save refuses: (load,) code, reason, rows. Codes outside the boards, and codes of a load that fail a rule of F10."""
+    keys = ([load] if load else []) + ["code"]
+    outside = new.filter(classify_board(F.col("code")) == "excluded").groupBy(*keys).agg(F.count("*").alias("rows"))
+    bad = quality_check(new.filter(classify_board(F.col("code")) != "excluded"), keys).filter("NOT passed")
+    return outside.select(*keys, F.lit("excluded board").alias("reason"), "rows").unionByName(bad.select(*keys, "reason", "rows"))
+
+
+def upserted(stored: DataFrame | None, new: DataFrame, seq: str | None = None, load: str | None = None, keep_seq: bool = False) -> DataFrame:
+    """S3 as a table function: quality gate per load and code, keep-last per date by `seq`, new over stored.
+
+    load: column that names the load of a row; without it all rows are one load. seq: number that orders loads; a null is before all others. Where
+    the stored rows carry `seq` themselves (keep_seq), the order is by it alone, whatever was stored first."""
+    wide = "decimal(38,0)"
+    order = F.coalesce(F.col(seq).cast(wide), F.lit(BEFORE_ALL + 1).cast(wide)) if seq else F.lit(0).cast(wide)
+    both = good_rows(new.filter(classify_board(F.col("code")) != "excluded"), [load, "code"] if load else ["code"]).withColumn("_s", order)
+    both = both.drop(load) if load else both
     if stored is not None:
-        both = stored.withColumn("_s", F.lit(BEFORE_ALL)).unionByName(both, allowMissingColumns=True)
+        held = F.coalesce(F.col(seq), F.lit(BEFORE_ALL).cast(wide)) if keep_seq else F.lit(BEFORE_ALL).cast(wide)
+        both = stored.withColumn("_s", held).unionByName(both, allowMissingColumns=True)
     out = pick_row(both, KEY, F.col("_s"), F.max_by).drop("_s")
-    return out.drop(seq) if seq and seq in out.columns else out
+    return out.drop(seq) if seq and not keep_seq and seq in out.columns else out
 
 
-def upsert_bars(spark: SparkSession, path: str, new: DataFrame, seq: str | None = None) -> None:
-    """S3: merge new bars into the store, rewriting only the months they touch.
+def upsert_bars(spark: SparkSession, path: str, new: DataFrame, seq: str | None = None, load: str | None = None) -> DataFrame:
+    """S3: merge new bars into the store, rewriting only the months they touch. Returns what was refused.
 
-    Rows are brought together by board and month with a rebalance hint: AQE joins small months into
-    one task and splits a large one (a board may hold most of the market) by size.  The list of touched
+    Every stored row keeps the rank of its load, `load_seq`: the order of loads decides, not the order or number of saves. Without
+    seq the rows are one load, of now. Rows are brought together by board and month with a rebalance hint: AQE joins small months into
+    one task and splits a large one (a board may hold most of the market) by size; files are sorted by code. The list of touched
     months is bounded by the calendar and is the only thing the driver sees."""
     new = new.withColumn("trade_date", as_date(F.col("trade_date")))
+    rank = F.col(seq).cast("decimal(38,0)") if seq else load_rank(F.current_timestamp(), F.lit(""))
+    new = new.withColumn("load_seq", rank)
+    new = new.drop(seq) if seq and seq != "load_seq" else new
     months = [r[0] for r in new.select(F.date_format("trade_date", "yyyyMM")).distinct().collect() if r[0]]
     try:
         stored = spark.read.parquet(path).filter(F.col("ym").isin(months)).drop("board", "ym")
     except Exception as e:  # first load: there is no store yet
-        if "PATH_NOT_FOUND" not in str(e):
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
         stored = None
-    out = with_partitions(upserted(stored, new, seq))
-    (out.hint("rebalance", "board", "ym").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("board", "ym").parquet(path))
+    out = with_partitions(upserted(stored, new, "load_seq", load, keep_seq=True))
+    (out.hint("rebalance", "board", "ym").sortWithinPartitions("board", "ym", "code", "trade_date")
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("board", "ym").parquet(path))
+    return rejected(new, load)
 
 
 # --- coverage and master ------------------------------------------------------------------------

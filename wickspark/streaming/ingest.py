@@ -7,31 +7,37 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wickspark.model import BAR_SCHEMA
-from wickspark.sources.bars import upsert_bars
+from wickspark.sources.bars import load_rank, upsert_bars
 
 
 def ingest_bars_stream(spark: SparkSession, landing: str, store: str, checkpoint: str,
                        schema: T.StructType = BAR_SCHEMA, fmt: str = "parquet", max_files: int = 1000):
-    """ST1: new bar files -> quality gate -> keep-last upsert; the newest load wins.
+    """ST1: new bar files -> quality gate per file -> keep-last upsert; the newest file wins, by its time and then its name.
 
-    Each micro-batch rewrites only the months it touches, and writing the same batch twice gives the
-    same store, so a replay after a failure does no harm.  The checkpoint is the resume point."""
-    stream = spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", max_files).load(landing)
+    max_files sets how much one micro-batch holds and not what is stored: the gate is per file, and stored rows keep the rank of
+    their file. Each micro-batch rewrites only the months it touches, and writing the same batch twice gives the
+    same store, so a replay after a failure does no harm.  The checkpoint is the resume point.  What is refused goes to
+    `store`_rejected: load, code, reason, rows."""
+    stream = (spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", max_files).load(landing)
+              .withColumn("_load", F.col("_metadata.file_path"))
+              .withColumn("load_seq", load_rank(F.col("_metadata.file_modification_time"), F.col("_metadata.file_path"))))
 
-    def merge(batch: DataFrame, _batch_id: int) -> None:
-        upsert_bars(batch.sparkSession, store, batch)
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        refused = upsert_bars(batch.sparkSession, store, batch, "load_seq", "_load")
+        refused.withColumnRenamed("_load", "load").withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(store + "_rejected")
 
     return (stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
 def latest_quotes(ticks: DataFrame, late: str = "1 hour", every: str = "1 day") -> DataFrame:
-    """ST2: newest quote per code and window; state is dropped once the watermark passes the window.
+    """ST2: newest quote per code and window (of equal ts the largest in the other columns' order); state is dropped once the
+    watermark passes the window.
 
     ticks: (code, ts, price, ...); works on a stream and on a table."""
     rest = [c for c in ticks.columns if c != "code"]
     source = ticks.withWatermark("ts", late) if ticks.isStreaming else ticks
-    newest = source.groupBy("code", F.window("ts", every).alias("w")).agg(F.max_by(F.struct(*rest), "ts").alias("_r"))
+    newest = source.groupBy("code", F.window("ts", every).alias("w")).agg(F.max(F.struct("ts", *[c for c in rest if c != "ts"])).alias("_r"))
     return newest.select("code", F.col("w.start").alias("window_start"), *[f"_r.{c}" for c in rest])
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wickspark.llm.frames import cut
+from wickspark.llm.frames import cut, small_batches
 from wickspark.llm.words import ALNUM, Words, grams, signed, words_of
 
 WINDOW, GRAM, BITS = 13, 8, 27
@@ -108,6 +108,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
     empty texts have no words; items without words or id have no spans. Repeated rows each get their row, repeated items
     count once. No items: nothing is hit. No documents: no rows.
     """
+    small_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     spans = cut(
         with_spans(items.filter("item_id IS NOT NULL"), "item_id", window, gram, [], None, bits)

@@ -19,3 +19,10 @@ def cut(df: DataFrame) -> DataFrame:
     """df, written to the checkpoint folder and read from there: computed once however often it is used."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts are long rows: from here on the session sends at most so many of them to Python at once. Results don't depend on it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wickspark.llm.chargrams import Presence
+from wickspark.llm.frames import small_batches
 from wickspark.llm.samples import remainder, sample
 
 PER_LANGUAGE, LANDMARKS, LONGEST, RIDGE, ROWS = 300, 24, 100_000, 1e-3, 64
@@ -91,6 +92,7 @@ def languages(docs: DataFrame, per_language: int = PER_LANGUAGE, folds: int = 4,
     for the predicted language, held to 0 ... 1. Null texts and those without a letter are `und` with score 0, and so is all
     where nothing could be learned. Repeated rows get equal answers. No rows: no rows.
     """
+    small_batches(docs.sparkSession)
     own = docs.select("doc_id", "lang", "text")
     rest = remainder(F.col("doc_id"), folds)
     train = sample(own.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (rest != held)), own, "lang", per_language, LONGEST)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wickspark.llm.components import components
-from wickspark.llm.frames import cut
+from wickspark.llm.frames import cut, small_batches
 from wickspark.llm.words import LOWER_SPACED, Words, grams, mixed, signed, words_of
 
 BANDS, ROWS, BLOCK = 32, 5, 2048
@@ -221,6 +221,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> Dat
     Rows that repeat a doc_id are one document; if their texts differ, the one whose set has the smallest hash is linked for
     all, and kept doesn't tell them apart. Rows without doc_id are linked with nothing, have no component_id and are kept.
     """
+    small_batches(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scanned = cut(plain.mapInArrow(_scan(shingle), "doc_id bigint, n bigint, d1 bigint, d2 bigint, minima binary")).withColumn("_row", F.monotonically_increasing_id())
     full = scanned.filter("n > 0 AND doc_id IS NOT NULL")

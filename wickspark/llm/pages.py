@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from wickspark.llm.frames import small_batches
 from wickspark.llm.markup import FEATURES, blocks
 
 PAGES, ROUNDS, DECAY = 300, 120, 1e-3
@@ -160,6 +161,7 @@ def extract(pages: DataFrame) -> DataFrame:
     Null, empty and tagless html is taken as it is: text without tags is one block. Broken markup is closed as browsers do in
     the main cases. Repeated rows get equal answers. No rows: no rows.
     """
+    small_batches(pages.sparkSession)
     sent = pages.sparkSession.sparkContext.broadcast(trained())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wickspark.llm.chargrams import Presence
+from wickspark.llm.frames import small_batches
 from wickspark.llm.samples import remainder, sample
 
 PER_LABEL, LONGEST, COST, ROUNDS, BITS = 1000, 100_000, 1.0, 30, 18
@@ -114,6 +115,7 @@ def qualities(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, fo
     of LONGEST characters at most. A score depends on the text alone; null and empty texts have the score of a text without features.
     Rows with other quality values, nulls and ids without a document teach nothing. Repeated rows get equal answers. No rows: no rows.
     """
+    small_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rest = remainder(F.col("doc_id"), folds)
     marked = labels.select("doc_id", "quality").filter(F.col("quality").isin(0, 1) & (rest != held)).dropDuplicates(["doc_id"])

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wickspark.llm.frames import small_batches
 from wickspark.llm.quality import logistic
 from wickspark.llm.words import buffers, slices
 
@@ -246,6 +247,7 @@ def find_secrets(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     network is fit on sample documents at most (smallest id hashes, texts of LONGEST characters at most). Repeated rows get equal answers. No rows:
     no rows, no findings in the sample: only made-up ones are learned.
     """
+    small_batches(docs.sparkSession)
     own = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull())
     chosen = [r.doc_id for r in own.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
     texts = own.filter(F.col("doc_id").isin(chosen) & (F.length("text") <= LONGEST)).dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()["text"].tolist() if chosen else []

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wickspark.llm.frames import small_batches
 from wickspark.llm.words import SPACED, Words, grams, second, whole_hash, words_of
 
 WINDOW, ANCHOR, PERIOD = 20, 8, 13
@@ -241,6 +242,7 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     all. If a doc_id has several rows they are one place: equal windows at equal positions of it are no repeat, and what goes
     from one goes at the same positions from the others. No rows: no rows.
     """
+    small_batches(docs.sparkSession)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     placed = plain.withColumn("place", place_of(F.col("doc_id"), F.col("text"), n))

@@ -54,10 +54,10 @@ add("trade_open_at_end", lambda s, d: few_trades(s, d).filter("exit_reason = 'en
     S.with_(*_BASE, S.walk(), recursive=True) + "SELECT code, pattern, side, CAST(trade_no AS INTEGER) AS trade_no, entry_date, entry_price, exit_date, exit_price, "
     "CAST(exit_i - e AS INTEGER) AS hold_days, CAST(held AS INTEGER) AS held_bars FROM trades WHERE kind = 'end'")
 add("trade_size_and_cash",
-    lambda s, d: few_trades(s, d).select("code", "pattern", "side", "trade_no", F.round("size", 0).alias("size"), F.round("pnl", 2).alias("pnl"),
+    lambda s, d: few_trades(s, d).select("code", "pattern", "side", "trade_no", F.round("size", 0).alias("size"), F.round("pnl", 4).alias("pnl"),
                                          F.round("cash_out", 2).alias("cash_out")),
     S.with_(*_BASE, S.walk(), recursive=True) + "SELECT code, pattern, side, CAST(trade_no AS INTEGER) AS trade_no, round(size, 0) AS size, "
-    "round(CASE WHEN side = 'buy' THEN 1 ELSE -1 END * (exit_price - entry_price) * size, 2) AS pnl, round(cash_out, 2) AS cash_out FROM trades")
+    "round(CASE WHEN side = 'buy' THEN 1 ELSE -1 END * (exit_price - entry_price) * size, 4) AS pnl, round(cash_out, 2) AS cash_out FROM trades")
 _CAUT = ("CDLMARUBOZU", "CDLINVERTEDHAMMER", "CDLSEPARATINGLINES", "CDLTASUKIGAP")
 _LAGS_OF = "lags AS (SELECT code, i, {c} FROM num)".format(c=", ".join(
     f"lag({f}, {k}) OVER ({S.W}) AS {f[0]}{k}" if k else f"{f} AS {f[0]}0" for k in range(4) for f in ("open", "high", "low", "close")))
@@ -72,9 +72,9 @@ add("trade_from_signal_table",
     lambda s, d: _short(T.select_trades(T.candidates_of(A.bars(s, d), candles.signals(A.bars(s, d), ["CDLDOJI"])))),
     S.with_(S.BARS, S.sig(["CDLDOJI"]), S.outcomes(), S.CAND, S.walk(), recursive=True) + _TSQL)
 add("trade_equity_marks",
-    lambda s, d: T.marked_returns(T.marks(few_trades(s, d))).select("code", "pattern", "side", "bar_idx", F.round("equity", 2).alias("equity"),
+    lambda s, d: T.marked_returns(T.marks(few_trades(s, d))).select("code", "pattern", "side", "bar_idx", F.round("equity", 4).alias("equity"),
                                                                     F.round("daily_return", 8).alias("daily_return"), F.round("drawdown", 6).alias("drawdown")),
-    S.with_(*ACCOUNTS, recursive=True) + "SELECT code, pattern, side, CAST(i AS INTEGER) AS bar_idx, round(equity, 2) AS equity, round(ret, 8) AS daily_return, "
+    S.with_(*ACCOUNTS, recursive=True) + "SELECT code, pattern, side, CAST(i AS INTEGER) AS bar_idx, round(equity, 4) AS equity, round(ret, 8) AS daily_return, "
     "round((peak - equity) / peak * 100, 6) AS drawdown FROM moves")
 add("trade_equity_curve",
     lambda s, d: T.equity_curve(A.bars(s, d), T.select_trades(T.candidate_trades(A.bars(s, d), ["CDLENGULFING"]))).select(
@@ -347,9 +347,9 @@ def two_loads(s, d):
 
 add("metric_market_wide_stats",
     lambda s, d: M.market_wide_stats(M.keep_last(two_loads(s, d), ("code", "side", "pattern"), "load")).select(
-        "pattern", "pattern_cn", "side", "trades", *[F.round(c, 4).alias(c) for c in ("win_rate", "return_pct", "sharpe", "max_drawdown")]),
+        "pattern", "pattern_cn", "side", "trades", *[F.round(c, 6).alias(c) for c in ("win_rate", "return_pct", "sharpe", "max_drawdown")]),
     _SCAN_FEW + f"""SELECT pattern, {S.cn()} AS pattern_cn, side, CAST(sum(trades) AS BIGINT) AS trades, """
-    + ", ".join(f"round(coalesce(sum({c} * trades) FILTER (trades > 0) / sum(trades) FILTER (trades > 0), 0), 4) AS {c}" for c in ("win_rate", "return_pct", "sharpe", "max_drawdown"))
+    + ", ".join(f"round(coalesce(sum({c} * trades) FILTER (trades > 0) / sum(trades) FILTER (trades > 0), 0), 6) AS {c}" for c in ("win_rate", "return_pct", "sharpe", "max_drawdown"))
     + f" FROM scan WHERE {S.group_of()} <> 'etf' GROUP BY pattern, side")
 add("metric_performance_stats", lambda s, d: M.performance_stats(few_scan(s, d)),
     _SCAN_FEW + "SELECT code, side, CAST(sum(trades) AS BIGINT) AS total_trades, round(avg(win_rate), 2) AS avg_win_rate, round(avg(return_pct), 2) AS avg_return FROM scan GROUP BY code, side")

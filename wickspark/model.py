@@ -8,7 +8,6 @@ raw rows (several per code and day) is an algebraic aggregate with map-side comb
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import types as T
 
 CODE = "code"
@@ -137,8 +136,3 @@ _daily_sell_class = tuple(p for p in SELL_CLASS if p not in NOT_DAILY)
 DAILY_BUY_ORDER = _daily_buy_class + _daily_sell_class
 DAILY_SELL_ORDER = _daily_sell_class + _daily_buy_class
 DAILY_PATTERNS = DAILY_BUY_ORDER
-
-
-def by_code(*extra: str) -> Window:
-    """The one window every bar operator shares, so that Catalyst plans one exchange and one sort."""
-    return Window.partitionBy(*extra, CODE).orderBy(DATE)

@@ -77,11 +77,6 @@ def scan_patterns(bars: DataFrame, start=None, end=None, hold: int = HOLD_DAYS,
         F.coalesce("max_drawdown", F.lit(0.0)).alias("max_drawdown"))
 
 
-def failed_codes(requested: DataFrame, bars: DataFrame) -> DataFrame:
-    """Requested codes without a bar in the range."""
-    return requested.join(bars.select("code").distinct(), "code", "left_anti")
-
-
 def pattern_result(results: DataFrame, trades: DataFrame) -> DataFrame:
     """M7 nested: result row + names + its trades as an array of structs."""
     detail = T.trade_details(trades)

@@ -71,11 +71,6 @@ def market_cap_filter(universe: DataFrame, min_mv: float | None = None, max_mv:
     return out
 
 
-def index_list(spark) -> DataFrame:
-    """The seven tracked indexes."""
-    return spark.createDataFrame(list(TRACKED_INDEXES.items()), "code string, name string")
-
-
 def select_universe(universe: DataFrame, types: Iterable[str], min_mv: float | None = None,
                     max_mv: float | None = None, etfs: DataFrame | None = None) -> DataFrame:
     """fixed indexes + stocks of the asked boards within the size limits + listed funds."""
@@ -204,7 +199,3 @@ def configured_patterns(config: DataFrame) -> DataFrame:
 def replace_configs(config: DataFrame, new: DataFrame) -> DataFrame:
     """all rows of the codes in `new` give way to the new ones."""
     return config.join(new.select("code").distinct(), "code", "left_anti").unionByName(new, allowMissingColumns=True)
-
-
-def with_kind(df: DataFrame) -> DataFrame:
-    return df.withColumn("is_index", is_index_short(F.col("code"))).withColumn("board", classify_board(F.col("code")))

@@ -150,7 +150,8 @@ def accounts(candidates: DataFrame, cash: float = START_CASH, keys: Iterable[str
     side = "side" if "side" in keys else "x.side"
     shares = f"(acc.cash * {INVEST_FRACTION}D / x.entry_price)"
     lots = f"(({shares} - {shares} % 1) / {LOT})"
-    size = f"(({lots} - {lots} % 1) * {LOT})"  # whole lots; a double, as compounding may pass a long
+    whole = f"(({lots} - {lots} % 1) * {LOT})"  # whole lots; a double, as compounding may pass a long
+    size = "z"  # bound once for each step
     into = (f"IF({side} = 'buy', acc.cash - {size} * x.entry_price * {1 + COMMISSION}D, "
             f"acc.cash + {size} * x.entry_price * {1 - COMMISSION}D)")
     out = (f"IF({side} = 'buy', {into} + {size} * x.exit_price * {1 - COMMISSION}D, "
@@ -161,11 +162,11 @@ def accounts(candidates: DataFrame, cash: float = START_CASH, keys: Iterable[str
     full = f"size(acc.page) >= {PAGE}"
     fold = f"""aggregate(_c,
         named_struct('free', -1, 'cash', {cash}D, 'pages', CAST(array() AS array<array<{done}>>), 'page', CAST(array() AS array<{done}>)),
-        (acc, x) -> IF(x.entry_idx >= acc.free AND {size} > 0,
+        (acc, x) -> transform(array({whole}), z -> IF(x.entry_idx >= acc.free AND {size} > 0,
             named_struct('free', x.next_free, 'cash', {out},
                          'pages', IF({full}, concat(acc.pages, array(acc.page)), acc.pages),
                          'page', IF({full}, {trade}, concat(acc.page, {trade}))),
-            acc),
+            acc))[0],
         acc -> flatten(concat(acc.pages, array(acc.page))))"""
     return grouped.selectExpr(*keys, f"{fold} AS trades")
 

@@ -17,10 +17,14 @@ def sample(rows: DataFrame, texts: DataFrame, label: str, per_label: int, longes
     """rows: doc_id and label. texts: doc_id, text. At most per_label rows of each label value, those whose ids have the
     smallest hashes, with their texts where these have longest characters at most: text, label, by label and hash."""
     hashed = rows.select("doc_id", label, F.xxhash64("doc_id").alias("_hash"))
-    counts = hashed.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    # what has a small hash: 4 x per_label rows of a label or all, give or take, so what meets in one task is bounded
-    share = (F.col("_hash").bitwiseAND(F.lit((1 << 40) - 1))) / F.lit(float(1 << 40))
-    few = hashed.join(counts, label).filter(share * F.col("_n") <= 4.0 * per_label + 100).withColumn("_share", share)
+    # what has a small hash: 4 x per_label rows of a label or all, give or take, so what is shuffled and meets in one task is bounded.
+    # The driver sees a count for each label.
+    counts = {r[0]: r[1] for r in hashed.groupBy(label).agg(F.count(F.lit(1))).collect()}
+    if not counts:
+        return pd.DataFrame({"text": [], "label": []})
+    least = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, (4.0 * per_label + 100) / n)])
+    share = F.col("_hash").bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(float(1 << 40))
+    few = hashed.withColumn("_share", share).filter(F.col("_share") <= F.element_at(least, F.col(label)))
     order = W.partitionBy(label).orderBy("_share", "_hash", "doc_id")
     chosen = few.withColumn("_no", F.row_number().over(order)).filter(F.col("_no") <= per_label)
     got = chosen.toPandas()

@@ -239,22 +239,23 @@ def suspects(column: pa.Array) -> Iterator[tuple[int, bool, bool]]:
             yield a + int(t), bool(base[t]), bool(more[t])
 
 
-def find_secrets(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def find_secrets(docs: DataFrame, sample: int = SAMPLE, mark: str | None = None) -> DataFrame:
     """docs: doc_id, text and others. All columns of docs with secret_base and secret_spans (arrays of kind, start, end), a row for each.
 
     Spans count code points, end exclusive. secret_base: kinds assign, access and hex, by start and then kind as listed;
     secret_spans: these and the network's (kind network), which touch none of them. Null and empty texts have none. The
     network is fit on sample documents at most (smallest id hashes, texts of LONGEST characters at most). Repeated rows get equal answers. No rows:
-    no rows, no findings in the sample: only made-up ones are learned.
+    no rows, no findings in the sample: only made-up ones are learned. With mark, the columns are those of docs and the mark
+    stands in place of each span of secret_spans (overlapping ones together).
     """
     small_batches(docs.sparkSession)
     own = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull())
     chosen = [r.doc_id for r in own.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
     texts = own.filter(F.col("doc_id").isin(chosen) & (F.length("text") <= LONGEST)).dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()["text"].tolist() if chosen else []
     sent = docs.sparkSession.sparkContext.broadcast(trained(texts))
-    names, position = [*docs.columns, "secret_base", "secret_spans"], docs.columns.index("text")
+    names, position = docs.columns if mark else [*docs.columns, "secret_base", "secret_spans"], docs.columns.index("text")
     kind = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
-    schema = T.StructType([*docs.schema.fields, T.StructField("secret_base", kind), T.StructField("secret_spans", kind)])
+    schema = docs.schema if mark else T.StructType([*docs.schema.fields, T.StructField("secret_base", kind), T.StructField("secret_spans", kind)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = sent.value
@@ -277,6 +278,12 @@ def find_secrets(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
                 for (t, a, b), yes in zip(asked, hit.tolist(), strict=True):
                     if yes:
                         every[t] = sorted([*every[t], (a, b, "network")], key=lambda s: (s[0], (*KINDS, "network").index(s[2])))
+            if mark:
+                if any(every):
+                    masked = [_masked(x, row, mark) if row else x for x, row in zip(column.to_pylist(), every, strict=True)]
+                    column = pa.array(masked, column.type)
+                yield pa.RecordBatch.from_arrays([column if k == position else c for k, c in enumerate(batch.columns)], names=names)
+                continue
             spans = [pa.array([[{"kind": k, "start": a, "end": b} for a, b, k in row] for row in rows], _SPAN_TYPE) for rows in (base, every)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *spans], names=names)
 
@@ -284,25 +291,14 @@ def find_secrets(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 
 def redacted(docs: DataFrame, mark: str = "[secret]", sample: int = SAMPLE) -> DataFrame:
-    """docs with mark in place of each span of secret_spans (overlapping ones together); other texts and columns as they are."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column, spans = batch.column(position), batch.column(batch.num_columns - 1)
-            lengths = spans.value_lengths().to_numpy(zero_copy_only=False)
-            changed = {int(t): _masked(column[int(t)].as_py(), spans[int(t)].as_py(), mark) for t in np.flatnonzero(np.nan_to_num(lengths) > 0)}
-            if changed:
-                column = pa.array([changed.get(t, x) if t in changed else x for t, x in enumerate(column.to_pylist())], pa.string())
-            yield pa.RecordBatch.from_arrays([column if k == position else batch.column(k) for k in range(batch.num_columns - 1)], names=names)
-
-    names, position = docs.columns, docs.columns.index("text")
-    return find_secrets(docs, sample).select(*docs.columns, "secret_spans").mapInArrow(run, docs.schema)
+    """docs with mark in place of each span that is found; other texts and columns as they are."""
+    return find_secrets(docs, sample, mark)
 
 
-def _masked(text: str, spans: list[dict], mark: str) -> str:
+def _masked(text: str, spans: list[tuple[int, int, str]], mark: str) -> str:
     parts, upto = [], 0
-    for s in spans:
-        if s["start"] >= upto:
-            parts += [text[upto : s["start"]], mark]
-        upto = max(upto, s["end"])
+    for start, end, _ in spans:
+        if start >= upto:
+            parts += [text[upto:start], mark]
+        upto = max(upto, end)
     return "".join([*parts, text[upto:]])

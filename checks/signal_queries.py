@@ -175,6 +175,8 @@ UNION_SELL = "CASE WHEN td = -1 THEN 'turtle' WHEN x = -1 THEN 'double_ma' WHEN
 UNION_BUY_V2 = f"CASE WHEN up <> 0 THEN 'turtle' WHEN {_NEAR_BUY} THEN 'near_ma' WHEN x = 1 THEN 'double_ma' END"
 UNION_SELL_V2 = ("CASE WHEN td = -1 THEN 'turtle' WHEN x10 = -1 OR x20 = -1 OR x60 = -1 OR x90 = -1 THEN 'near_ma' WHEN x = -1 THEN 'double_ma' "
                  "WHEN dn = -1 THEN 'breakout' END")
+UNION_BUY_OTHER = f"CASE WHEN {_NEAR_BUY} THEN 'near_ma' WHEN x = 1 THEN 'double_ma' WHEN up = 1 THEN 'breakout' END"
+UNION_SELL_OTHER = "CASE WHEN x10 = -1 OR x20 = -1 OR x60 = -1 OR x90 = -1 THEN 'near_ma' WHEN x = -1 THEN 'double_ma' WHEN dn = -1 THEN 'breakout' END"
 for _name, _fn, _b, _s in (("indicator_union", R.indicator_union, UNION_BUY, UNION_SELL), ("indicator_union_v2", R.indicator_union_v2, UNION_BUY_V2, UNION_SELL_V2)):
     add(f"rule_{_name}", lambda s, d, fn=_fn: fn(A.bars(s, d)).filter("buy OR sell").select("code", "trade_date", "buy_signal", "sell_signal"),
         S.with_(S.BARS, *UNION_SQL) + f"SELECT * FROM (SELECT code, trade_date, {_b} AS buy_signal, {_s} AS sell_signal FROM q) WHERE buy_signal IS NOT NULL OR sell_signal IS NOT NULL")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from checks import sql as S
 from checks.registry import add
-from checks.signal_queries import (_TR, RULE_SQL, UNION_BUY, UNION_BUY_V2, UNION_SELL, UNION_SELL_V2, UNION_SQL, _lined,
+from checks.signal_queries import (_TR, RULE_SQL, UNION_BUY, UNION_BUY_OTHER, UNION_BUY_V2, UNION_SELL, UNION_SELL_OTHER, UNION_SELL_V2, UNION_SQL, _lined,
                                    _roll)
 from wickspark import adapters as A
 from wickspark.model import ALL_PATTERNS, BUY_CLASS, DAILY_PATTERNS, SELL_CLASS
@@ -240,14 +240,40 @@ def _turtle_sql(signal_ctes, lot: str) -> str:
 
 
 _PER_ATR = "floor(s.cash * 0.01 / e.atr / 100) * 100"
-_THIRD = "floor(s.cash * (1.0::DOUBLE / 3) / (e.close * 1.001) / 100) * 100"
 _AT = ("code", "entry_date", "entry_price", "exit_date", "exit_price", "size", "signal", "exit_signal")
 add("trade_turtle_account", lambda s, d: R.turtle_trades(R.turtle(A.bars(s, d))).select(*_AT),
     _turtle_sql([*RULE_SQL["turtle"], "sgn AS (SELECT code, trade_date, open, close, CASE WHEN buy THEN 'turtle' END AS b, CASE WHEN sell THEN 'turtle' END AS s FROM flags)"], _PER_ATR))
 add("trade_indicator_union_account", lambda s, d: R.turtle_trades(R.indicator_union(A.bars(s, d))).select(*_AT),
     _turtle_sql([*UNION_SQL, f"sgn AS (SELECT code, trade_date, open, close, {UNION_BUY} AS b, {UNION_SELL} AS s FROM q)"], _PER_ATR))
-add("trade_indicator_union_v2_account", lambda s, d: R.turtle_trades(R.indicator_union_v2(A.bars(s, d)), cash_share=1 / 3).select(*_AT),
-    _turtle_sql([*UNION_SQL, f"sgn AS (SELECT code, trade_date, open, close, {UNION_BUY_V2} AS b, {UNION_SELL_V2} AS s FROM q)"], _THIRD))
+def _stacked_sql(signal_ctes) -> str:
+    """Walk every bar of a code: buys stack while a lot can be paid, sales only where none can."""
+    fill = "q.lot > 0 AND coalesce(r.lot > 0 AND r.lot * e.no * (1 + 0.0001::DOUBLE) <= s.cash, false)"
+    stop = "coalesce((coalesce(e.s = 'turtle', false) OR e.close < s.price - 2 * e.atr) AND s.n > 0, false)"
+    sell = f"q.lot = 0 AND s.size > 0 AND ({stop} OR e.so IS NOT NULL)"
+    return S.with_(
+        S.BARS, _TR, *signal_ctes,
+        f"""ev AS (SELECT g.code, g.close, a.atr, g.b, g.bo, g.s, g.so, lead(g.open) OVER w AS no, lead(g.trade_date) OVER w AS nd, row_number() OVER w AS k
+          FROM sgn g JOIN atr a USING (code, trade_date) WINDOW w AS (PARTITION BY g.code ORDER BY g.trade_date)),
+        st AS (SELECT DISTINCT code, 0::BIGINT AS k, 1e8::DOUBLE AS cash, 0::DOUBLE AS size, 0::DOUBLE AS spent, 0::DOUBLE AS price, 0 AS n, 0 AS m, NULL::DATE AS since, NULL::VARCHAR AS sig,
+            NULL::DATE AS in_date, NULL::DOUBLE AS in_price, NULL::DATE AS out_date, NULL::DOUBLE AS out_price, NULL::DOUBLE AS sold, NULL::INT AS entries, NULL::VARCHAR AS bought_by, NULL::VARCHAR AS sold_by FROM ev
+          UNION ALL SELECT s.code, e.k,
+            CASE WHEN {fill} THEN s.cash - r.lot * e.no * (1 + 0.0001::DOUBLE) WHEN {sell} THEN s.cash + s.size * e.no * (1 - 0.0001::DOUBLE) ELSE s.cash END,
+            CASE WHEN {fill} THEN s.size + r.lot WHEN {sell} THEN 0 ELSE s.size END, CASE WHEN {fill} THEN s.spent + r.lot * e.no WHEN {sell} THEN 0 ELSE s.spent END,
+            CASE WHEN {fill} THEN e.no ELSE s.price END,
+            CASE WHEN q.lot > 0 THEN s.n + CASE WHEN coalesce(q.b = 'turtle', false) AND (s.n = 0 OR r.lot > 0) THEN 1 ELSE 0 END WHEN {sell} AND {stop} THEN 0 ELSE s.n END,
+            CASE WHEN {fill} THEN s.m + 1 WHEN {sell} THEN 0 ELSE s.m END,
+            CASE WHEN {fill} THEN coalesce(s.since, e.nd) WHEN {sell} THEN NULL ELSE s.since END, CASE WHEN {fill} THEN coalesce(s.sig, q.b) WHEN {sell} THEN NULL ELSE s.sig END,
+            s.since, s.spent / nullif(s.size, 0), CASE WHEN {sell} THEN e.nd END, CASE WHEN {sell} THEN e.no END, s.size, s.m, s.sig, CASE WHEN {stop} THEN 'turtle' ELSE e.so END
+          FROM st s JOIN ev e ON e.code = s.code AND e.k = s.k + 1 AND e.nd IS NOT NULL,
+          LATERAL (SELECT coalesce(floor(s.cash / (e.close * 1.001) / 100) * 100, 0) AS lot, CASE WHEN e.b = 'turtle' AND s.n > 4 THEN e.bo ELSE e.b END AS b) q,
+          LATERAL (SELECT CASE WHEN q.b IS NULL THEN 0 WHEN q.b <> 'turtle' THEN q.lot WHEN s.n = 0 OR e.close > s.price + 0.5 * e.atr
+            THEN coalesce(floor(s.cash / 3 / (e.close * 1.001) / 100) * 100, 0) ELSE 0 END AS lot) r)""", recursive=True) \
+        + ("SELECT code, in_date AS entry_date, in_price AS entry_price, out_date AS exit_date, out_price AS exit_price, sold AS size, entries, bought_by AS signal, sold_by AS exit_signal "
+           "FROM st WHERE out_date IS NOT NULL")
+
+
+add("trade_indicator_union_v2_account", lambda s, d: R.stacked_trades(R.indicator_union_v2(A.bars(s, d))).select(*_AT, "entries"),
+    _stacked_sql([*UNION_SQL, f"sgn AS (SELECT code, trade_date, open, close, {UNION_BUY_V2} AS b, {UNION_SELL_V2} AS s, {UNION_BUY_OTHER} AS bo, {UNION_SELL_OTHER} AS so FROM q)"]))
 
 
 def pool_performance(s, d):

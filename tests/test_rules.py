@@ -86,7 +86,7 @@ def walk_turtle(g, share, cash=1e8):
     return out
 
 
-@pytest.mark.parametrize("rule,share", [("turtle", None), ("indicator_union", None), ("indicator_union_v2", 1 / 3)])
+@pytest.mark.parametrize("rule,share", [("turtle", None), ("indicator_union", None), ("indicator_union", 1 / 3)])
 def test_turtle_trades(spark, data, rule, share):
     kw = {} if rule == "turtle" else {"n": 15, "short": 5, "long": 20}
     sig = R.RULES[rule](spark.createDataFrame(data), **kw)
@@ -107,6 +107,58 @@ def test_turtle_trades(spark, data, rule, share):
     assert seen > 0
 
 
+def walk_stacked(g, cash):
+    """One bar after the other, as an account that orders at the close and is filled at the next open."""
+    out, held, spent, last, count, first, names, fills = [], 0, 0.0, 0.0, 0, None, [], 0
+    rows = g.sort_values("trade_date").to_dict("records")
+    for r, nxt in zip(rows, rows[1:]):
+        atr = r["atr"] if not pd.isna(r["atr"]) else math.nan
+        price = r["close"] * 1.001
+        if full := math.floor(cash / price / 100) * 100:
+            rule, order = r["buy_signal"], 0
+            if rule == "turtle" and count > 4:
+                rule = r["buy_other"]
+            if rule == "turtle":
+                third = math.floor(cash / 3 / price / 100) * 100
+                if count == 0:
+                    count, order = 1, third
+                elif r["close"] > last + 0.5 * atr and third:
+                    count, order = count + 1, third
+            elif rule:
+                order = full
+            if order and order * nxt["open"] * (1 + FEE) <= cash:
+                cash -= order * nxt["open"] * (1 + FEE)
+                held, spent, last, fills = held + order, spent + order * nxt["open"], nxt["open"], fills + 1
+                first = first or nxt["trade_date"]
+                names.append(rule)
+        elif held:
+            why = r["sell_other"]
+            if count and (r["sell_signal"] == "turtle" or r["close"] < last - 2 * atr):
+                why, count = "turtle", 0
+            if why:
+                cash += held * nxt["open"] * (1 - FEE)
+                out.append((first, nxt["trade_date"], held, fills, names[0], why, round(cash, 2), round(spent / held, 6)))
+                held, spent, first, names, fills = 0, 0.0, None, [], 0
+    return out
+
+
+@pytest.mark.parametrize("cash", [1e8, 30_000.0])
+def test_stacked_trades(spark, data, cash):
+    signals = R.indicator_union_v2(spark.createDataFrame(data), near=(10,), n=15, short=5, long=20, turtle_long=15)
+    pdf = signals.toPandas()
+    atr = pdf.atr.astype(float)
+    pdf = pdf.astype(object).where(pdf.notna(), None)
+    pdf["atr"] = atr
+    got = R.stacked_trades(signals, cash).toPandas()
+    several = 0
+    for code, g in pdf.groupby("code"):
+        mine, want = got[got.code == code].sort_values("trade_no"), walk_stacked(g, cash)
+        assert list(zip(mine.entry_date, mine.exit_date, mine["size"], mine.entries, mine.signal, mine.exit_signal)) == [w[:6] for w in want]
+        assert all(abs(a - w[6]) < 0.02 and abs(b - w[7]) < 1e-5 for a, b, w in zip(mine.cash_out, mine.entry_price, want))
+        several += sum(w[3] > 1 for w in want)
+    assert several > 0
+
+
 def walk_pool(c, slots, cash=1e8):
     """Every candidate of every day, without any shortening."""
     held, taken = [], []

@@ -86,14 +86,16 @@ def near_window(bars: DataFrame, n: int = 30, diff: float = 0.01) -> DataFrame:
 
 def indicator_union(bars: DataFrame, n: int = 20, short: int = 10, long: int = 60, turtle_long: int = 20,
                     turtle_short: int = 10, near: tuple[int, ...] = ()) -> DataFrame:
-    """G8 (near=() ) and G9 (near means given): the last matching rule names the signal."""
+    """G8 (near=() ) and G9 (near means given): the last matching rule names the signal; buy_other and sell_other leave the turtle out."""
     df = _indicator_flags(bars, n, short, long, turtle_long, turtle_short, near)
     buy = ("CASE WHEN buy_turtle THEN 'turtle' WHEN buy_near THEN 'near_ma' WHEN buy_ma THEN 'double_ma' "
            "WHEN buy_breakout THEN 'breakout' END")
+    plain = lambda side: f"CASE WHEN {side}_near THEN 'near_ma' WHEN {side}_ma THEN 'double_ma' WHEN {side}_breakout THEN 'breakout' END"
     sell = ("CASE WHEN sell_turtle THEN 'turtle' WHEN sell_near THEN 'near_ma' WHEN sell_ma THEN 'double_ma' "
             "WHEN sell_breakout THEN 'breakout' END")
     return df.selectExpr(*_BAR, "atr", f"{buy} AS buy_signal", f"{sell} AS sell_signal",
-                         f"({buy}) IS NOT NULL AS buy", f"({sell}) IS NOT NULL AS sell")
+                         f"({buy}) IS NOT NULL AS buy", f"({sell}) IS NOT NULL AS sell",
+                         f"{plain('buy')} AS buy_other", f"{plain('sell')} AS sell_other")
 
 
 def indicator_union_v2(bars: DataFrame, near: tuple[int, ...] = (10, 20, 60, 90), **kw) -> DataFrame:
@@ -204,7 +206,7 @@ def flag_trades(flags: DataFrame, cash: float = START_CASH, margin: float = 1.00
 
 
 def turtle_trades(signals: DataFrame, cash: float = START_CASH, margin: float = 1.001, cash_share: float | None = None) -> DataFrame:
-    """T10 for G5, G8 and G9: accounts with the volatility stop and the turtle's own lot size.
+    """T10 for G5 and G8: accounts with the volatility stop and the turtle's own lot size.
 
     signals: `turtle()` or `indicator_union()` output.  A turtle entry buys 1 % of cash per ATR
     (cash_share=None) or a share of cash; any other entry buys full.  Its stop is two ATR under the
@@ -247,6 +249,50 @@ def turtle_trades(signals: DataFrame, cash: float = START_CASH, margin: float =
     return rows.selectExpr("code", "CAST(_no + 1 AS INT) AS trade_no", "t.*", "(t.exit_price / nullif(t.entry_price, 0) - 1) * 100 AS pnl_pct")
 
 
+def stacked_trades(signals: DataFrame, cash: float = START_CASH, margin: float = 1.001, parts: float = 3) -> DataFrame:
+    """T10 for G9: an account that adds to its position as long as a lot can be paid.
+
+    signals: `indicator_union_v2()` output.  While the cash pays a lot at the close, a buy signal orders at the next
+    open, whether or not a position is held: the turtle a part of the cash (its first entry at once, up to four more
+    half an ATR above the last price; past five its signal gives way to the other rules), any other rule all of it.
+    An order the next open makes too dear is not filled, but a turtle entry counts.  Only on bars whose close leaves no lot
+    affordable a sell signal, or for turtle entries a close two ATR under the last price, ends the whole position.
+    One row for each closed position; entry_price is the mean of its entries.
+    """
+    seen = signals.selectExpr("code", "trade_date", "close", "atr", "buy_signal", "buy_other", "sell_signal", "sell_other",
+                              f"lead(open) {W} AS next_open", f"lead(trade_date) {W} AS next_date")
+    ordered = seen.filter("next_date IS NOT NULL").groupBy("code").agg(
+        F.sort_array(F.collect_list(F.struct(*seen.columns[1:]))).alias("_e"))
+    done = ("struct<entry_date:date,entry_price:double,exit_date:date,exit_price:double,size:double,entries:int,signal:string,"
+            "exit_signal:string,cash_out:double>")
+    lot = lambda money: f"CAST(coalesce(floor({money} / nullif(x.close * {margin}D, 0) / {LOT}) * {LOT}, 0) AS DOUBLE)"
+    let = lambda name, value, then: f"element_at(transform(array({value}), {name} -> {then}), 1)"
+    size = f"""CASE WHEN b IS NULL THEN 0D WHEN b <> 'turtle' THEN full
+        WHEN acc.n = 0 OR x.close > acc.price + 0.5D * x.atr THEN {lot(f"acc.cash / {parts}D")} ELSE 0D END"""
+    filled = f"coalesce(lot > 0 AND lot * x.next_open * {1 + COMMISSION}D <= acc.cash, false)"
+    counted = "acc.n + IF(b <=> 'turtle' AND (acc.n = 0 OR lot > 0), 1, 0)"
+    bought = f"""IF({filled}, named_struct('cash', acc.cash - lot * x.next_open * {1 + COMMISSION}D, 'size', acc.size + lot,
+            'spent', acc.spent + lot * x.next_open, 'price', x.next_open, 'n', {counted}, 'entries', acc.entries + 1,
+            'since', coalesce(acc.since, x.next_date), 'signal', coalesce(acc.signal, b), 'trades', acc.trades),
+        named_struct('cash', acc.cash, 'size', acc.size, 'spent', acc.spent, 'price', acc.price, 'n', {counted}, 'entries', acc.entries,
+            'since', acc.since, 'signal', acc.signal, 'trades', acc.trades))"""
+    out = "coalesce((x.sell_signal <=> 'turtle' OR x.close < acc.price - 2 * x.atr) AND acc.n > 0, false)"
+    gain = f"(acc.cash + acc.size * x.next_open * {1 - COMMISSION}D)"
+    sold = f"""named_struct('cash', {gain}, 'size', 0D, 'spent', 0D, 'price', acc.price, 'n', IF({out}, 0, acc.n), 'entries', 0,
+            'since', CAST(NULL AS DATE), 'signal', CAST(NULL AS STRING), 'trades', concat(acc.trades, array(named_struct(
+                'entry_date', acc.since, 'entry_price', acc.spent / acc.size, 'exit_date', x.next_date, 'exit_price', x.next_open,
+                'size', acc.size, 'entries', acc.entries, 'signal', acc.signal,
+                'exit_signal', IF({out}, 'turtle', x.sell_other), 'cash_out', {gain}))))"""
+    name = "IF(x.buy_signal <=> 'turtle' AND acc.n > 4, x.buy_other, x.buy_signal)"
+    buying = let("b", name, let("lot", size, bought))
+    step = f"CASE WHEN full > 0 THEN {buying} WHEN acc.size > 0 AND ({out} OR x.sell_other IS NOT NULL) THEN {sold} ELSE acc END"
+    fold = f"""aggregate(_e, named_struct('cash', {cash}D, 'size', 0D, 'spent', 0D, 'price', 0D, 'n', 0, 'entries', 0, 'since', CAST(NULL AS DATE),
+            'signal', CAST(NULL AS STRING), 'trades', CAST(array() AS array<{done}>)),
+        (acc, x) -> {let("full", lot("acc.cash"), step)}, acc -> acc.trades)"""
+    rows = ordered.selectExpr("code", f"{fold} AS _t").selectExpr("code", "posexplode(_t) AS (_no, t)")
+    return rows.selectExpr("code", "CAST(_no + 1 AS INT) AS trade_no", "t.*", "(t.exit_price / nullif(t.entry_price, 0) - 1) * 100 AS pnl_pct")
+
+
 # --- M21 ----------------------------------------------------------------------------------------
 
 def param_sweep(bars: DataFrame, rule: str, grid: Iterable[dict], cash: float = START_CASH,

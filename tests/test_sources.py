@@ -35,6 +35,8 @@ def test_upsert_rewrites_only_touched_months(spark, folder):
     assert sorted(os.listdir(january)) == before
     rows = {(r.code, r.trade_date): r.close for r in B.read_bars(spark, path).collect()}
     assert rows == {("600000.SH", D(2024, 1, 5)): 10.0, ("600000.SH", D(2024, 2, 5)): 12.0, ("600001.SH", D(2024, 2, 6)): 7.0}
+    covered = {(r.code, r.min_date, r.max_date, r.row_count) for r in B.read_coverage(spark, path + "/").collect()}
+    assert covered == {("600000.SH", D(2024, 1, 5), D(2024, 2, 5), 1), ("600001.SH", D(2024, 2, 6), D(2024, 2, 6), 1)}
     part = B.read_bars(spark, path, "2024-02-01", "2024-02-05")
     assert part.count() == 1
     plan = part._jdf.queryExecution().executedPlan().toString()
@@ -174,13 +176,16 @@ def test_ingest_does_not_depend_on_batches(spark, folder):
              [bar("600001.SH", D(2024, 1, 5), 6.0)] * 2 + [bar("600000.SH", D(2024, 1, 8), 13.0)], [bar("600001.SH", D(2024, 2, 5), 7.0)]]
     for rows in loads:
         frame(spark, rows).coalesce(1).write.mode("append").parquet(land)
-    stores, refused = [], []
+    stores, refused, covered = [], [], []
     for n in (1, 2, 1000):
         N.ingest_bars_stream(spark, land, f"{folder}/store{n}", f"{folder}/cp{n}", max_files=n).awaitTermination()
         stores.append(sorted((r.code, r.trade_date, r.close) for r in B.read_bars(spark, f"{folder}/store{n}").collect()))
+        covered.append(sorted((r.code, r.min_date, r.max_date, r.row_count) for r in B.read_coverage(spark, f"{folder}/store{n}").collect()))
         refused.append(sorted((r.load, r.code, r.reason, r.rows) for r in spark.read.parquet(f"{folder}/store{n}_rejected").collect()))
     assert stores[0] == [("600000.SH", D(2024, 1, 5), 11.0), ("600000.SH", D(2024, 1, 8), 13.0), ("600001.SH", D(2024, 1, 5), 5.0), ("600001.SH", D(2024, 2, 5), 7.0)]
     assert stores[1] == stores[0] == stores[2]
+    assert covered[0] == [("600000.SH", D(2024, 1, 5), D(2024, 1, 8), 1), ("600001.SH", D(2024, 1, 5), D(2024, 2, 5), 1)]
+    assert covered[1] == covered[0] == covered[2]
     assert [r[1:] for r in refused[0]] == [("600001.SH", "duplicate date", 2)] and refused[0] == [(r[0], *r[1:]) for r in refused[1]] == refused[2]
 
 

@@ -130,6 +130,11 @@ def rejected(new: DataFrame, load: str | None = None) -> DataFrame:
     return outside.select(*keys, F.lit("excluded board").alias("reason"), "rows").unionByName(bad.select(*keys, "reason", "rows"))
 
 
+def accepted(new: DataFrame, load: str | None = None) -> DataFrame:
+    """S3: the rows that a save takes: codes within the boards that pass the quality gate of their load."""
+    return good_rows(new.filter(classify_board(F.col("code")) != "excluded"), [load, "code"] if load else ["code"])
+
+
 def upserted(stored: DataFrame | None, new: DataFrame, seq: str | None = None, load: str | None = None, keep_seq: bool = False) -> DataFrame:
     """S3 as a table function: quality gate per load and code, keep-last per date by `seq`, new over stored.
 
@@ -137,7 +142,7 @@ def upserted(stored: DataFrame | None, new: DataFrame, seq: str | None = None, l
     the stored rows carry `seq` themselves (keep_seq), the order is by it alone, whatever was stored first."""
     wide = "decimal(38,0)"
     order = F.coalesce(F.col(seq).cast(wide), F.lit(BEFORE_ALL + 1).cast(wide)) if seq else F.lit(0).cast(wide)
-    both = good_rows(new.filter(classify_board(F.col("code")) != "excluded"), [load, "code"] if load else ["code"]).withColumn("_s", order)
+    both = accepted(new, load).withColumn("_s", order)
     both = both.drop(load) if load else both
     if stored is not None:
         held = F.coalesce(F.col(seq), F.lit(BEFORE_ALL).cast(wide)) if keep_seq else F.lit(BEFORE_ALL).cast(wide)
@@ -148,6 +153,7 @@ def upserted(stored: DataFrame | None, new: DataFrame, seq: str | None = None, l
 
 def upsert_bars(spark: SparkSession, path: str, new: DataFrame, seq: str | None = None, load: str | None = None) -> DataFrame:
     """S3: merge new bars into the store, rewriting only the months they touch. Returns what was refused.
+    The range and rows of each code and load are added to the store's coverage, see `read_coverage`.
 
     Every stored row keeps the rank of its load, `load_seq`: the order of loads decides, not the order or number of saves. Without
     seq the rows are one load, of now. Rows are brought together by board and month with a rebalance hint: AQE joins small months into
@@ -167,6 +173,8 @@ def upsert_bars(spark: SparkSession, path: str, new: DataFrame, seq: str | None
     out = with_partitions(upserted(stored, new, "load_seq", load, keep_seq=True))
     (out.hint("rebalance", "board", "ym").sortWithinPartitions("board", "ym", "code", "trade_date")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("board", "ym").parquet(path))
+    ranges = accepted(new, load).groupBy("code", "load_seq").agg(F.min("trade_date").alias("min_date"), F.max("trade_date").alias("max_date"), F.count("*").alias("row_count"))
+    ranges.write.mode("append").parquet(_coverage_path(path))
     return rejected(new, load)
 
 
@@ -184,6 +192,18 @@ def coverage(bars: DataFrame, stored: DataFrame | None = None) -> DataFrame:
         F.coalesce("row_count", "_n").alias("row_count"))
 
 
+def _coverage_path(path: str) -> str:
+    return path.rstrip("/") + "_coverage"
+
+
+def read_coverage(spark: SparkSession, path: str) -> DataFrame:
+    """S12 of a store, as its saves kept it: the range of all loads and the rows of the newest load per code.
+
+    Saves append a row per code and load; one saved twice, after a failure, changes nothing here."""
+    kept = spark.read.parquet(_coverage_path(path))
+    return kept.groupBy("code").agg(F.min("min_date").alias("min_date"), F.max("max_date").alias("max_date"), F.max_by("row_count", "load_seq").alias("row_count"))
+
+
 def check_coverage(cov: DataFrame, requests: DataFrame) -> DataFrame:
     """Is [start, end] covered, with ten days of slack at the start and five at the end?"""
     inside = ((F.col("min_date") <= F.date_add("start", COVER_START_SLACK))

@@ -322,6 +322,19 @@ def test_secrets(spark):
     assert secrets.find_secrets(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_keys_far_into_a_run(spark):
+    rng, letters = random.Random(5), "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    paths = [("org/customers/documents/archive/reports/backup/" * 5)[-n:] for n in (45, 200)]
+    keys = ["ghp_" + "".join(rng.choice(letters) for _ in range(36)) for _ in range(6)]
+    texts = [f"see {path}{key}{tail} ok" for path in paths for tail in ("", "/readme") for key in keys] + [f"see {path}readme2 ok" for path in paths]
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.secret_spans] for r in secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for number, text in enumerate(texts):
+        assert got[number] == ([("network", 4, len(text) - 3)] if number < 24 else []), text
+    for a, b in ((0, 40), (3, 44), (7, 90), (0, 201)):
+        reached = {k for s in secrets.window_starts(a, b) for k in range(s, min(b, s + secrets.OWN))}
+        assert reached == set(range(a, b)) and secrets.window_starts(a, b)[-1] in (a, b - secrets.OWN)
+
+
 def test_gradients_of_the_network():
     net, rng = secrets.Net.new(3, 4), np.random.default_rng(0)
     x, y = rng.integers(0, secrets.CLASSES, (3, secrets.WIDTH)), np.array([1.0, 0.0, 1.0])

@@ -3,7 +3,8 @@
 Base patterns are settled rules and always count. Candidates are runs of key characters with letters and digits in them.
 The network reads a window of characters around a candidate (what stands before it, its own, what follows) as classes,
 convolves, pools, and gives a margin; a logistic curve makes it a probability, and the threshold is the highest that
-still finds RECALL of the labelled findings kept aside.
+still finds RECALL of the labelled findings kept aside. A candidate of more than OWN characters is read in windows that
+overlap by half up to its end, and the highest probability counts.
 
 Labelled findings: the base patterns' values in a bounded sample of documents and made-up keys in common formats are findings;
 made-up long words, names with numbers, paths, dates and counts aren't. What else the sample holds is not labelled and not used.
@@ -16,6 +17,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,7 @@ _ACCESS, _HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]+")
 _WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 SAMPLE, LONGEST, BEFORE, OWN, AFTER, RECALL, SHORT_RUN = 2000, 100_000, 20, 40, 8, 0.99, 16
+AT_ONCE = 2048
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 _SPAN_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
@@ -75,6 +78,11 @@ def window(text: str, start: int, end: int) -> np.ndarray:
     return out
 
 
+def window_starts(start: int, end: int) -> list[int]:
+    """Where windows over a candidate begin: each OWN / 2 characters, the last one so that it ends with the candidate."""
+    return [start] if end - start <= OWN else [*range(start, end - OWN, OWN // 2), end - OWN]
+
+
 @dataclass
 class Net:
     """Embedding, one convolution over five characters, rectifier, maximum and mean of the candidate's places and maximum of all, a dense layer."""
@@ -239,6 +247,16 @@ def suspects(column: pa.Array) -> Iterator[tuple[int, bool, bool]]:
             yield a + int(t), bool(base[t]), bool(more[t])
 
 
+def _hits(net: Net, asked: Iterator[tuple[int, str, int, int]]) -> set[tuple[int, int, int]]:
+    """asked: number of the text, text, start and end of a candidate. Those with a window at or over the threshold; at most
+    AT_ONCE windows are held, however long a candidate is."""
+    found: set[tuple[int, int, int]] = set()
+    for part in batched(((t, text, a, b, s) for t, text, a, b in asked for s in window_starts(a, b)), AT_ONCE):
+        hit = net.probabilities(np.stack([window(text, s, b) for _, text, _, b, s in part])) >= net.threshold
+        found |= {(t, a, b) for (t, _, a, b, _), yes in zip(part, hit.tolist(), strict=True) if yes}
+    return found
+
+
 def find_secrets(docs: DataFrame, sample: int = SAMPLE, mark: str | None = None) -> DataFrame:
     """docs: doc_id, text and others. All columns of docs with secret_base and secret_spans (arrays of kind, start, end), a row for each.
 
@@ -263,21 +281,20 @@ def find_secrets(docs: DataFrame, sample: int = SAMPLE, mark: str | None = None)
             column = batch.column(position)
             base: list[list[tuple[int, int, str]]] = [[]] * len(batch)
             every: list[list[tuple[int, int, str]]] = [[]] * len(batch)
-            asked: list[tuple[int, int, int]] = []
-            windows: list[np.ndarray] = []
-            for t, rules, more in suspects(column):
-                text = column[t].as_py()
-                if rules:
-                    base[t] = every[t] = base_spans(text)
-                if more:
-                    free = [(a, b) for a, b in candidates(text) if not any(p < b and a < q for p, q, _ in base[t])]
-                    asked += [(t, a, b) for a, b in free]
-                    windows += [window(text, a, b) for a, b in free]
-            if windows:
-                hit = net.probabilities(np.stack(windows)) >= net.threshold
-                for (t, a, b), yes in zip(asked, hit.tolist(), strict=True):
-                    if yes:
-                        every[t] = sorted([*every[t], (a, b, "network")], key=lambda s: (s[0], (*KINDS, "network").index(s[2])))
+
+            def asked() -> Iterator[tuple[int, str, int, int]]:
+                for t, rules, more in suspects(column):  # noqa: B023
+                    text = column[t].as_py()  # noqa: B023
+                    if rules:
+                        base[t] = every[t] = base_spans(text)  # noqa: B023
+                    if more:
+                        yield from ((t, text, a, b) for a, b in candidates(text) if not any(p < b and a < q for p, q, _ in base[t]))  # noqa: B023
+
+            more_spans: dict[int, list[tuple[int, int, str]]] = {}
+            for t, a, b in _hits(net, asked()):
+                more_spans.setdefault(t, []).append((a, b, "network"))
+            for t, spans in more_spans.items():
+                every[t] = sorted([*every[t], *spans], key=lambda s: (s[0], (*KINDS, "network").index(s[2])))
             if mark:
                 if any(every):
                     masked = [_masked(x, row, mark) if row else x for x, row in zip(column.to_pylist(), every, strict=True)]

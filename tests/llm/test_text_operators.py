@@ -335,6 +335,18 @@ def test_keys_far_into_a_run(spark):
         assert reached == set(range(a, b)) and secrets.window_starts(a, b)[-1] in (a, b - secrets.OWN)
 
 
+def test_candidates_beside_base_spans(spark):
+    hexes, access, rest = "0123456789abcdef" * 2, "AKIA" + "Q7" * 8, "Zk9Qw7RtY2LmNp8XsVb3"
+    texts = [f"see {hexes}-{rest} ok", f"see {access}/{rest}{rest[::-1]} ok", f"see {rest[:9]}{hexes}{rest[9:]} ok", f"see {hexes} ok"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in secrets.find_secrets(docs).collect()}
+    for number, text in enumerate(texts):
+        assert len(got[number].secret_base) == 1
+        network = [(s.start, s.end) for s in got[number].secret_spans if s.kind == "network"]
+        assert network == ([(4, len(text) - 3)] if number < 3 else []), text
+    assert {r.text for r in secrets.redacted(docs).collect()} == {"see [secret] ok"}
+
+
 def test_gradients_of_the_network():
     net, rng = secrets.Net.new(3, 4), np.random.default_rng(0)
     x, y = rng.integers(0, secrets.CLASSES, (3, secrets.WIDTH)), np.array([1.0, 0.0, 1.0])

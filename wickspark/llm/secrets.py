@@ -261,7 +261,8 @@ def find_secrets(docs: DataFrame, sample: int = SAMPLE, mark: str | None = None)
     """docs: doc_id, text and others. All columns of docs with secret_base and secret_spans (arrays of kind, start, end), a row for each.
 
     Spans count code points, end exclusive. secret_base: kinds assign, access and hex, by start and then kind as listed;
-    secret_spans: these and the network's (kind network), which touch none of them. Null and empty texts have none. The
+    secret_spans: these and the network's (kind network), which are whole candidates and may overlap base spans; a candidate
+    within a base span isn't asked about. Null and empty texts have none. The
     network is fit on sample documents at most (smallest id hashes, texts of LONGEST characters at most). Repeated rows get equal answers. No rows:
     no rows, no findings in the sample: only made-up ones are learned. With mark, the columns are those of docs and the mark
     stands in place of each span of secret_spans (overlapping ones together).
@@ -288,7 +289,7 @@ def find_secrets(docs: DataFrame, sample: int = SAMPLE, mark: str | None = None)
                     if rules:
                         base[t] = every[t] = base_spans(text)  # noqa: B023
                     if more:
-                        yield from ((t, text, a, b) for a, b in candidates(text) if not any(p < b and a < q for p, q, _ in base[t]))  # noqa: B023
+                        yield from ((t, text, a, b) for a, b in candidates(text) if not any(p <= a and b <= q for p, q, _ in base[t]))  # noqa: B023
 
             more_spans: dict[int, list[tuple[int, int, str]]] = {}
             for t, a, b in _hits(net, asked()):

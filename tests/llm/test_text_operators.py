@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wickspark.llm import components, decontamination, langid, mixing, neardup, pages, quality, secrets, substrings, topk, urls
+from wickspark.llm.markup import FEATURES
 from wickspark.llm.words import ALNUM, LOWER_SPACED, SPACED, grams, words_of
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -283,6 +284,21 @@ def test_html(spark):
     assert pages.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_inline_elements_keep_their_text():
+    model = pages.trained()
+    for tag in ("math", "svg", "object", "canvas"):
+        texts, features = pages.blocks(PAGE.replace("First one", f"First <{tag} class='x'><mi>E = mc</mi></{tag}> one"))
+        kept = [t for t, label in zip(texts, model.viterbi(model.emissions(features)), strict=True) if label]
+        assert kept == ["A title & more", 'First E = mc one, with space <b>. Second "line" of it.', "Unclosed paragraph of text, it goes on."], tag
+        texts, features = pages.blocks(PAGE.replace("<article>", f"<{tag}><article>"))
+        kept = [t for t, label in zip(texts, model.viterbi(model.emissions(features)), strict=True) if label]
+        assert kept == ["A title & more", 'First one, with space <b>. Second "line" of it.', "Unclosed paragraph of text, it goes on."], tag
+    for tag in ("script", "style", "template", "textarea", "title", "iframe", "noscript"):
+        assert pages.blocks(f"<p>a <{tag}>gone</{tag}> b</p>")[0] == ["a b"]
+    named = lambda text: {FEATURES[k] for k in pages.blocks(f"<p>{text}</p>")[1][0]}
+    assert "rights" in named("some words " * 30 + "all rights reserved") and "no letters" not in named("12 " * 100 + "a") and "no letters" in named("12 " * 100)
+
+
 def test_field_on_pages_it_has_not_seen():
     model, wrong, n = pages.trained(), 0, 0
     for page, marks in pages.labelled_pages(60, seed=123):

@@ -12,7 +12,8 @@ _LETTERS = re.compile(r"[a-zA-Z]+")
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea svg iframe object canvas math title".split())
+#: Elements whose content isn't text of the page: it is left out, to the end of the page where one isn't closed.
+RAW = frozenset("script style noscript template textarea iframe title".split())
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split()
@@ -62,7 +63,8 @@ def _element(tag: str, attributes: str) -> tuple[int, ...]:
 
 def blocks(page: str) -> tuple[list[str], list[list[int]]]:
     """Texts of the leaf blocks in page order (character references decoded, white space as one space, trimmed, never
-    empty) and the features of each."""
+    empty) and the features of each. The content of script, style, template, textarea, title, iframe and noscript is left
+    out; math, svg, object and canvas are inline elements like any other."""
     texts: list[str] = []
     features: list[list[int]] = []
     stack: list[tuple[str, tuple[int, ...]]] = []
@@ -86,9 +88,9 @@ def blocks(page: str) -> tuple[list[str], list[list[int]]]:
                     own.add(_NUMBER["mostly links" if 2 * linked >= len(text) else "some links"])
                 if text[-1] in ".!?…\"”»:":
                     own.add(_NUMBER["ends a sentence"])
-                if _RIGHTS.search(text, 0, 200):
+                if _RIGHTS.search(text):
                     own.add(_NUMBER["rights"])
-                if not any(c.isalpha() for c in text[:200]):
+                if not any(c.isalpha() for c in text):
                     own.add(_NUMBER["no letters"])
                 texts.append(text)
                 features.append(list(own))

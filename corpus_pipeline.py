@@ -15,8 +15,12 @@ SHINGLE, PERCENT = 5, 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; null texts and those without a letter go. Short and odd texts with letters stay."""
-    return langid.languages(docs).filter(F.col("lid_pred") != "und").select(*docs.columns)
+    """Documents whose language can be told; null texts and those without a letter go. Short and odd texts with letters stay.
+    Where no language could be learned, all with a letter stay."""
+    model = langid.learned(docs)
+    if not model.languages:
+        return docs.filter(langid.has_letters(F.col("text")))
+    return langid.languages(docs, model=model).filter(F.col("lid_pred") != "und").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -64,6 +64,11 @@ def test_stages(spark, folder_of):
     assert sorted((tuple(r) for r in corpus_pipeline.run(spark, folder).collect()), key=key) == after
 
 
+def test_letters_stay_where_no_language_is_known(spark, tmp_path):
+    rows = [(1, "some words", None, "s", 10), (2, "12 ... 3", None, "s", 8), (3, None, None, "s", 0), (4, "слова", None, "s", 5)]
+    assert sorted(r.doc_id for r in corpus_pipeline.language_id(spark, spark.createDataFrame(rows, DOCS), str(tmp_path)).collect()) == [1, 4]
+
+
 def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")

@@ -265,6 +265,20 @@ def test_quality(spark):
     assert {r.score for r in blank} == {0.5}
 
 
+def test_labels_whose_first_rows_are_long(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LONGEST", 200)
+    monkeypatch.setattr(quality, "LONGEST", 200)
+    pieces = {"xx": "mata loki ranu", "yy": "schüt gröt pfeint"}
+    short = [(i, pieces[l], l, "s", 0) for i in range(400) for l in [("xx", "yy")[i % 2]]]
+    order = [r.doc_id for r in spark.range(400).withColumnRenamed("id", "doc_id").orderBy(F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 40) - 1))).collect()]
+    long = {i for i in order if i % 2 == 0} - {i for i in order if i % 2 == 0 and i in order[-100:]}
+    docs = spark.createDataFrame([(i, t * 20 if i in long else t, *rest) for i, t, *rest in short], DOCS)
+    got = langid.languages(docs, per_language=10).collect()
+    assert {(r.lang, r.lid_pred) for r in got} == {("xx", "xx"), ("yy", "yy")}
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality int")
+    assert all(r.predicted == r.doc_id % 2 for r in quality.qualities(docs.select("doc_id", "text"), labels, per_label=10).collect())
+
+
 def test_dual_descent_finds_the_margin():
     rows = [(np.array([0]), np.array([1.0])), (np.array([1]), np.array([1.0])), (np.array([0]), np.array([2.0])), (np.array([1]), np.array([2.0]))]
     w, b = quality.dual_descent(rows, np.array([1, -1, 1, -1]), 2, cost=10.0, rounds=500)

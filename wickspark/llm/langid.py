@@ -16,13 +16,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wickspark.llm.chargrams import Presence
 from wickspark.llm.frames import small_batches
-from wickspark.llm.samples import remainder, sample
+from wickspark.llm.samples import fitting, remainder, sample
 
 PER_LANGUAGE, LANDMARKS, LONGEST, RIDGE, ROWS = 300, 24, 100_000, 1e-3, 64
 ORDERS = (1, 2, 3, 4)
@@ -84,19 +84,29 @@ def fit(texts: list[str], labels: list[str], landmarks: int = LANDMARKS, ridge:
     return model
 
 
-def languages(docs: DataFrame, per_language: int = PER_LANGUAGE, folds: int = 4, held: int = 2) -> DataFrame:
+def has_letters(text: Column) -> Column:
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+
+
+def learned(docs: DataFrame, per_language: int = PER_LANGUAGE, folds: int = 4, held: int = 2) -> Model:
+    """The model that languages() learns from docs; without languages where nothing could be learned."""
+    own = docs.select("doc_id", "lang", "text")
+    usable = F.col("lang").isNotNull() & fitting(F.col("text"), LONGEST) & (remainder(F.col("doc_id"), folds) != held)
+    train = sample(own.filter(usable), own, "lang", per_language, LONGEST)
+    return fit(train["text"].tolist(), train["label"].tolist())
+
+
+def languages(docs: DataFrame, per_language: int = PER_LANGUAGE, folds: int = 4, held: int = 2, model: Model | None = None) -> DataFrame:
     """docs: doc_id, text, lang and others. All columns of docs with lid_held_out, lid_pred and lid_score, a row for each.
 
     Learned from rows with lang, text and doc_id whose crc32(doc_id) mod folds isn't held: per_language of each
-    language at most (smallest id hashes), of texts of LONGEST characters at most. Predictions use the text alone. lid_score is the regression's value
+    language at most (smallest id hashes among texts of LONGEST characters at most), or given as model. Predictions use the text alone. lid_score is the regression's value
     for the predicted language, held to 0 ... 1. Null texts and those without a letter are `und` with score 0, and so is all
     where nothing could be learned. Repeated rows get equal answers. No rows: no rows.
     """
     small_batches(docs.sparkSession)
-    own = docs.select("doc_id", "lang", "text")
     rest = remainder(F.col("doc_id"), folds)
-    train = sample(own.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (rest != held)), own, "lang", per_language, LONGEST)
-    sent = docs.sparkSession.sparkContext.broadcast(fit(train["text"].tolist(), train["label"].tolist()))
+    sent = docs.sparkSession.sparkContext.broadcast(learned(docs, per_language, folds, held) if model is None else model)
     names, position = [*docs.columns, "lid_pred", "lid_score"], docs.columns.index("text")
     schema = T.StructType([*docs.schema.fields, T.StructField("lid_pred", T.StringType()), T.StructField("lid_score", T.DoubleType())])
 
@@ -118,7 +128,7 @@ def languages(docs: DataFrame, per_language: int = PER_LANGUAGE, folds: int = 4,
             top = np.clip(every.max(axis=1), 0, 1) if every.shape[1] else np.zeros(len(batch))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(said, pa.string()), pa.array(top)], names=names)
 
-    lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)) & (F.col("lid_pred") != "und")
+    lettered = has_letters(F.col("text")) & (F.col("lid_pred") != "und")
     return docs.mapInArrow(run, schema).select(
         *docs.columns, F.coalesce(rest == held, F.lit(False)).alias("lid_held_out"), F.when(lettered, F.col("lid_pred")).otherwise("und").alias("lid_pred"),
         F.when(lettered, F.col("lid_score")).otherwise(0.0).alias("lid_score"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from wickspark.llm.chargrams import Presence
 from wickspark.llm.frames import small_batches
-from wickspark.llm.samples import remainder, sample
+from wickspark.llm.samples import fitting, remainder, sample
 
 PER_LABEL, LONGEST, COST, ROUNDS, BITS = 1000, 100_000, 1.0, 30, 18
 ORDERS = (1, 2, 3)
@@ -111,15 +111,16 @@ def logistic(x: np.ndarray, t: np.ndarray) -> tuple[float, float]:
 def qualities(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, folds: int = 3, held: int = 1) -> DataFrame:
     """docs: doc_id, text. labels: doc_id, quality. A row for each row of docs: doc_id, held_out, score, predicted.
 
-    Learned from labelled rows whose crc32(doc_id) mod folds isn't held: per_label of each label at most (smallest id hashes), texts
-    of LONGEST characters at most. A score depends on the text alone; null and empty texts have the score of a text without features.
+    Learned from labelled rows whose crc32(doc_id) mod folds isn't held: per_label of each label at most (smallest id hashes among
+    ids with a text of LONGEST characters at most). A score depends on the text alone; null and empty texts have the score of a text without features.
     Rows with other quality values, nulls and ids without a document teach nothing. Repeated rows get equal answers. No rows: no rows.
     """
     small_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rest = remainder(F.col("doc_id"), folds)
     marked = labels.select("doc_id", "quality").filter(F.col("quality").isin(0, 1) & (rest != held)).dropDuplicates(["doc_id"])
-    train = sample(marked, own, "quality", per_label, LONGEST)
+    usable = own.filter(fitting(F.col("text"), LONGEST)).select("doc_id").distinct()
+    train = sample(marked.join(usable, "doc_id", "left_semi"), own, "quality", per_label, LONGEST)
     sent = docs.sparkSession.sparkContext.broadcast(fit(train["text"].tolist(), train["label"].tolist()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

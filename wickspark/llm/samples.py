@@ -13,9 +13,15 @@ def remainder(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
+def fitting(text: Column, longest: int) -> Column:
+    """Whether a text can be learned from."""
+    return F.coalesce(F.length(text) <= longest, F.lit(False))
+
+
 def sample(rows: DataFrame, texts: DataFrame, label: str, per_label: int, longest: int) -> pd.DataFrame:
     """rows: doc_id and label. texts: doc_id, text. At most per_label rows of each label value, those whose ids have the
-    smallest hashes, with their texts where these have longest characters at most: text, label, by label and hash."""
+    smallest hashes, with their texts: text, label, by label and hash. rows should hold only ids that have a text of longest
+    characters at most (see fitting): others take a place and give nothing."""
     hashed = rows.select("doc_id", label, F.xxhash64("doc_id").alias("_hash"))
     # what has a small hash: 4 x per_label rows of a label or all, give or take, so what is shuffled and meets in one task is bounded.
     # The driver sees a count for each label.
@@ -31,6 +37,6 @@ def sample(rows: DataFrame, texts: DataFrame, label: str, per_label: int, longes
     ids = got["doc_id"].drop_duplicates().astype("int64").tolist()
     if not ids:
         return pd.DataFrame({"text": [], "label": []})
-    found = texts.filter(F.col("doc_id").isin(ids) & F.col("text").isNotNull() & (F.length("text") <= longest)).select("doc_id", "text").dropDuplicates(["doc_id"]).toPandas()
+    found = texts.filter(F.col("doc_id").isin(ids) & fitting(F.col("text"), longest)).select("doc_id", "text").dropDuplicates(["doc_id"]).toPandas()
     both = got.drop_duplicates("doc_id").merge(found, on="doc_id").sort_values([label, "_hash", "doc_id"])
     return both.rename(columns={label: "label"})[["text", "label"]].reset_index(drop=True)

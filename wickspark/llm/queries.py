@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wickspark.llm import decontamination, langid, mixing, neardup, pages, quality, secrets, substrings, topk, urls
+from wickspark.llm import decontamination, fim, fptree, langid, mixing, neardup, pages, quality, secrets, substrings, suffixes, topk, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -65,10 +65,27 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.qualities(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.without_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fim.fill_in_middle(table(spark, sf_dir, "documents"))
+    back = fim.restored(F.col("output"), F.col("form"))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fptree.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES |= {
     "op1_decontamination": op1_decontamination, "op2_substring_dedup": op2_substring_dedup, "op3_topk": op3_topk, "op4_url_filter": op4_url_filter, "op5_minhash": op5_minhash,
     "op6_language": op6_language, "op7_mixing": op7_mixing, "op8_html": op8_html, "op9_secrets": op9_secrets, "op10_quality": op10_quality,
+    "op11_suffix_dedup": op11_suffix_dedup, "op12_fill_in_middle": op12_fill_in_middle, "op13_ranked_search": op13_ranked_search,
 }
 SQL |= {
     "op1_decontamination": decontamination.SQL, "op2_substring_dedup": substrings.SQL, "op3_topk": topk.SQL, "op4_url_filter": urls.SQL, "op5_minhash": neardup.SQL, "op7_mixing": mixing.SQL,
+    "op11_suffix_dedup": suffixes.SQL, "op12_fill_in_middle": fim.SQL, "op13_ranked_search": fptree.SQL,
 }

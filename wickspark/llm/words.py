@@ -1,5 +1,8 @@
 """Words of a column of texts, found in its Arrow buffer: where they start and end, and a 64-bit hash of each.
 
+A word's hash is a sum over its eights of bytes, each mixed with its place and a seed, so hashes under two seeds have nothing to do
+with each other, and no two words are bound to agree by the way they are built.
+
 Texts are taken in slices of a few MB, so memory doesn't follow the number of rows in an Arrow batch; a text is never cut.
 All word classes here are made of whole ASCII characters, so bytes of longer UTF-8 sequences never match a separator.
 """
@@ -53,10 +56,26 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE_CODES = mixed(np.arange(1, 257, dtype=np.uint64) * MULTIPLIER)
 _BASE = 0x2545F4914F6CDD1D
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
+#: the first n bytes of eight
+_FIRST = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype=np.uint64)
+SEEDS = (1, 0xA0761D6478BD642F)
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = SEEDS[0]) -> np.ndarray:
+    """Hash of the bytes start ... end - 1 of data, for each pair. None may be empty."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    eights = (end - start + 7) >> 3
+    first = np.cumsum(eights) - eights
+    k = np.arange(first[-1] + eights[-1]) - np.repeat(first, eights)
+    at = np.repeat(start, eights) + 8 * k
+    every = np.ndarray((len(data) + 1,), "<u8", np.append(data, np.zeros(8, np.uint8)).data, strides=(1,))
+    value = every[at] & _FIRST[np.minimum(np.repeat(end, eights) - at, 8)]
+    step = mixed(np.arange(int(eights.max()), dtype=np.uint64) * MULTIPLIER + np.uint64(seed))
+    return mixed(np.add.reduceat(mixed(value ^ step[k]), first) + (end - start).astype(np.uint64) * MULTIPLIER)
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -137,17 +156,9 @@ def words_of(column: pa.Array | pa.ChunkedArray, kind: np.ndarray, size: int = S
         after = np.concatenate((inside[1:], [False])) if len(part) else np.zeros(0, bool)
         start = np.flatnonzero(inside & (~before | edge[:-1]))
         end = np.flatnonzero(inside & (~after | edge[1:])) + 1
-        up = powers(_BASE, len(part) + 1)
-        value = _BYTE_CODES[codes]
-        value *= up[: len(part)]
-        if id(kind) in _NUL:
-            value[~inside] = 0
-        else:
-            value *= inside
-        total = np.add.reduceat(value, start) if len(start) else np.zeros(0, np.uint64)
-        total *= powers(_INVERSE, len(part) + 1)[start]
         bounds = np.searchsorted(start, at)
-        yield Words(a, b - a, codes if kind is not SPACED else part, at, start, end, bounds, mixed(total + (end - start).astype(np.uint64)))
+        text = codes if kind is not SPACED else part
+        yield Words(a, b - a, text, at, start, end, bounds, word_hashes(text, start, end))
 
 
 def grams(words: Words, n: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -165,17 +176,16 @@ def grams(words: Words, n: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
 
 
 def whole_hash(words: Words) -> np.ndarray:
-    """Hash of all words of each text."""
-    w = len(words.hash)
-    total = np.append(np.uint64(0), np.cumsum(words.hash * powers(_BASE, w + 1)[:w]))
-    first, last = words.bounds[:-1], words.bounds[1:]
-    return mixed((total[last] - total[first]) * powers(_INVERSE, w + 1)[first] + (last - first).astype(np.uint64))
+    """Hash of all words of each text: each is mixed with its place."""
+    n = np.diff(words.bounds)
+    place = np.arange(len(words.hash)) - np.repeat(words.bounds[:-1], n)
+    total = np.append(np.uint64(0), np.cumsum(mixed(words.hash ^ mixed((place + 1).astype(np.uint64) * MULTIPLIER))))
+    return mixed(total[words.bounds[1:]] - total[words.bounds[:-1]] + n.astype(np.uint64))
 
 
 def second(words: Words) -> Words:
-    """The same words with hashes of another kind: with it, grams() gives the other half of a 128-bit hash."""
-    other = mixed(words.hash ^ np.uint64(0xA0761D6478BD642F))
-    return Words(words.first, words.count, words.data, words.at, words.start, words.end, words.bounds, other)
+    """The same words hashed anew from their bytes under another seed: with it, grams() and whole_hash() give the other half of a 128-bit hash."""
+    return Words(words.first, words.count, words.data, words.at, words.start, words.end, words.bounds, word_hashes(words.data, words.start, words.end, SEEDS[1]))
 
 
 def signed(x: np.ndarray) -> np.ndarray:

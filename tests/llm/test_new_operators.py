@@ -48,7 +48,7 @@ def test_suffix_array_and_common_prefixes(letters, n):
         data[1500:2500] = data[200:1200]
     data = np.append(data, data[: n // 3])
     raw = data.tobytes()
-    order = suffixes.suffix_array(data, len(data))
+    order, joined, known = suffixes.suffix_array(data, len(data))
     assert order.tolist() == sorted(range(len(raw)), key=lambda i: raw[i:])
     want = []
     for a, b in zip(order.tolist(), order[1:].tolist(), strict=False):
@@ -57,6 +57,8 @@ def test_suffix_array_and_common_prefixes(letters, n):
             k += 1
         want.append(k)
     assert suffixes.common_prefixes(data, order).tolist() == want
+    assert [k >= known for k in want] == joined[1:].tolist() and known < len(data)
+    assert suffixes.common_prefixes(data, order, joined, known).tolist() == [k if k >= known else 0 for k in want]
 
 
 def test_lists_are_merged():

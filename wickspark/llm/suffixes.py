@@ -1,8 +1,8 @@
 """Substring dedup on bytes by suffix arrays: what LENGTH bytes long stands in two places goes from both.
 
 Texts are taken in shards of about SHARD bytes. A shard's suffix array is refined as Larsson and Sadakane do: groups of suffixes that
-agree in their first h bytes are sorted by the group of the suffix h bytes on, only where groups have several members, until h
-is LENGTH at least. Common prefixes of neighbours come from Kasai's rule, that the one of a suffix without its first byte is
+agree in their first h bytes are sorted by the group of the suffix h bytes on, h doubles, and only groups of several members are
+looked at again. Common prefixes of neighbours come from Kasai's rule, that the one of a suffix without its first byte is
 shorter by no more than one: only positions where the neighbour changes are compared, the rest follow. Windows (of LENGTH
 bytes) that meet in the suffix array are settled in the shard; one of each kind, its head, stands for them outside.
 
@@ -44,22 +44,27 @@ def _eights(data: np.ndarray, big: bool = False) -> np.ndarray:
     return np.ndarray((len(data),), ">u8" if big else "<u8", padded.data, strides=(1,)).astype(np.uint64)
 
 
-def suffix_array(data: np.ndarray, upto: int) -> np.ndarray:
-    """Places of data in the order of its suffixes, as far as their first upto bytes or more tell."""
+def suffix_array(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Places of data in the order of its suffixes; and for each, whether it agrees with the one before in the first h bytes, for an h
+    (returned too) below length, and of half of it at least where any do."""
     n = len(data)
     key = _eights(data, big=True)
     order = np.argsort(key)
     rank = np.zeros(n + 1, np.int64)
     slots, found, h = np.arange(n), key[order], 8
+    joined, known = np.zeros(n, bool), 0
     while True:
         head = np.append(True, found[1:] != found[:-1])
         begin = np.flatnonzero(head)
         size = np.diff(np.append(begin, len(found)))
+        if h < length:
+            joined[:], known = False, h
+            joined[slots] = ~head
         # a group's number is its first slot and 1, so that 0 is what lies behind the end
         rank[order[slots]] = np.repeat(slots[begin] + 1, size)
         slots = slots[np.repeat(size > 1, size)]
-        if h >= upto or not len(slots):
-            return order
+        if not len(slots):
+            return order, joined, known
         own = order[slots]
         found = (rank[own] << 32) | rank[np.minimum(own + h, n)]
         by = np.argsort(found)
@@ -79,36 +84,49 @@ def _agree(data: np.ndarray, a: int, b: int) -> int:
     return length
 
 
-def common_prefixes(data: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """For each suffix but the first in the order, how many bytes it shares with the one before."""
+def _extended(data: np.ndarray, key: np.ndarray, spot: np.ndarray, other: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """How many bytes from spot on are those from other on, where length of them are known to be."""
+    n, most, length = len(data), len(data) - np.maximum(spot, other), length.copy()
+    open_ = np.flatnonzero(length < most)
+    for _ in range(32):
+        if not len(open_):
+            break
+        at = length[open_]
+        differ = key[np.minimum(spot[open_] + at, n)] ^ key[np.minimum(other[open_] + at, n)]
+        rest = differ & (~differ + np.uint64(1))
+        same = differ == 0
+        length[open_] += np.where(same, 8, np.log2(np.maximum(rest, np.uint64(1)).astype(np.float64)).astype(np.int64) >> 3)
+        open_ = open_[same & (most[open_] > at + 8)]
+    for k in open_.tolist():
+        length[k] += _agree(data, int(spot[k] + length[k]), int(other[k] + length[k]))
+    return np.minimum(length, most)
+
+
+def common_prefixes(data: np.ndarray, order: np.ndarray, joined: np.ndarray | None = None, known: int = 0) -> np.ndarray:
+    """For each suffix but the first in the order, how many bytes it shares with the one before. joined: where that is to be told, the
+    first known bytes agree there; elsewhere it is 0.
+
+    Kasai's rule: where p bytes are shared from a place on, p - k at least are from k places on. So places some hundred bytes apart are compared first, then
+    those between with what is left to compare, and so on; and nothing is compared where the neighbour moves on with the place."""
     n = len(data)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
-    # where the suffix before is that of the place before, one on, the common prefix is one shorter (Kasai): nothing to compare
-    change = np.append(True, before[1:] != before[:-1] + 1) | (before < 0)
-    change[1:] |= (before[:-1] < 0) | (data[:-1] != data[before[1:] - 1])
-    spot = np.flatnonzero(change & (before >= 0))
-    other, length = before[spot], np.zeros(len(spot), np.int64)
-    most = n - np.maximum(spot, other)
+    if joined is not None:
+        before[order[~joined]] = -1
     key = np.append(_eights(data), np.zeros(8, np.uint64))
-    open_ = np.arange(len(spot))
-    for step in range(0, 512, 8):
-        differ = key[np.minimum(spot[open_] + step, n)] ^ key[np.minimum(other[open_] + step, n)]
-        same = differ == 0
-        rest = differ[~same]
-        length[open_[~same]] = step + (np.log2((rest & (~rest + np.uint64(1))).astype(np.float64)).astype(np.int64) >> 3)
-        open_ = open_[same]
-        length[open_] = step + 8
-        open_ = open_[most[open_] > step + 8]
-        if not len(open_):
-            break
-    for k in open_.tolist():
-        length[k] = 512 + _agree(data, int(spot[k]) + 512, int(other[k]) + 512)
-    length = np.minimum(length, most)
-    last = np.maximum.accumulate(np.where(change, np.arange(n), 0))
-    first = np.zeros(n, np.int64)
-    first[spot] = length
-    shared = np.maximum(first[last] - (np.arange(n) - last), 0)
+    shared = np.zeros(n, np.int64)
+    # where the neighbour of the next place is the next place's, the common prefix is one shorter
+    follows = np.append(False, (before[1:] == before[:-1] + 1) & (before[:-1] >= 0) & (before[1:] > 0))
+    follows[1:] &= data[:-1] == data[before[1:] - 1]
+    place = np.flatnonzero(before >= 0)
+    for wide, step in ((n + 1, 512), (512, 64), (64, 8), (8, 1)):
+        spot = place[(place % step == 0) & (place % wide != 0 if wide <= n else True)]
+        if step == 1:
+            spot = spot[~follows[spot]]
+        least = np.maximum(shared[spot // wide * wide] - spot % wide, known) if wide <= n else np.full(len(spot), known)
+        shared[spot] = _extended(data, key, spot, before[spot], np.minimum(least, n - np.maximum(spot, before[spot])))
+    last = np.maximum.accumulate(np.where(follows & (np.arange(n) % 8 != 0), 0, np.arange(n)))
+    shared = np.where(before >= 0, np.maximum(shared[last] - (np.arange(n) - last), 0), 0)
     return shared[order[1:]]
 
 
@@ -117,8 +135,8 @@ def repeated(data: np.ndarray, valid: np.ndarray, length: int = LENGTH) -> tuple
     valid: where a window may start."""
     if not len(data):
         return np.zeros(0, bool), np.zeros(0, bool)
-    order = suffix_array(data, length)
-    kind = np.append(0, np.cumsum(common_prefixes(data, order) < length))
+    order, joined, known = suffix_array(data, length)
+    kind = np.append(0, np.cumsum(common_prefixes(data, order, joined, known) < length))
     usable = valid[order]
     order, kind = order[usable], kind[usable]
     twice, head = np.zeros(len(data), bool), np.zeros(len(data), bool)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks import sql as S
@@ -13,15 +15,17 @@ from wickspark.model import DAILY_PATTERNS, DAILY_BUY_ORDER, TRACKED_INDEXES
 from wickspark.operators import candles, daily as D, metrics as M, selection as F_
 from wickspark.operators.indicators import latest_row
 from wickspark.plans import flows as P
+from wickspark.session import shared_folder
 from wickspark.sources import bars as B, files as X, text as Q
 from wickspark.streaming import ingest as N
 
 _BAR = ("code", "trade_date", "open", "high", "low", "close", "vol")
 _COLS = "code, trade_date, open, high, low, close, vol"
+NAMES = ("A", "N", "R")  # the sources there are
 
 # --- S1-S16 -------------------------------------------------------------------------------------
 
-add("source_merge", lambda s, d: B.merge_bar_sources(A.sources(s, d)).drop("priority"),
+add("source_merge", lambda s, d: B.merge_bar_sources(A.sources(s, d), NAMES).drop("priority"),
     S.with_(S.SOURCES) + f"SELECT {_COLS}, source FROM srcs QUALIFY row_number() OVER (PARTITION BY code, trade_date ORDER BY priority) = 1")
 add("source_read_bars", lambda s, d: F_.date_range(B.with_partitions(A.bars(s, d)), "1997-03-15", "1998-02-10").filter("ym BETWEEN '199703' AND '199802'"),
     S.with_(S.BARS) + f"SELECT {_COLS}, {S.board_of()} AS board, strftime(trade_date, '%Y%m') AS ym FROM bars WHERE trade_date BETWEEN DATE '1997-03-15' AND DATE '1998-02-10'")
@@ -70,7 +74,7 @@ def _asked(s, d):
     return A.sources(s, d).withColumn("is_local", F.col("priority") == 3)
 
 
-add("source_choose", lambda s, d: B.choose_source(_asked(s, d), END).select(*_BAR, "source"),
+add("source_choose", lambda s, d: B.choose_source(_asked(s, d), END, NAMES).select(*_BAR, "source"),
     S.with_(S.SOURCES, f"""reach AS (SELECT code, priority, max(trade_date) AS m FROM srcs GROUP BY code, priority),
     best AS (SELECT code, priority AS bp, m AS bm FROM reach QUALIFY row_number() OVER (PARTITION BY code ORDER BY CASE WHEN m >= DATE '{END}' THEN 0 ELSE 1 END, CASE WHEN m >= DATE '{END}' THEN priority ELSE -priority END) = 1),
     main AS (SELECT s.*, bm, (SELECT m FROM reach r WHERE r.code = s.code AND r.priority = 3) AS lm, bp FROM srcs s JOIN best b ON s.code = b.code),
@@ -443,6 +447,41 @@ add("flow_backtest", lambda s, d: P.backtest(A.bars(s, d), _BUYS, _SELLS).select
             bh AS (SELECT code, round((last(close ORDER BY trade_date) / first(close ORDER BY trade_date) - 1) * 100, 2) AS buy_hold_return, count(*) AS n FROM bars GROUP BY code)""", recursive=True)
     + "SELECT code, total_return, total_trades, win_rate, sharpe, max_drawdown, real_return, buy_hold_return, round(hd / n, 4) AS hold_ratio FROM one JOIN acct USING (code) JOIN fin USING (code) JOIN bh USING (code)".replace("win_rate, sharpe", "one.win_rate, sharpe"))
 
+# --- a store on files -----------------------------------------------------------------------------
+
+_STORES: dict = {}
+
+
+def _store(s, d):
+    """A store of two loads that overlap; codes of one board section are suspended for two years, so they lack recent bars. Returns its
+    path and what the first load refused."""
+    key = (s.sparkContext.applicationId, d)
+    if key not in _STORES:
+        path = f"{shared_folder(s)}/bars-{uuid.uuid4().hex}"
+        bars = A.bars(s, d).filter("NOT (code LIKE '600%' AND trade_date BETWEEN DATE '1999-06-01' AND DATE '2001-10-08')")
+        B.upsert_bars(s, path, bars.filter("trade_date < DATE '2001-09-20'").withColumn("close", F.when(F.col("trade_date") < "2001-09-01", F.col("close")).otherwise(F.col("low"))))
+        B.upsert_bars(s, path, bars.filter("trade_date >= DATE '2001-09-01'"))
+        _STORES[key] = path
+    return _STORES[key]
+
+
+_HELD = S.BARS.replace("bars AS (", "bars0 AS (") + ", bars AS (SELECT * FROM bars0 WHERE code NOT LIKE '%.BJ' AND NOT (code LIKE '600%' AND trade_date BETWEEN DATE '1999-06-01' AND DATE '2001-10-08'))"
+add("store_read_bars", lambda s, d: B.read_bars(s, _store(s, d), "1997-03-15", "2001-10-10").select(*_BAR, "board"),
+    S.with_(_HELD) + f"SELECT {_COLS}, {S.board_of()} AS board FROM bars WHERE trade_date BETWEEN DATE '1997-03-15' AND DATE '2001-10-10'")
+add("store_zones", lambda s, d: B.zones(s, _store(s, d)).select("code", F.col("ym").cast("int").alias("ym"), "bars", "first_date", "last_date"),
+    S.with_(_HELD) + "SELECT code, strftime(trade_date, '%Y%m')::INT AS ym, count(*) AS bars, min(trade_date) AS first_date, max(trade_date) AS last_date FROM bars GROUP BY ALL")
+add("store_coverage", lambda s, d: B.read_coverage(s, _store(s, d)),
+    S.with_(_HELD) + """SELECT code, min(trade_date) AS min_date, max(trade_date) AS max_date, CASE WHEN max(trade_date) >= DATE '2001-09-01' THEN count(*) FILTER (trade_date >= DATE '2001-09-01')
+    ELSE count(*) FILTER (trade_date < DATE '2001-09-20') END AS row_count FROM bars GROUP BY code""")
+add("store_daily_signals", lambda s, d: D.daily_signals(B.recent_bars(s, _store(s, d), DAYS), DAYS),
+    S.with_(_HELD, S.sig(DAILY_PATTERNS), _DAYSIG) + "SELECT code, trade_date, side, fired, pattern, value, close, pct_chg FROM day")
+add("store_daily_tracking",
+    lambda s, d: P.daily_tracking_of(s, _store(s, d), DAYS, few_scan(s, d).filter("pattern <> 'CDLSHORTLINE'"), M.market_wide_stats(few_scan(s, d)), _positions(s, d), _config(s, d), "full", patterns=FEW)
+    .select("code", "trade_date", "side", "pattern", "pct_chg", "followup_return", "followup_days"),
+    S.with_(_HELD, S.UNIVERSE, S.sig(FEW), _DAYSIG, f"f AS (SELECT code, trade_date, close, last_value(close) OVER aft AS l, count(*) OVER aft AS n FROM bars WINDOW aft AS ({S.W} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))")
+    + """SELECT g.code, g.trade_date, g.side, g.pattern, g.pct_chg, CASE WHEN f.n > 0 THEN round((f.l - f.close) / f.close * 100, 2) END AS followup_return, f.n AS followup_days
+    FROM day g JOIN f ON f.code = g.code AND f.trade_date = g.trade_date WHERE g.side = 'buy' OR g.code IN (SELECT code FROM universe WHERE key % 7 = 0)""")
+
 # --- ST1, ST2 on tables ---------------------------------------------------------------------------
 
 

@@ -424,13 +424,13 @@ def _sweep_sql(days):
             t = re.sub(rf"\b{c}\b", f"{c}_{n}", t)
         parts.append(t)
         names.append(f"SELECT {n} AS observe_day, * FROM cand_{n}")
-    return S.with_(S.BARS, S.sig(["CDLENGULFING", "CDLHARAMI"]), *parts, f"cand AS ({' UNION ALL '.join(names)})",
+    return S.with_(S.BARS, S.sig(DAILY_PATTERNS), *parts, f"cand AS ({' UNION ALL '.join(names)})",
                    S.walk(("code", "observe_day", "pattern", "side")),
                    f"num AS (SELECT * FROM num_{days[0]})", S.equity(("code", "observe_day", "pattern", "side")), recursive=True)
 
 
 add("metric_observe_day_sweep",
-    lambda s, d: M.observe_day_sweep(A.bars(s, d), ["CDLENGULFING", "CDLHARAMI"], range(1, 10)).select("code", "observe_day", "pattern", "side", "trades", "win_rate", "return_pct", "sharpe", "max_drawdown"),
+    lambda s, d: M.observe_day_sweep(A.bars(s, d), DAILY_PATTERNS, range(1, 10)).select("code", "observe_day", "pattern", "side", "trades", "win_rate", "return_pct", "sharpe", "max_drawdown"),
     _sweep_sql(list(range(1, 10))) + "SELECT code, observe_day, pattern, side, trades, win_rate, return_pct, sharpe, max_drawdown FROM acct")
 _GRID = [{"n": 10, "diff": 0.005}, {"n": 10, "diff": 0.01}, {"n": 30, "diff": 0.005}, {"n": 30, "diff": 0.01}]
 

@@ -5,10 +5,12 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from wickspark.functions.pick import pick_row
 from wickspark.model import BAR_SCHEMA
-from wickspark.operators import ordered, selection as F_
+from wickspark.operators import daily as D_, ordered, selection as F_
 from wickspark.sources import bars as B, files as X, text as Q
 from wickspark.streaming import ingest as N
 
@@ -214,3 +216,100 @@ def test_update_log_appends(spark, folder):
     for _ in range(2):
         B.append_update_log(row, f"{folder}/log")
     assert spark.read.parquet(f"{folder}/log").count() == 2
+
+
+# --- the store: zones, pruning, recovery -----------------------------------------------------------
+
+def weeks(code, first, n, close=10.0):
+    return [bar(code, first + dt.timedelta(days=7 * k), close + k % 3) for k in range(n)]
+
+
+def plan_of(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_recent_bars_read_what_is_needed(spark, folder):
+    """Most codes trade weekly; one was suspended for a year, one is new, one stopped trading."""
+    path, day = f"{folder}/store", D(2024, 6, 3)
+    rows = [r for k in range(30) for r in weeks(f"60{k:04d}.SH", D(2021, 1, 4), 179)]
+    rows += weeks("000001.SZ", D(2021, 1, 4), 100) + weeks("000001.SZ", D(2024, 5, 6), 5) + weeks("000002.SZ", D(2024, 4, 1), 10) + weeks("000003.SZ", D(2021, 1, 4), 90)
+    B.upsert_bars(spark, path, frame(spark, rows))
+    whole, got = B.read_bars(spark, path), B.recent_bars(spark, path, str(day))
+    for code in ("600000.SH", "000001.SZ", "000002.SZ"):
+        have = sorted(r.trade_date for r in got.filter(f"code = '{code}'").collect())
+        every = sorted(r.trade_date for r in whole.filter(f"code = '{code}'").collect())
+        assert have == every[-len(have):] and len([d for d in have if d < day]) >= min(25, len(every) - 1)
+    assert got.filter("code = '600000.SH'").count() < 40
+    for cautious in (False, True):
+        key = lambda df: sorted(tuple(r) for r in df.collect())
+        assert key(D_.daily_signals(got, str(day), cautious=cautious)) == key(D_.daily_signals(whole, str(day), cautious=cautious))
+    assert plan_of(got).count("Subquery") >= 2 and "PartitionFilters: [" in plan_of(got)
+    months = {r.ym for r in got.select("ym").distinct().collect()}
+    assert min(months) > 202200 and got.filter("ym < 202310 AND code <> '000001.SZ'").count() == 0
+
+
+def test_zones_follow_the_store(spark, folder):
+    path = f"{folder}/store"
+    B.upsert_bars(spark, path, frame(spark, weeks("600000.SH", D(2024, 1, 1), 10) + weeks("600001.SH", D(2024, 2, 5), 2)))
+    B.upsert_bars(spark, path, frame(spark, [bar("600000.SH", D(2024, 2, 6), 9.0), bar("600002.SH", D(2024, 2, 6), 9.0)]))
+    want = {(r.code, r.ym): r.n for r in B.read_bars(spark, path).groupBy("code", "ym").agg(F.count("*").alias("n")).collect()}
+    assert {(r.code, r.ym): r.bars for r in B.zones(spark, path).collect()} == want and len(want) == 5
+
+
+def test_cut_off_save_is_finished_by_the_next(spark, folder, monkeypatch):
+    path = f"{folder}/store"
+    B.upsert_bars(spark, path, frame(spark, weeks("600000.SH", D(2024, 1, 1), 20)))
+    put, moved = B._Files.put, []
+
+    def fails(self, source, target):
+        moved.append(target)
+        if len(moved) == 3:
+            self.remove(target)  # lost between removal and renaming
+            raise OSError("gone")
+        put(self, source, target)
+
+    monkeypatch.setattr(B._Files, "put", fails)
+    with pytest.raises(OSError):
+        B.upsert_bars(spark, path, frame(spark, weeks("600000.SH", D(2024, 1, 1), 20, 50.0) + weeks("600001.SH", D(2024, 1, 1), 20)))
+    monkeypatch.setattr(B._Files, "put", put)
+    B.upsert_bars(spark, path, frame(spark, [bar("600002.SH", D(2025, 1, 6), 5.0)]))
+    rows = B.read_bars(spark, path).collect()
+    assert len(rows) == 41 and all(r.close >= 50 for r in rows if r.code == "600000.SH") and not os.path.exists(f"{path}_staged/months")
+
+
+def test_save_reads_its_input_once(spark, folder):
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+
+    new = frame(spark, weeks("600000.SH", D(2024, 1, 1), 30) + [bar("600001.SH", D(2024, 1, 1), 5.0, high=1.0)])
+    refused = B.upsert_bars(spark, f"{folder}/store", new.mapInArrow(counted, new.schema))
+    assert reads.value == 31 and [tuple(r) for r in refused.collect()] == [("600001.SH", "price out of range", 1)]
+
+
+# --- picking a row ---------------------------------------------------------------------------------
+
+def test_pick_row_nulls_ties_and_texts(spark):
+    rows = [("a", None, 1.0, "x"), ("b", None, 2.0, "y"), ("b", 1, 3.0, None), ("c", 5, 4.0, "p"), ("c", 5, 6.0, "q"), ("c", 4, 9.0, "r"), ("d", 2, None, "")]
+    df = spark.createDataFrame(rows, "code string, seq int, v double, s string")
+    for fn in (F.max_by, F.min_by):
+        for values in (None, {"s": ["", "x", "y", "p", "q", "r"]}):
+            got = {r.code: tuple(r) for r in pick_row(df, ["code"], F.col("seq"), fn, values).collect()}
+            assert got["a"] == rows[0] and got["b"] == rows[2] and got["d"] == rows[6]
+            assert got["c"] in (rows[3], rows[4]) if fn is F.max_by else got["c"] == rows[5]
+    ties = {pick_row(spark.createDataFrame(order, df.schema).repartition(n), ["code"], F.col("seq"), F.max_by).filter("code = 'c'").first().v for order in (rows, rows[::-1]) for n in (1, 3, 7)}
+    assert len(ties) == 1
+    assert "SortAggregate" not in pick_row(df, ["code"], F.col("seq"), F.max_by)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_good_rows_keep_texts_and_read_once(spark):
+    raw = frame(spark, weeks("600000.SH", D(2024, 1, 1), 5) + [bar("600001.SH", D(2024, 1, 1), 5.0), bar("600001.SH", D(2024, 1, 1), 5.0), bar("600002.SH", None, 5.0)])
+    named = raw.withColumn("note", F.concat(F.lit("n"), "trade_date"))
+    got = F_.good_rows(named).collect()
+    assert sorted((r.code, r.note) for r in got) == [("600000.SH", f"n{D(2024, 1, 1) + dt.timedelta(days=7 * k)}") for k in range(5)]
+    assert F_.good_rows(raw).columns == raw.columns
+    assert {r.code: r.reason for r in F_.quality_check(raw).collect()} == {"600000.SH": None, "600001.SH": "duplicate date", "600002.SH": "null trade_date"}

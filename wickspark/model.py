@@ -38,6 +38,7 @@ STOP_LABEL = "3%止损"
 HOLD_DAYS = 2
 YEAR_BARS = 252
 MIN_YEARS = 0.01
+LOOK_BACK = 25  # bars before a day that are enough for every pattern and rule of its signals
 COVER_START_SLACK = 10
 COVER_END_SLACK = 5
 CYCLE_REVERSAL = 0.08

@@ -8,12 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wickspark.functions.codes import is_index_short, listed_in_beijing, perf_group
-from wickspark.model import DAILY_PATTERNS
+from wickspark.model import DAILY_PATTERNS, LOOK_BACK
 from wickspark.operators import candles, refine
 from wickspark.operators.candles import W
 from wickspark.operators.metrics import keep_last, pattern_cn
 
-LOOK_BACK = 25
 PERF = ("win_rate", "return_pct", "sharpe", "max_drawdown", "trades")
 
 
@@ -24,7 +23,8 @@ def daily_signals(bars: DataFrame, days, names: Iterable[str] = DAILY_PATTERNS,
     days: one date or a list.  The whole history is the look-back, so no pattern is silenced by a
     short window; only the rows of the asked days leave the window stage.  `since` reads less with the same
     result: codes with LOOK_BACK bars from `since` to the first day are judged on these (the longest pattern looks back 14
-    bars); only if a code with a bar on the days has fewer, as after a suspension, is its whole history read too."""
+    bars); only for codes with a bar on the days that have fewer, as after a suspension, is the rest read too. Bars from a store come
+    from `recent_bars`, which knows beforehand what is needed."""
     names = tuple(names)
     asked = list(days) if isinstance(days, (list, tuple)) else [days]
     wanted = [F.lit(d).cast("date") for d in asked]
@@ -33,10 +33,8 @@ def daily_signals(bars: DataFrame, days, names: Iterable[str] = DAILY_PATTERNS,
         seen = recent.groupBy("code").agg(F.count_if(F.col("trade_date") <= F.least(*wanted, F.lit("9999-12-31").cast("date"))).alias("_n"),
                                           F.max(F.col("trade_date").isin(wanted)).alias("_on"))
         lacking = seen.filter(F.col("_on") & (F.col("_n") < LOOK_BACK)).select("code")
-        if lacking.isEmpty():
-            bars = recent
-        else:
-            bars = recent.join(lacking, "code", "left_anti").unionByName(bars.join(lacking, "code", "left_semi"))
+        older = bars.filter(F.col("trade_date") < F.lit(since).cast("date")).join(lacking, "code", "left_semi")
+        bars = recent.unionByName(older)
     rules = refine.signal_rules() if cautious else {}
     guarded = [n for n in names if n in rules]
     base = candles.frame(bars).withColumn("_prev", F.expr(f"lag(close, 1) {W}"))

@@ -120,4 +120,4 @@ def max_drawdown(values: DataFrame, col: str = "close") -> DataFrame:
 
 def latest_row(bars: DataFrame) -> DataFrame:
     """The newest bar of each code, as an aggregate."""
-    return pick_row(bars, ["code"], F.unix_date("trade_date"), F.max_by)
+    return pick_row(bars, ["code"], F.unix_date("trade_date"), F.max_by, unique=True)

@@ -13,6 +13,7 @@ from wickspark.model import (BUY_CLASS, HOLD_DAYS, INVEST_FRACTION, LOT, MIN_YEA
                              SELL_CLASS, START_CASH, YEAR_BARS)
 from wickspark.operators import candles
 from wickspark.operators import trades as T
+from wickspark.operators.selection import fill_forward_zero
 from wickspark.operators.trades import KEYS
 
 
@@ -255,19 +256,14 @@ def observe_day_sweep(bars: DataFrame, names: Iterable[str], days: Iterable[int]
                       cash: float = START_CASH) -> DataFrame:
     """Account metrics for every holding period, as one job.
 
-    Patterns are found once; the look-ahead of the longest period serves all shorter ones."""
-    names = tuple(names)
-    days = tuple(days)
-    carried = [f"_h{n}_" for n in days]
-    rows = T.pattern_rows(bars, names, days).selectExpr(
-        "code", "trade_date", "bar_idx", "_values", *[f"named_struct('_buy', _buy{n}, '_sell', _sell{n}) AS _h{n}_" for n in days])
-    long = candles.unpivot(rows, names, "code", "trade_date", "bar_idx", *carried)
-    every = F.explode(F.array(*[F.struct(F.lit(n).alias("observe_day"), F.col(f"_h{n}_").alias("o")) for n in days]))
-    spread = long.select("code", "trade_date", "pattern", "value", every.alias("_e"))
-    spread = spread.selectExpr("code", "trade_date", "pattern", "value", "_e.observe_day", "_e.o._buy", "_e.o._sell")
-    picked = spread.selectExpr("code", "observe_day", "pattern", "IF(value > 0, 'buy', 'sell') AS side",
-                               "IF(value > 0, _buy, _sell) AS _t").filter("_t IS NOT NULL")
-    cands = picked.select("code", "observe_day", "pattern", "side", *[f"_t.{c}" for c in T.CANDIDATE])
+    Patterns are found once, and only signals become rows; each carries one path of what lies ahead, from which the outcome
+    of every period is taken after the signal has been repeated for them. Missing prices are filled forward first."""
+    names, days = tuple(names), tuple(days)
+    ahead = range(1, max(days) + 3)
+    rows = candles.frame(fill_forward_zero(bars), T.ahead_of(days)).select(
+        "code", "trade_date", "bar_idx", "last_idx", F.array(*[F.col(f"_x{k}") for k in ahead]).alias("_path"), candles.values(names).alias("_values"))
+    signals = candles.unpivot(rows, names, "code", "bar_idx", "last_idx", "_path")
+    cands = T.outcomes_by_period(signals, days, ("code", "pattern")).withColumnRenamed("hold", "observe_day")
     keys = ("code", "observe_day", "pattern", "side")
     return account_metrics(T.select_trades(cands, cash, keys), cash, keys)
 

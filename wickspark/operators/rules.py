@@ -7,10 +7,13 @@ extend: name -> function(bars, **parameters) -> DataFrame with `buy` and `sell`.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wickspark.functions.pick import computed_once
 from wickspark.model import COMMISSION, DAILY_BUY_ORDER, DAILY_SELL_ORDER, LOT, START_CASH
 from wickspark.operators import candles, refine
 from wickspark.operators import indicators as I
@@ -19,23 +22,81 @@ from wickspark.operators.candles import W
 _BAR = ("code", "trade_date", "bar_idx", "open", "close")
 
 
+@dataclass(frozen=True)
+class Flags:
+    """How a rule's flags are made: rolling columns, columns of the bar before, crossings, and the two conditions on them.
+
+    A column's name tells its parameters, so rules that need the same column share it."""
+
+    buy: str
+    sell: str
+    lines: dict[str, str] = field(default_factory=dict)
+    lags: dict[str, str] = field(default_factory=dict)
+    crosses: dict[str, tuple[str, str]] = field(default_factory=dict)
+
+
+def with_columns_of(bars: DataFrame, rules: Iterable[Flags]) -> DataFrame:
+    """bars with the columns that the rules need, each once, on one shared window."""
+    rules = tuple(rules)
+    every = lambda part: {k: v for r in rules for k, v in getattr(r, part).items()}
+    df = I.lines(bars, **every("lines"))
+    df = I.lagged(df, **every("lags")) if every("lags") else df
+    return I.cross(df, **every("crosses")) if every("crosses") else df
+
+
+def _flagged(bars: DataFrame, rule: Flags) -> DataFrame:
+    return with_columns_of(bars, [rule]).selectExpr(*_BAR, f"{rule.buy} AS buy", f"{rule.sell} AS sell")
+
+
+def breakout_flags(n: int = 20) -> Flags:
+    return Flags(f"_up{n} = 1", f"_dn{n} = -1", {f"_hi{n}": I.highest("high", n), f"_lo{n}": I.lowest("low", n)},
+                 {f"_hip{n}": f"_hi{n}", f"_lop{n}": f"_lo{n}"}, {f"_up{n}": ("close", f"_hip{n}"), f"_dn{n}": ("close", f"_lop{n}")})
+
+
+def single_ma_flags(n: int = 20) -> Flags:
+    return Flags(f"_c{n} = 1", f"_c{n} = -1", {f"_ma{n}": I.sma("close", n)}, {f"_map{n}": f"_ma{n}"}, {f"_c{n}": ("close", f"_map{n}")})
+
+
+def double_ma_flags(short: int = 10, long: int = 60) -> Flags:
+    name = f"_m{short}_{long}"
+    return Flags(f"{name} = 1", f"{name} = -1", {f"_ma{n}": I.sma("close", n) for n in (short, long)}, {}, {name: (f"_ma{short}", f"_ma{long}")})
+
+
+def combo_flags(n: int = 20, short: int = 10, long: int = 60) -> Flags:
+    a, b = breakout_flags(n), double_ma_flags(short, long)
+    return Flags(f"({a.buy} OR {b.buy})", f"({a.sell} OR {b.sell})", a.lines | b.lines, a.lags, a.crosses | b.crosses)
+
+
+def near_ma_flags(periods: Iterable[int] = (10, 60, 90, 60, 90), diff: float = 0.01) -> Flags:
+    periods = tuple(dict.fromkeys(periods))
+    near = " OR ".join(f"coalesce(close - _ma{p} > 0 AND close - _ma{p} < close * {diff}D, false)" for p in periods)
+    return Flags(f"({near})", f"({' OR '.join(f'_x{p} = -1' for p in periods)})", {f"_ma{p}": I.sma("close", p) for p in periods}, {}, {f"_x{p}": ("close", f"_ma{p}") for p in periods})
+
+
+def near_window_flags(n: int = 30, diff: float = 0.01) -> Flags:
+    return Flags(f"coalesce(abs(close - _lo{n}) < close * {diff}D, false)", f"coalesce(abs(close - _hi{n}) < close * {diff}D, false)",
+                 {f"_hi{n}": I.highest("high", n), f"_lo{n}": I.lowest("low", n)})
+
+
+#: Rules whose flags are columns of the bar, so that many parameter sets fit in one row.
+SWEPT: dict[str, Callable[..., Flags]] = {
+    "breakout": breakout_flags, "single_ma": single_ma_flags, "double_ma": double_ma_flags, "combo": combo_flags, "near_ma": near_ma_flags, "near_window": near_window_flags,
+}
+
+
 def breakout(bars: DataFrame, n: int = 20) -> DataFrame:
     """G1: close crosses the previous bar's n-high upwards, or its n-low downwards."""
-    df = I.lines(bars, _h=I.highest("high", n), _l=I.lowest("low", n))
-    df = I.cross(I.lagged(df, _hp="_h", _lp="_l"), _up=("close", "_hp"), _dn=("close", "_lp"))
-    return df.selectExpr(*_BAR, "_up = 1 AS buy", "_dn = -1 AS sell")
+    return _flagged(bars, breakout_flags(n))
 
 
 def single_ma(bars: DataFrame, n: int = 20) -> DataFrame:
     """Close against the previous bar's mean."""
-    df = I.cross(I.lagged(I.lines(bars, _m=I.sma("close", n)), _mp="_m"), _x=("close", "_mp"))
-    return df.selectExpr(*_BAR, "_x = 1 AS buy", "_x = -1 AS sell")
+    return _flagged(bars, single_ma_flags(n))
 
 
 def double_ma(bars: DataFrame, short: int = 10, long: int = 60) -> DataFrame:
     """Short mean against long mean."""
-    df = I.cross(I.lines(bars, _s=I.sma("close", short), _m=I.sma("close", long)), _x=("_s", "_m"))
-    return df.selectExpr(*_BAR, "_x = 1 AS buy", "_x = -1 AS sell")
+    return _flagged(bars, double_ma_flags(short, long))
 
 
 def _indicator_flags(bars: DataFrame, n: int, short: int, long: int, turtle_long: int, turtle_short: int,
@@ -57,8 +118,7 @@ def _indicator_flags(bars: DataFrame, n: int, short: int, long: int, turtle_long
 
 def combo(bars: DataFrame, n: int = 20, short: int = 10, long: int = 60) -> DataFrame:
     """Breakout or double mean, on each side."""
-    df = _indicator_flags(bars, n, short, long, n, n)
-    return df.selectExpr(*_BAR, "buy_breakout OR buy_ma AS buy", "sell_breakout OR sell_ma AS sell")
+    return _flagged(bars, combo_flags(n, short, long))
 
 
 def turtle(bars: DataFrame, long: int = 20, short: int = 10) -> DataFrame:
@@ -70,18 +130,12 @@ def turtle(bars: DataFrame, long: int = 20, short: int = 10) -> DataFrame:
 
 def near_ma(bars: DataFrame, periods: Iterable[int] = (10, 60, 90, 60, 90), diff: float = 0.01) -> DataFrame:
     """Buy just above any of the means, sell when close falls through any of them."""
-    periods = tuple(dict.fromkeys(periods))
-    df = I.lines(bars, **{f"_n{p}": I.sma("close", p) for p in periods})
-    df = I.cross(df, **{f"_x{p}": ("close", f"_n{p}") for p in periods})
-    near = " OR ".join(f"coalesce(close - _n{p} > 0 AND close - _n{p} < close * {diff}D, false)" for p in periods)
-    return df.selectExpr(*_BAR, f"{near} AS buy", f"{' OR '.join(f'_x{p} = -1' for p in periods)} AS sell")
+    return _flagged(bars, near_ma_flags(periods, diff))
 
 
 def near_window(bars: DataFrame, n: int = 30, diff: float = 0.01) -> DataFrame:
     """Buy near the n-low, sell near the n-high."""
-    df = I.lines(bars, _h=I.highest("high", n), _l=I.lowest("low", n))
-    return df.selectExpr(*_BAR, f"coalesce(abs(close - _l) < close * {diff}D, false) AS buy",
-                         f"coalesce(abs(close - _h) < close * {diff}D, false) AS sell")
+    return _flagged(bars, near_window_flags(n, diff))
 
 
 def indicator_union(bars: DataFrame, n: int = 20, short: int = 10, long: int = 60, turtle_long: int = 20,
@@ -131,13 +185,15 @@ def cautious_pattern(bars: DataFrame, pattern: str) -> DataFrame:
 
 
 def last_match_signal(bars: DataFrame, side: str, cautious: bool = False) -> DataFrame:
-    """Of the 59 daily patterns the last one in list order that fires on a bar."""
+    """Of the 59 daily patterns the last one in list order that fires on a bar: the last of the row's values, without a grouping."""
     order = DAILY_BUY_ORDER if side == "buy" else DAILY_SELL_ORDER
-    found = refine.cautious_at_signal(bars, order) if cautious else candles.signals(bars, order)
-    found = found.filter("value > 0" if side == "buy" else "value < 0")
-    rank = F.array_position(F.array(*map(F.lit, order)), F.col("pattern"))
-    return (found.groupBy("code", "trade_date").agg(F.max_by("pattern", rank).alias("pattern"))
-            .withColumn("pattern", refine.alias_pattern()).withColumn("side", F.lit(side)))
+    rules = refine.signal_rules() if cautious and side == "buy" else {}  # a rule judges buys only
+    value = lambda n: F.when(F.expr(str(rules[n])), candles.pattern_value(n)).otherwise(F.lit(0)) if n in rules else candles.pattern_value(n)
+    fired = lambda v, i: F.when(v > 0 if side == "buy" else v < 0, i + 1).otherwise(F.lit(0))
+    rows = candles.frame(bars).select("code", "trade_date", F.array(*[value(n) for n in order]).alias("_v"))
+    rows = computed_once(rows, _last=F.array_max(F.transform("_v", fired))).filter("_last > 0")
+    found = computed_once(rows.select("code", "trade_date", "_last"), pattern=F.element_at(F.array(*map(F.lit, order)), F.col("_last")))
+    return found.select("code", "trade_date", refine.alias_pattern().alias("pattern"), F.lit(side).alias("side"))
 
 
 def pattern_side_signal(bars: DataFrame, pattern: str, side: str) -> DataFrame:
@@ -171,12 +227,19 @@ def flag_trades(flags: DataFrame, cash: float = START_CASH, margin: float = 1.00
     a position still open at the end is valued at the last close.
     """
     keys = tuple(keys)
+    return _folded(flags.selectExpr(*keys, "trade_date", "close", "buy", "sell", *_what_follows(keys)), cash, margin, keys)
+
+
+def _what_follows(keys: tuple[str, ...]) -> list[str]:
+    """The next bar's open and date, and the last bar's close and date."""
     by = f"OVER (PARTITION BY {', '.join(keys)} ORDER BY trade_date)"
     ends = (f"OVER (PARTITION BY {', '.join(keys)} ORDER BY trade_date "
             "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
-    seen = flags.selectExpr(
-        *keys, "trade_date", "close", "buy", "sell", f"lead(open) {by} AS next_open",
-        f"lead(trade_date) {by} AS next_date", f"last(close) {ends} AS last_close", f"last(trade_date) {ends} AS last_date")
+    return [f"lead(open) {by} AS next_open", f"lead(trade_date) {by} AS next_date", f"last(close) {ends} AS last_close", f"last(trade_date) {ends} AS last_date"]
+
+
+def _folded(seen: DataFrame, cash: float, margin: float, keys: tuple[str, ...]) -> DataFrame:
+    """The accounts of flagged bars that carry what follows them."""
     ordered = (seen.filter("(buy OR sell) AND next_date IS NOT NULL").groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct("trade_date", "buy", "sell", "close", "next_open", "next_date"))).alias("_e"),
         F.first("last_close").alias("last_close"), F.first("last_date").alias("last_date")))
@@ -297,22 +360,31 @@ def stacked_trades(signals: DataFrame, cash: float = START_CASH, margin: float =
 
 def param_sweep(bars: DataFrame, rule: str, grid: Iterable[dict], cash: float = START_CASH,
                 margin: float = 1.001) -> DataFrame:
-    """Account return of every parameter set for every code, as one union of lazy plans.
-
-    The grid is a small fixed list given by the caller; each set is one branch over the same bars."""
-    out = None
-    for i, params in enumerate(grid):
-        label = ",".join(f"{k}={v}" for k, v in params.items())
-        traded = flag_trades(RULES[rule](bars, **params), cash, margin)
-        final = traded.groupBy("code").agg(F.max_by("cash_out", "trade_no").alias("final_value"),
-                                           F.count("*").alias("trades"))
-        part = final.select("code", F.lit(i).alias("set_no"), F.lit(label).alias("params"), "trades",
-                            F.round(F.log(F.col("final_value") / cash) * 100, 4).alias("log_return"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Account return of every parameter set for every code.
+
+    For the rules of SWEPT all sets are one plan: each rolling column that any set needs is made once, on one scan, exchange and sort
+    of the bars, and a bar becomes a row for each set that flags it; accounts are folded by (code, set_no) within the code's
+    partition. Other rules, and rules of your own, are one branch over the bars for each set."""
+    grid = list(grid)
+    labels = [",".join(f"{k}={v}" for k, v in params.items()) for params in grid]
+    keys = ("code", "set_no")
+    if not grid:
+        raise ValueError("an empty grid")
+    if rule in SWEPT:
+        sets = [SWEPT[rule](**params) for params in grid]
+        made = ", ".join(f"named_struct('set_no', {i}, 'buy', {r.buy}, 'sell', {r.sell})" for i, r in enumerate(sets))
+        seen = with_columns_of(bars, sets).selectExpr("code", "trade_date", "close", *_what_follows(("code",)), f"filter(array({made}), s -> s.buy OR s.sell) AS _sets")
+        rows = seen.filter("next_date IS NOT NULL").select("*", F.explode("_sets").alias("_set")).select("code", "_set.*", "trade_date", "close", "next_open", "next_date", "last_close", "last_date")
+        traded = _folded(rows, cash, margin, keys)
+    else:
+        parts = [flag_trades(RULES[rule](bars, **params), cash, margin).withColumn("set_no", F.lit(i)) for i, params in enumerate(grid)]
+        traded = reduce(DataFrame.unionByName, parts)
+    final = traded.groupBy(*keys).agg(F.max_by("cash_out", "trade_no").alias("final_value"), F.count("*").alias("trades"))
+    label = F.element_at(F.array(*map(F.lit, labels)), F.col("set_no") + 1)
+    return final.select("code", "set_no", label.alias("params"), "trades", F.round(F.log(F.col("final_value") / cash) * 100, 4).alias("log_return"))
 
 
 def best_params(sweep: DataFrame) -> DataFrame:
     """The parameter set with the highest return per code, the first one on a tie."""
-    best = F.max_by(F.struct("set_no", "params", "trades", "log_return"), F.struct("log_return", -F.col("set_no")))
-    return sweep.groupBy("code").agg(best.alias("_b")).select("code", "_b.set_no", "_b.params", "_b.trades", "_b.log_return")
+    place = F.row_number().over(Window.partitionBy("code").orderBy(F.col("log_return").desc(), "set_no"))
+    return sweep.withColumn("_place", place).filter("_place = 1").select("code", "set_no", "params", "trades", "log_return")

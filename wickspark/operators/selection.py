@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wickspark.functions.codes import classify_board, is_index_short, listed_in_beijing
+from wickspark.functions.pick import coded
 from wickspark.model import DAILY_PATTERNS, TRACKED_INDEXES
 
 OHLC = ("open", "high", "low", "close")
@@ -30,35 +31,62 @@ def fill_forward_zero(df: DataFrame, cols: Iterable[str] = (*OHLC, "vol")) -> Da
     return df.selectExpr(*[f"coalesce(last({c}, true) {run}, 0D) AS {c}" if c in cols else c for c in df.columns])
 
 
-def quality_check(raw: DataFrame, keys: Iterable[str] = ("code",)) -> DataFrame:
-    """one row per code (or load and code): passed, reason (the first failing rule) and the rows it counts.
+_RULES = [*((f"_null_{x}", f"null {x}") for x in (*OHLC, "trade_date")), ("_odd", "price out of range"), ("_low", "price not positive"), ("_dup", "duplicate date")]
 
-    Counting duplicates by (code, date) first makes both steps aggregates with map-side combine, so a
-    code with a third of all raw rows is no hot spot."""
+
+def _day_counts() -> list:
+    """Per key and date: the rows, and how many of them break each rule."""
     o, h, l, c = (F.col(x) for x in OHLC)
     odd = (h < F.greatest(o, c)) | (l > F.least(o, c)) | (h < l)
     low = (o <= 0) | (h <= 0) | (l <= 0) | (c <= 0)
-    keys = list(keys)
-    day = raw.groupBy(*keys, "trade_date").agg(
-        F.count("*").alias("_rows"), *[F.count_if(F.col(x).isNull()).alias(f"_null_{x}") for x in OHLC],
-        F.count_if(odd).alias("_odd"), F.count_if(low).alias("_low"))
-    per = day.groupBy(*keys).agg(
-        F.sum("_rows").alias("rows"), *[F.sum(f"_null_{x}").alias(f"_null_{x}") for x in OHLC],
-        F.coalesce(F.sum(F.when(F.col("trade_date").isNull(), F.col("_rows"))), F.lit(0)).alias("_null_trade_date"),
-        F.sum("_odd").alias("_odd"), F.sum("_low").alias("_low"), F.sum(F.col("_rows") - 1).alias("_dup"))
-    rules = [(f"_null_{x}", f"null {x}") for x in (*OHLC, "trade_date")]
-    rules += [("_odd", "price out of range"), ("_low", "price not positive"), ("_dup", "duplicate date")]
+    return [F.count("*").alias("_rows"), *[F.count_if(F.col(x).isNull()).alias(f"_null_{x}") for x in OHLC], F.count_if(odd).alias("_odd"), F.count_if(low).alias("_low")]
+
+
+def _totals(total) -> dict:
+    """The same per key; total: how a column of day counts is summed up."""
+    out = {c: total(F.col(c)) for c in (*(f"_null_{x}" for x in OHLC), "_odd", "_low")}
+    out["_null_trade_date"] = F.coalesce(total(F.when(F.col("trade_date").isNull(), F.col("_rows"))), F.lit(0))
+    return out | {"_dup": total(F.col("_rows") - 1), "_all": total(F.col("_rows"))}
+
+
+def _verdict() -> tuple:
+    """The first rule that is broken, and the rows that break it."""
     reason, bad = F.lit(None).cast("string"), F.lit(0).cast("long")
-    for col, text in reversed(rules):
+    for col, text in reversed(_RULES):
         reason = F.when(F.col(col) > 0, text).otherwise(reason)
         bad = F.when(F.col(col) > 0, F.col(col)).otherwise(bad)
-    return per.select(*keys, "rows", reason.isNull().alias("passed"), reason.alias("reason"), bad.alias("bad_rows"))
+    return reason, bad
 
 
-def good_rows(raw: DataFrame, keys: Iterable[str] = ("code",)) -> DataFrame:
-    """the rows of the codes (or loads and codes) that pass."""
+def quality_check(raw: DataFrame, keys: Iterable[str] = ("code",)) -> DataFrame:
+    """one row per code (or load and code): passed, reason (the first failing rule) and the rows it counts.
+
+    Counting duplicates by (code, date) first makes both steps aggregates with map-side combine, so a
+    code with a third of all raw rows is no hot spot."""
     keys = list(keys)
-    return raw.join(quality_check(raw, keys).filter("passed").select(*keys), keys, "left_semi")
+    per = raw.groupBy(*keys, "trade_date").agg(*_day_counts()).groupBy(*keys).agg(*[c.alias(n) for n, c in _totals(F.sum).items()])
+    reason, bad = _verdict()
+    return per.select(*keys, F.col("_all").alias("rows"), reason.isNull().alias("passed"), reason.alias("reason"), bad.alias("bad_rows"))
+
+
+def judged(raw: DataFrame, keys: Iterable[str] = ("code",)) -> DataFrame:
+    """F10 in one pass over raw: a row per key and date with the columns of raw, and of its key all_rows, reason and bad_rows (null and 0 where it passes).
+
+    One aggregate counts what the rules ask for and carries the values; the verdict is then a window over the days of a key. A
+    key that passes has one row a day, so its values are those rows; what stands in a day of a key that fails is not said."""
+    keys = list(keys)
+    narrow, back = coded(raw, (*keys, "trade_date"))
+    rest = [c for c in raw.columns if c not in keys and c != "trade_date"]
+    day = narrow.groupBy(*keys, "trade_date").agg(*_day_counts(), *[F.max(c).alias(c) for c in rest])
+    whole = Window.partitionBy(*keys)
+    told = day.withColumns(_totals(lambda c: F.sum(c).over(whole)))
+    reason, bad = _verdict()
+    return back(told.select(*raw.columns, F.col("_all").alias("all_rows"), reason.alias("reason"), bad.alias("bad_rows")))
+
+
+def good_rows(raw: DataFrame, keys: Iterable[str] = ("code",)) -> DataFrame:
+    """the rows of the codes (or loads and codes) that pass; raw is read once, but for texts that aren't keys, see `coded`."""
+    return judged(raw, keys).filter("reason IS NULL").select(*raw.columns)
 
 
 def market_cap_filter(universe: DataFrame, min_mv: float | None = None, max_mv: float | None = None) -> DataFrame:

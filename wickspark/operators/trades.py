@@ -75,6 +75,28 @@ def with_outcomes(rows: DataFrame, keep: Iterable[str], holds: Iterable[int], co
     return staged.selectExpr(*keep, *out)
 
 
+def outcomes_by_period(signals: DataFrame, holds: Iterable[int], keep: Iterable[str]) -> DataFrame:
+    """Signals (value, bar_idx, last_idx, _path) -> a candidate for each holding period that a position can be opened for: `keep`, `hold`, `side` and CANDIDATE.
+
+    `_path` is what lies ahead (o, c, d), up to the longest period. Where the stop is hit first doesn't depend on the period: it is found once, and a
+    period has it if it isn't shorter. All else follows from the period as a column."""
+    holds, keep = tuple(holds), tuple(keep)
+    breach = " ".join(f"WHEN _path[{k}].c / nullif(_path[0].o, 0) - 1 <= {STOP_LOSS}D THEN {k}" for k in range(1, max(holds) + 1))
+    at = "element_at(_path, _off + 1)"
+    rows = (
+        signals.selectExpr(*keep, "bar_idx", "last_idx", "_path", "last_idx - bar_idx AS _n", "IF(value > 0, 'buy', 'sell') AS side", f"IF(value > 0, CASE {breach} END, NULL) AS _first")
+        .filter("_n >= 1 AND _path[0].o > 0").select("*", F.explode(F.array(*map(F.lit, holds))).alias("hold"))
+        .selectExpr("*", "IF(_first <= hold, _first, NULL) AS _stop")
+        .selectExpr("*", "CASE WHEN _stop IS NULL AND _n >= hold + 1 THEN 'hold' WHEN _n >= _stop + 2 THEN 'stop' ELSE 'end' END AS exit_reason")
+        .selectExpr("*", "CASE exit_reason WHEN 'stop' THEN _stop + 1 WHEN 'hold' THEN hold ELSE greatest(_n - 1, 0) END AS _off",
+                    "CASE exit_reason WHEN 'stop' THEN _stop + 1 WHEN 'hold' THEN hold + 1 ELSE greatest(_n, 0) END AS held_bars")
+    )
+    return rows.selectExpr(
+        *keep, "hold", "side", "bar_idx + 1 AS entry_idx", "_path[0].d AS entry_date", "_path[0].o AS entry_price", "bar_idx + 1 + _off AS exit_idx", f"{at}.d AS exit_date",
+        f"IF(exit_reason = 'end', {at}.c, {at}.o) AS exit_price", "exit_reason", "held_bars", f"IF(exit_reason = 'end', {NEVER}, bar_idx + 1 + held_bars) AS next_free", "last_idx",
+        "slice(_path.c, 1, held_bars) AS closes")
+
+
 def outcomes(bars: DataFrame, hold: int = HOLD_DAYS, combined: bool = False) -> DataFrame:
     """Bars + `_buy` and `_sell` for one holding period.
 

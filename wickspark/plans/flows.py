@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wickspark.model import DAILY_PATTERNS, HOLD_DAYS, START_CASH
@@ -13,6 +13,7 @@ from wickspark.operators import daily as D
 from wickspark.operators import metrics as M
 from wickspark.operators import selection as S
 from wickspark.operators import trades as T
+from wickspark.sources import bars as B
 
 
 def backtest(bars: DataFrame, buy: Iterable[str], sell: Iterable[str], hold: int = HOLD_DAYS,
@@ -56,7 +57,18 @@ def market_update(bars: DataFrame, universe: DataFrame, focus: DataFrame, hold:
 def daily_tracking(bars: DataFrame, day, performance: DataFrame, market: DataFrame, held: DataFrame, config: DataFrame,
                    mode: str = "full", cautious: bool = False, patterns: Iterable[str] = DAILY_PATTERNS, since=None) -> DataFrame:
     """The ranked signal list of a day: signals -> mode -> sell gate -> figures -> market -> tier -> follow-up."""
-    found = D.track_mode(D.daily_signals(bars, day, patterns, cautious, since), config, mode)
-    judged = D.attach_performance(D.sell_gate(found, held), performance)
-    ranked = D.tier(D.attach_market(judged, market))
-    return D.follow_up(ranked, bars if since is None else bars.filter(F.col("trade_date") >= F.lit(since).cast("date")))
+    later = bars if since is None else bars.filter(F.col("trade_date") >= F.lit(since).cast("date"))
+    return _tracked(D.daily_signals(bars, day, patterns, cautious, since), later, performance, market, held, config, mode)
+
+
+def daily_tracking_of(spark: SparkSession, store: str, day, performance: DataFrame, market: DataFrame, held: DataFrame, config: DataFrame,
+                      mode: str = "full", cautious: bool = False, patterns: Iterable[str] = DAILY_PATTERNS) -> DataFrame:
+    """The same over a store of bars: signals read the months that `recent_bars` finds, the follow-up those from the first day on."""
+    first = min(str(d) for d in (day if isinstance(day, (list, tuple)) else [day]))
+    found = D.daily_signals(B.recent_bars(spark, store, day), day, patterns, cautious)
+    return _tracked(found, B.read_bars(spark, store, first), performance, market, held, config, mode)
+
+
+def _tracked(found: DataFrame, later: DataFrame, performance: DataFrame, market: DataFrame, held: DataFrame, config: DataFrame, mode: str) -> DataFrame:
+    judged = D.attach_performance(D.sell_gate(D.track_mode(found, config, mode), held), performance)
+    return D.follow_up(D.tier(D.attach_market(judged, market)), later)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -24,3 +25,13 @@ def local_session(cpus: int | str = "*", app: str = "wickspark", memory: str = "
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for checkpoints, which driver and executors share. Only a local session may have a new one of its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        named = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    if not named and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+    return named or tempfile.mkdtemp(prefix="spark-", dir="/tmp")

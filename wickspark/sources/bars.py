@@ -6,13 +6,17 @@ skew does not reach a single task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import time
+import uuid
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wickspark.functions.codes import classify_board
 from wickspark.functions.pick import pick_row
-from wickspark.model import BAR_SCHEMA, COVER_END_SLACK, COVER_START_SLACK
-from wickspark.operators.selection import good_rows, quality_check
+from wickspark.model import BAR_SCHEMA, COVER_END_SLACK, COVER_START_SLACK, LOOK_BACK
+from wickspark.operators.selection import good_rows, judged, quality_check
 
 KEY = ("code", "trade_date")
 BEFORE_ALL = -(2 ** 63)  # load sequence of what is already stored
@@ -52,9 +56,9 @@ def normalize_vendor(df: DataFrame, layout: str) -> DataFrame:
     return df.select(*[cols.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in BAR_SCHEMA.fields])
 
 
-def merge_bar_sources(union: DataFrame) -> DataFrame:
-    """Of rows with the same code and date keep the one with the lowest `priority`."""
-    return pick_row(union, KEY, F.col("priority"), F.min_by)
+def merge_bar_sources(union: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
+    """Of rows with the same code and date keep the one with the lowest `priority`. names: all that occur in `source`, where known."""
+    return pick_row(union, KEY, F.col("priority"), F.min_by, {"source": names} if names else None)
 
 
 def union_sources(*sources: DataFrame) -> DataFrame:
@@ -66,26 +70,25 @@ def union_sources(*sources: DataFrame) -> DataFrame:
     return out
 
 
-def choose_source(union: DataFrame, end) -> DataFrame:
+def choose_source(union: DataFrame, end, names: Sequence[str] | None = None) -> DataFrame:
     """Per code the best source that reaches `end`, else the last partial one plus a newer local tail.
 
     union: bars with `priority` (1 = first asked) and `is_local`.  The per-source maximum is an
-    aggregate; the chosen source is joined back on (code, priority)."""
+    aggregate; the chosen source is joined back on (code, priority). names: all that occur in `source`, where known."""
     end = F.lit(end).cast("date")
     reach = union.groupBy("code", "priority").agg(F.max("trade_date").alias("_max"), F.max("is_local").alias("_local"))
-    # sources that reach the end: the first asked wins; otherwise the last one asked
+    # sources that reach the end: the first asked wins; otherwise the last one asked. Priorities are 32-bit integers, those that reach are below all others
     whole = F.col("_max") >= end
-    rank = F.struct((~whole).cast("int"), F.when(whole, F.col("priority")).otherwise(-F.col("priority")))
+    rank = F.when(whole, F.col("priority").cast("long") - F.lit(1 << 33)).otherwise(-F.col("priority").cast("long"))
     best = reach.groupBy("code").agg(
-        F.min_by(F.struct("priority", "_max"), rank).alias("_b"),
+        F.min_by("priority", rank).alias("_bp"), F.min_by("_max", rank).alias("_bmax"),
         F.max(F.when(F.col("_local"), F.col("_max"))).alias("_local_max"))
-    best = best.select("code", F.col("_b.priority").alias("_bp"), F.col("_b._max").alias("_bmax"), "_local_max")
     j = union.join(best, "code")
     main = F.col("priority") == F.col("_bp")
     tail = F.col("is_local") & ~main & (F.col("_bmax") < end) & (F.col("_local_max") > F.col("_bmax"))
     kept = j.filter(main | tail).withColumn("_tail", tail.cast("int")).drop("_bp", "_bmax", "_local_max")
     # a tail row replaces its date; priorities are 32-bit integers
-    return pick_row(kept, KEY, F.col("_tail") * F.lit(1 << 32) + F.col("priority"), F.max_by).drop("_tail")
+    return pick_row(kept, KEY, F.col("_tail") * F.lit(1 << 32) + F.col("priority"), F.max_by, {"source": names} if names else None).drop("_tail")
 
 
 def top_up_latest(bars: DataFrame, quotes: DataFrame, end) -> DataFrame:
@@ -122,12 +125,17 @@ def load_rank(time, name):
     return (F.unix_micros(time).cast("decimal(18,0)") * F.lit(str(10 ** 19)).cast("decimal(20,0)") + digest).cast("decimal(38,0)")
 
 
+def _board_verdict(rows: DataFrame) -> DataFrame:
+    """judged() rows, where codes outside the boards are refused as such."""
+    outside = classify_board(F.col("code")) == "excluded"
+    return rows.withColumn("reason", F.when(outside, "excluded board").otherwise(F.col("reason")))
+
+
 def rejected(new: DataFrame, load: str | None = None) -> DataFrame:
     """S3: what a save refuses: (load,) code, reason, rows. Codes outside the boards, and codes of a load that fail a rule of F10."""
     keys = ([load] if load else []) + ["code"]
-    outside = new.filter(classify_board(F.col("code")) == "excluded").groupBy(*keys).agg(F.count("*").alias("rows"))
-    bad = quality_check(new.filter(classify_board(F.col("code")) != "excluded"), keys).filter("NOT passed")
-    return outside.select(*keys, F.lit("excluded board").alias("reason"), "rows").unionByName(bad.select(*keys, "reason", "rows"))
+    checked = quality_check(new, keys).withColumn("reason", F.when(classify_board(F.col("code")) == "excluded", "excluded board").otherwise(F.col("reason")))
+    return checked.filter("reason IS NOT NULL").select(*keys, "reason", "rows")
 
 
 def accepted(new: DataFrame, load: str | None = None) -> DataFrame:
@@ -135,15 +143,11 @@ def accepted(new: DataFrame, load: str | None = None) -> DataFrame:
     return good_rows(new.filter(classify_board(F.col("code")) != "excluded"), [load, "code"] if load else ["code"])
 
 
-def upserted(stored: DataFrame | None, new: DataFrame, seq: str | None = None, load: str | None = None, keep_seq: bool = False) -> DataFrame:
-    """S3 as a table function: quality gate per load and code, keep-last per date by `seq`, new over stored.
-
-    load: column that names the load of a row; without it all rows are one load. seq: number that orders loads; a null is before all others. Where
-    the stored rows carry `seq` themselves (keep_seq), the order is by it alone, whatever was stored first."""
+def _newest(stored: DataFrame | None, taken: DataFrame, seq: str | None, keep_seq: bool) -> DataFrame:
+    """New over stored, of several loads the last by `seq`."""
     wide = "decimal(38,0)"
     order = F.coalesce(F.col(seq).cast(wide), F.lit(BEFORE_ALL + 1).cast(wide)) if seq else F.lit(0).cast(wide)
-    both = accepted(new, load).withColumn("_s", order)
-    both = both.drop(load) if load else both
+    both = taken.withColumn("_s", order)
     if stored is not None:
         held = F.coalesce(F.col(seq), F.lit(BEFORE_ALL).cast(wide)) if keep_seq else F.lit(BEFORE_ALL).cast(wide)
         both = stored.withColumn("_s", held).unionByName(both, allowMissingColumns=True)
@@ -151,31 +155,139 @@ def upserted(stored: DataFrame | None, new: DataFrame, seq: str | None = None, l
     return out.drop(seq) if seq and not keep_seq and seq in out.columns else out
 
 
+def upserted(stored: DataFrame | None, new: DataFrame, seq: str | None = None, load: str | None = None, keep_seq: bool = False) -> DataFrame:
+    """S3 as a table function: quality gate per load and code, keep-last per date by `seq`, new over stored.
+
+    load: column that names the load of a row; without it all rows are one load. seq: number that orders loads; a null is before all others. Where
+    the stored rows carry `seq` themselves (keep_seq), the order is by it alone, whatever was stored first."""
+    taken = accepted(new, load)
+    return _newest(stored, taken.drop(load) if load else taken, seq, keep_seq)
+
+
+class _Files:
+    """Folders of the store's file system, whatever that is."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        jvm = spark.sparkContext._jvm
+        self._path = jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def exists(self, path: str) -> bool:
+        return self._fs.exists(self._path(path))
+
+    def folders(self, path: str) -> list[str]:
+        return sorted(f.getPath().toString() for f in self._fs.listStatus(self._path(path)) if f.isDirectory()) if self.exists(path) else []
+
+    def mark(self, path: str) -> None:
+        self._fs.create(self._path(path), True).close()
+
+    def remove(self, path: str) -> None:
+        self._fs.delete(self._path(path), True)
+
+    def put(self, source: str, target: str) -> None:
+        """source in the place of target. A second call after a failure between the two steps finishes the work."""
+        where = self._path(target)
+        self._fs.delete(where, True)
+        self._fs.mkdirs(where.getParent())
+        if not self._fs.rename(self._path(source), where):
+            raise OSError(f"{source} could not be moved to {target}")
+
+
+def _beside(path: str, what: str) -> str:
+    return f"{path.rstrip('/')}_{what}"
+
+
+def _put_in_place(files: _Files, path: str, folder: str) -> None:
+    """The finished months of a save, moved into the store. Months that were moved before are not there any more."""
+    for board in files.folders(f"{folder}/months"):
+        for month in files.folders(board):
+            files.put(month, f"{path.rstrip('/')}/{month.split('/months/', 1)[1]}")
+    files.remove(f"{folder}/_READY")
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Finish a save that was cut off after its months were written; drop what one before that has left."""
+    files = _Files(spark, path)
+    for folder in files.folders(_beside(path, "staged")):
+        if files.exists(f"{folder}/_READY"):
+            _put_in_place(files, path, folder)
+        files.remove(folder)
+
+
 def upsert_bars(spark: SparkSession, path: str, new: DataFrame, seq: str | None = None, load: str | None = None) -> DataFrame:
-    """S3: merge new bars into the store, rewriting only the months they touch. Returns what was refused.
-    The range and rows of each code and load are added to the store's coverage, see `read_coverage`.
+    """S3: merge new bars into the store, rewriting only the months they touch. Returns what was refused, to be read before the next save.
+
+    new is read once: one pass judges and gathers it per load, code and day, and is staged beside the store; accepted rows, what is refused, the touched
+    months and the coverage of each load come from there. The merged months are written beside the store too, marked as ready and
+    then moved in, once their zones (bars of each code and month, see `recent_bars`) are noted; a save that is cut off is
+    finished by the next one (`recover`). A month is swapped by removing one folder and renaming another.
 
     Every stored row keeps the rank of its load, `load_seq`: the order of loads decides, not the order or number of saves. Without
     seq the rows are one load, of now. Rows are brought together by board and month with a rebalance hint: AQE joins small months into
     one task and splits a large one (a board may hold most of the market) by size; files are sorted by code. The list of touched
     months is bounded by the calendar and is the only thing the driver sees."""
-    new = new.withColumn("trade_date", as_date(F.col("trade_date")))
+    recover(spark, path)
+    files, folder = _Files(spark, path), f"{_beside(path, 'staged')}/{uuid.uuid4().hex}"
     rank = F.col(seq).cast("decimal(38,0)") if seq else load_rank(F.current_timestamp(), F.lit(""))
-    new = new.withColumn("load_seq", rank)
+    new = new.withColumn("trade_date", as_date(F.col("trade_date"))).withColumn("load_seq", rank)
     new = new.drop(seq) if seq and seq != "load_seq" else new
-    months = [r[0] for r in new.select(F.date_format("trade_date", "yyyyMM")).distinct().collect() if r[0]]
-    try:
-        stored = spark.read.parquet(path).filter(F.col("ym").isin(months)).drop("board", "ym")
-    except Exception as e:  # first load: there is no store yet
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        stored = None
-    out = with_partitions(upserted(stored, new, "load_seq", load, keep_seq=True))
-    (out.hint("rebalance", "board", "ym").sortWithinPartitions("board", "ym", "code", "trade_date")
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("board", "ym").parquet(path))
-    ranges = accepted(new, load).groupBy("code", "load_seq").agg(F.min("trade_date").alias("min_date"), F.max("trade_date").alias("max_date"), F.count("*").alias("row_count"))
-    ranges.write.mode("append").parquet(_coverage_path(path))
-    return rejected(new, load)
+    keys = [load, "code"] if load else ["code"]
+    verdicts = _board_verdict(judged(new, keys))
+    verdicts.write.parquet(f"{folder}/load")
+    staged = spark.read.schema(verdicts.schema).parquet(f"{folder}/load")
+    refused = staged.filter("reason IS NOT NULL").groupBy(*keys, "reason").agg(F.max("all_rows").alias("rows"))
+    good = staged.filter("reason IS NULL").select(*new.columns)
+    months = [r[0] for r in good.select(F.date_format("trade_date", "yyyyMM").cast("int")).distinct().collect()]
+    if not months:
+        return refused
+    stored = spark.read.parquet(path).filter(F.col("ym").isin(months)).drop("board", "ym") if files.exists(path) else None
+    taken = good.drop(load) if load else good
+    merged = with_partitions(_newest(stored, taken, "load_seq", True) if stored is not None or load else taken)
+    (merged.hint("rebalance", "board", "ym").sortWithinPartitions("board", "ym", "code", "trade_date")
+     .write.partitionBy("board", "ym").parquet(f"{folder}/months"))
+    counted = merged.groupBy("code", F.col("ym").cast("int").alias("ym")).agg(F.count("*").alias("bars"), F.min("trade_date").alias("first_date"), F.max("trade_date").alias("last_date"))
+    counted.withColumn("saved", F.lit(time.time_ns())).write.mode("append").parquet(_beside(path, "zones"))
+    ranges = good.groupBy("code", "load_seq").agg(F.min("trade_date").alias("min_date"), F.max("trade_date").alias("max_date"), F.count("*").alias("row_count"))
+    ranges.write.mode("append").parquet(_beside(path, "coverage"))
+    files.mark(f"{folder}/_READY")
+    _put_in_place(files, path, folder)
+    return refused
+
+
+def zones(spark: SparkSession, path: str) -> DataFrame:
+    """Bars of each code and month of the store: code, ym, bars, first_date, last_date. Each save notes all codes of the months it
+    rewrites; of a month the newest save counts."""
+    noted = spark.read.parquet(_beside(path, "zones"))
+    newest = noted.groupBy("ym").agg(F.max("saved").alias("saved"))
+    return noted.join(newest, ["ym", "saved"], "left_semi").select("code", "ym", "bars", "first_date", "last_date")
+
+
+def recent_bars(spark: SparkSession, path: str, days, look_back: int = LOOK_BACK, share: float = 0.95) -> DataFrame:
+    """The bars that the signals of some days need, from a store: those of the days' months, and of each code that trades there as
+    many months before as hold look_back bars, or all it has.
+
+    The zones say how far back that is for each code. Most codes (share of them) need the same few months; these are read for all codes.
+    What is older is read only for codes that lack bars since then, as after a suspension, and only as far back as they need. Both limits are
+    scalar subqueries in the partition filters: no job runs while the plan is made, and months beyond them are never listed for reading."""
+    asked = [F.lit(d).cast("date") for d in (days if isinstance(days, (list, tuple)) else [days])]
+    number = lambda d: F.date_format(d, "yyyyMM").cast("int")
+    low, high = (number(f(*asked) if len(asked) > 1 else asked[0]) for f in (F.least, F.greatest))
+    seen = zones(spark, path).filter(F.col("ym") <= high)
+    later = Window.partitionBy("code").orderBy(F.col("ym").desc())
+    before = seen.filter(F.col("ym") < low).withColumn("_n", F.sum("bars").over(later))
+    back = before.groupBy("code").agg(F.coalesce(F.max(F.when(F.col("_n") >= look_back, F.col("ym"))), F.min("ym")).alias("start"))
+    active = seen.filter(F.col("ym") >= low).select("code").distinct()
+    starts = active.join(back, "code", "left").select("code", F.coalesce("start", low).alias("start"))
+    common = F.coalesce(F.percentile_approx("start", 1 - share), low)
+    limits = starts.agg(common.alias("common"), F.coalesce(F.min("start"), low).alias("oldest"))
+    bars = spark.read.parquet(path)
+    bars = (bars.drop("load_seq") if "load_seq" in bars.columns else bars).withColumn("ym", F.col("ym").cast("int"))
+    since = lambda: limits.select("common").scalar()
+    late = bars.filter((F.col("ym") >= since()) & (F.col("ym") <= high))
+    lacking = starts.filter(F.col("start") < since())
+    early = bars.filter((F.col("ym") >= limits.select("oldest").scalar()) & (F.col("ym") < since()))
+    early = early.join(lacking, "code").filter(F.col("ym") >= F.col("start")).select(*bars.columns)
+    return late.unionByName(early)
 
 
 # --- coverage and master ------------------------------------------------------------------------
@@ -192,15 +304,11 @@ def coverage(bars: DataFrame, stored: DataFrame | None = None) -> DataFrame:
         F.coalesce("row_count", "_n").alias("row_count"))
 
 
-def _coverage_path(path: str) -> str:
-    return path.rstrip("/") + "_coverage"
-
-
 def read_coverage(spark: SparkSession, path: str) -> DataFrame:
     """S12 of a store, as its saves kept it: the range of all loads and the rows of the newest load per code.
 
     Saves append a row per code and load; one saved twice, after a failure, changes nothing here."""
-    kept = spark.read.parquet(_coverage_path(path))
+    kept = spark.read.parquet(_beside(path, "coverage"))
     return kept.groupBy("code").agg(F.min("min_date").alias("min_date"), F.max("max_date").alias("max_date"), F.max_by("row_count", "load_seq").alias("row_count"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wickspark.functions.pick import pick_row
 from wickspark.model import BAR_SCHEMA
 from wickspark.sources.bars import load_rank, upsert_bars
 
@@ -31,14 +32,18 @@ def ingest_bars_stream(spark: SparkSession, landing: str, store: str, checkpoint
 
 
 def latest_quotes(ticks: DataFrame, late: str = "1 hour", every: str = "1 day") -> DataFrame:
-    """ST2: newest quote per code and window (of equal ts the largest in the other columns' order); state is dropped once the
+    """ST2: newest quote per code and window (of equal ts the one that `pick_row` says); state is dropped once the
     watermark passes the window.
 
-    ticks: (code, ts, price, ...); works on a stream and on a table."""
+    ticks: (code, ts, price, ...); works on a stream and on a table. Columns other than texts are picked into fixed-width buffers; a stream
+    with texts besides code picks whole rows, the largest of equal ts, and sorts each batch for it."""
+    source = (ticks.withWatermark("ts", late) if ticks.isStreaming else ticks).withColumn("_w", F.window("ts", every))
     rest = [c for c in ticks.columns if c != "code"]
-    source = ticks.withWatermark("ts", late) if ticks.isStreaming else ticks
-    newest = source.groupBy("code", F.window("ts", every).alias("w")).agg(F.max(F.struct("ts", *[c for c in rest if c != "ts"])).alias("_r"))
-    return newest.select("code", F.col("w.start").alias("window_start"), *[f"_r.{c}" for c in rest])
+    if ticks.isStreaming and any(c != "code" and kind in ("string", "binary") for c, kind in ticks.dtypes):
+        newest = source.groupBy("code", "_w").agg(F.max(F.struct("ts", *[c for c in rest if c != "ts"])).alias("_r")).select("code", "_w", "_r.*")
+    else:
+        newest = pick_row(source, ("code", "_w"), F.unix_micros(F.col("ts").cast("timestamp")), F.max_by)
+    return newest.select("code", F.col("_w.start").alias("window_start"), *rest)
 
 
 def ticks_to_bars(ticks: DataFrame, every: str = "1 day") -> DataFrame:

@@ -21,13 +21,13 @@ def coded(df: DataFrame, keep: Iterable[str] = (), values: Mapping[str, Sequence
     by a join with their distinct values, for which that column of df is read once more."""
     keep, values = set(keep), values or {}
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, _TEXT) and f.name not in keep]
-    made = {c: F.array_position(F.array(*map(F.lit, values[c])), F.col(c)).cast("int") if c in values else F.when(F.col(c).isNotNull(), F.xxhash64(c)) for c in texts}
+    made = {c: F.when(F.col(c).isNotNull(), F.array_position(F.array(*map(F.lit, values[c])), F.col(c)).cast("int") if c in values else F.xxhash64(c)) for c in texts}
 
     def back(out: DataFrame) -> DataFrame:
         columns = out.columns
         for c in texts:
             if c in values:
-                out = out.withColumn(c, F.element_at(F.array(*map(F.lit, values[c])), F.col(c)))
+                out = out.withColumn(c, F.when(F.col(c) > 0, F.element_at(F.array(*map(F.lit, values[c])), F.greatest(F.col(c), F.lit(1)))))
             else:
                 known = df.select(F.xxhash64(c).alias("_code"), F.col(c).alias("_text")).filter(F.col("_text").isNotNull()).distinct()
                 out = out.join(known, F.col(c) == F.col("_code"), "left").withColumn(c, F.col("_text")).drop("_code", "_text")

@@ -6,6 +6,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 from test_text_operators import DOCS, near_by_loop, said
 
 import corpus_pipeline
@@ -73,3 +74,23 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_other_columns_keep_their_values(spark, folder_of):
+    """Columns named as those that the operators make, ids with several texts and repeated rows."""
+    folder, rows = folder_of
+    docs = spark.createDataFrame([r for r in rows if r[0] is not None], DOCS).dropDuplicates(["doc_id"])
+    taken = ["lid_pred", "lid_score", "_class", "_place", "_bucket", "_copy", "_source", "mix_size", "mix_copies", "secret_base", "secret_spans", "_row_key", "stays", "n", "kind", "row", "_user_5"]
+    wide = docs.select("*", *[F.concat(F.lit(c), "doc_id").alias(c) for c in taken])
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, wide, folder)
+        assert out.columns == wide.columns, name
+        assert all(r[c] == f"{c}{r.doc_id}" for r in out.collect() for c in taken), name
+
+
+def test_different_texts_of_one_id_stay(spark, tmp_path):
+    rng = random.Random(2)
+    a, b, c = (said(rng, 60) for _ in range(3))
+    rows = [(1, a), (5, a), (5, b), (6, a), (6, a), (7, c), (7, c)]
+    out = corpus_pipeline.near_dedup(spark, spark.createDataFrame([(d, t, "xx", "s", 1) for d, t in rows], DOCS), str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.text) for r in out) == sorted([(1, a), (5, a), (5, b), (7, c)])

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+SMALL_ROWS = 1_000_000
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -26,3 +30,24 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= rows:
         spark.conf.set(name, str(rows))
+
+
+def small_or_not(ids: DataFrame) -> DataFrame:
+    """ids (a cut frame of narrow rows), broadcast if they are counted to be no more than SMALL_ROWS; else joined as Spark would."""
+    return F.broadcast(ids) if ids.count() <= SMALL_ROWS else ids
+
+
+def bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
+    """The first bits of each `hash` (64-bit), as a bitmap of 2 ** bits bits whatever the number of rows; null ones are left out."""
+    at = F.shiftrightunsigned("hash", 64 - bits)
+    words = hashes.filter("hash IS NOT NULL").select(F.shiftrightunsigned(at, 6).alias("at"), F.expr(f"shiftleft(1L, int(shiftrightunsigned(hash, {64 - bits}) & 63))").alias("bit"))
+    got = words.groupBy("at").agg(F.bit_or("bit").alias("bit")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[got["at"].to_numpy()] = got["bit"].to_numpy().view(np.uint64)
+    return out
+
+
+def in_bitmap(hashes: np.ndarray, held: np.ndarray, bits: int) -> np.ndarray:
+    """Whether each hash may be one that the bitmap was made of."""
+    at = hashes.view(np.uint64) >> np.uint64(64 - bits)
+    return (held[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1

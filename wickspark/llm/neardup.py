@@ -11,7 +11,8 @@ then confirmed on their sets, unless a link found before connects them, and the
 
 Scale: signatures are fixed-size. Buckets are counted with map-side combine. Stars make one pair for each node and band. Large
 groups of near copies become one component at once and cost nothing in the second step. Blocks bound memory there. Full
-sets are made only for nodes of pairs whose signatures are alike. Joins on hot keys have both sides exchanged, so Spark's skew join splits them.
+sets are made only for nodes of pairs whose signatures are alike: a bitmap of their ids (2 ** BITS bits, however many) lets each task pick them
+from the texts it scans, which are never shuffled; a full bitmap means more sets made, and the same result. Joins on hot keys have both sides exchanged, so Spark's skew join splits them.
 """
 
 from __future__ import annotations
@@ -24,10 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wickspark.llm.components import components
-from wickspark.llm.frames import cut, small_batches
+from wickspark.llm.frames import bitmap, cut, in_bitmap, small_batches
 from wickspark.llm.words import LOWER_SPACED, Words, grams, mixed, signed, words_of
 
-BANDS, ROWS, BLOCK = 32, 5, 2048
+BANDS, ROWS, BLOCK, BITS = 32, 5, 2048, 27
 HASHES = BANDS * ROWS
 #: Pairs below this share of equal minima aren't confirmed: 5 standard deviations below 0.8.
 LEAST_EQUAL = 0.8 - 5 * (0.8 * 0.2 / HASHES) ** 0.5
@@ -88,14 +89,18 @@ def _scan(size: int):
     return run
 
 
-def _sets(size: int):
+def _sets(size: int, asked):
+    """Sets of the documents whose hashed id is in the bitmap asked for."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = asked.value
         for batch in batches:
-            for words in words_of(batch.column(1), LOWER_SPACED):
+            some = batch.filter(pa.array(in_bitmap(batch.column("hash").to_numpy(), held, BITS)))
+            for words in words_of(some.column(1), LOWER_SPACED):
                 sets, bounds = shingles(words, size)
                 blobs = [sets[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 digests = _digests(sets, bounds)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(words.first, words.count), *digests, pa.array(blobs, pa.binary())], ["node", "d1", "d2", "members"])
+                yield pa.RecordBatch.from_arrays([some.column(0).slice(words.first, words.count), *digests, pa.array(blobs, pa.binary())], ["node", "d1", "d2", "members"])
 
     return run
 
@@ -245,10 +250,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> Dat
 
     def sets_of(asked: DataFrame) -> DataFrame:
         """Full sets of the nodes asked for; of an id with several texts or rows the one that its node stands for."""
-        made = plain.join(asked.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets(shingle), "node bigint, d1 bigint, d2 bigint, members binary")
-        return cut(made.join(nodes.select("node", "d1", "d2"), ["node", "d1", "d2"], "left_semi").dropDuplicates(["node"]).select("node", "members"))
+        held = docs.sparkSession.sparkContext.broadcast(bitmap(asked.select(F.xxhash64("node").alias("hash")), BITS))
+        texts = plain.filter("doc_id IS NOT NULL").select("doc_id", "text", F.xxhash64("doc_id").alias("hash"))
+        made = texts.mapInArrow(_sets(shingle, held), "node bigint, d1 bigint, d2 bigint, members binary")
+        wanted = nodes.select("node", "d1", "d2").join(asked, "node", "left_semi")
+        return cut(made.join(wanted, ["node", "d1", "d2"], "left_semi").dropDuplicates(["node"]).select("node", "members"))
 
-    sets = sets_of(likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct())
+    sets = sets_of(cut(likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()))
     links = cut(_links(likely, sets, percent))
     found = cut(components(links))
 
@@ -264,10 +272,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> Dat
     place = "key bigint, band int, i int, j int, side int, node bigint, component bigint"
     own = nodes.select("node", "n", "minima")
     near = cut(grouped(spread.join(own, "node").select("key", "band", "i", "j", "side", "node", "component", "n", "minima")).mapInArrow(_each_group(lambda g: g.near(percent)), place + ", n bigint").drop("n"))
-    more = sets_of(near.select("node").distinct().join(sets, "node", "left_anti")).union(sets)
+    more = sets_of(cut(near.select("node").distinct().join(sets, "node", "left_anti"))).union(sets)
     full_rows = near.join(own, "node").join(more, "node").select("key", "band", "i", "j", "side", "node", "component", "n", "minima", "members")
-    links = links.union(cut(grouped(full_rows).mapInArrow(_each_group(lambda g: g.links(percent)), "a bigint, b bigint")))
-    answer = scanned.select("doc_id", "n").join(member.select("doc_id", "node"), "doc_id", "left").join(components(links), "node", "left")
+    across = cut(grouped(full_rows).mapInArrow(_each_group(lambda g: g.links(percent)), "a bigint, b bigint"))
+    joined = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(across))
+    answer = scanned.select("doc_id", "n").join(member.select("doc_id", "node"), "doc_id", "left").join(joined, "node", "left")
     component = F.coalesce("component", "node", "doc_id")
     return answer.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id").isNull() | (component == F.col("doc_id"))).alias("kept"))
 

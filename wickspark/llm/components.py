@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wickspark.llm.frames import cut
+from wickspark.llm.frames import cut, released
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
@@ -19,7 +19,8 @@ def components(links: DataFrame) -> DataFrame:
     """links: a, b (long, not null). Returns node, component for each node of a link between two nodes: the smallest node it reaches.
 
     Each round: every node joins its larger neighbours to the least node it sees, then its smaller ones. It ends when the
-    edges stay the same; each is then (node, least node). What the driver sees is a count and a checksum for each round.
+    edges stay the same; each is then (node, least node). What the driver sees is a count and a checksum for each round. The files of a round
+    aren't kept longer than the next one needs them.
     """
     edges = cut(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     seen = None
@@ -32,3 +33,5 @@ def components(links: DataFrame) -> DataFrame:
         large = _with_least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         met = _with_least(large)
         edges = cut(met.select("u", F.col("m").alias("v")).union(met.select(F.col("v").alias("u"), F.col("m").alias("v"))).filter("u <> v").distinct())
+        del both, large, met
+        released(edges.sparkSession)

@@ -25,6 +25,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def released(spark: SparkSession) -> None:
+    """Spark removes the shuffle files of frames that the driver holds no more when the JVM collects its garbage: now."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Texts are long rows: from here on the session sends at most so many of them to Python at once. Results don't depend on it."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

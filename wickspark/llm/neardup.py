@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wickspark.llm.components import components
-from wickspark.llm.frames import bitmap, cut, in_bitmap, small_batches
+from wickspark.llm.frames import bitmap, cut, in_bitmap, released, small_batches
 from wickspark.llm.words import LOWER_SPACED, Words, grams, mixed, signed, words_of
 
 BANDS, ROWS, BLOCK, BITS = 32, 5, 2048, 27
@@ -259,6 +259,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> Dat
     sets = sets_of(cut(likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()))
     links = cut(_links(likely, sets, percent))
     found = cut(components(links))
+    released(docs.sparkSession)
 
     placed = bucketed.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select(F.bitwise_not("key").alias("k"))
@@ -271,6 +272,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80) -> Dat
     grouped = lambda df: df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     place = "key bigint, band int, i int, j int, side int, node bigint, component bigint"
     own = nodes.select("node", "n", "minima")
+    released(docs.sparkSession)
     near = cut(grouped(spread.join(own, "node").select("key", "band", "i", "j", "side", "node", "component", "n", "minima")).mapInArrow(_each_group(lambda g: g.near(percent)), place + ", n bigint").drop("n"))
     more = sets_of(cut(near.select("node").distinct().join(sets, "node", "left_anti"))).union(sets)
     full_rows = near.join(own, "node").join(more, "node").select("key", "band", "i", "j", "side", "node", "component", "n", "minima", "members")

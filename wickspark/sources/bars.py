@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from wickspark.functions.codes import classify_board
 from wickspark.functions.pick import pick_row
 from wickspark.model import BAR_SCHEMA, COVER_END_SLACK, COVER_START_SLACK, LOOK_BACK
-from wickspark.operators.selection import good_rows, judged, quality_check
+from wickspark.operators.selection import judged, quality_check
 
 KEY = ("code", "trade_date")
 BEFORE_ALL = -(2 ** 63)  # load sequence of what is already stored
@@ -140,7 +140,9 @@ def rejected(new: DataFrame, load: str | None = None) -> DataFrame:
 
 def accepted(new: DataFrame, load: str | None = None) -> DataFrame:
     """S3: the rows that a save takes: codes within the boards that pass the quality gate of their load."""
-    return good_rows(new.filter(classify_board(F.col("code")) != "excluded"), [load, "code"] if load else ["code"])
+    keys = [load, "code"] if load else ["code"]
+    inside = new.filter(classify_board(F.col("code")) != "excluded")
+    return inside.join(quality_check(inside, keys).filter("passed").select(*keys), keys, "left_semi")
 
 
 def _newest(stored: DataFrame | None, taken: DataFrame, seq: str | None, keep_seq: bool) -> DataFrame:

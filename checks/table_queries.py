@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from checks import sql as S
 from checks.registry import add
@@ -174,6 +175,32 @@ add("source_daily_summary",
     "WHERE trade_date IN (DATE '2001-10-15', DATE '2001-10-22', DATE '2001-10-29') AND i >= 3 GROUP BY ALL")
 DAYS = ["2001-10-15", "2001-10-22", "2001-10-29"]
 
+
+
+def _csv_report(s, d):
+    """The orders as CSV files of four parts: in one line of ten the price is no number, in one of ten a field is missing."""
+    path = f"{shared_folder(s)}/csv-{uuid.uuid4().hex}"
+    o, kind = A.table(s, d, "orders"), F.col("o_orderkey") % 10
+    price = F.when(kind == 3, F.lit("n/a")).otherwise(F.col("o_totalprice").cast("string"))
+    line = F.concat_ws(",", F.col("o_orderkey").cast("string"), price, F.when(kind != 7, F.to_date("o_orderdate").cast("string")))
+    parts = o.select(line.alias("value"), (F.floor(F.col("o_orderkey") / 10) % 4).alias("part")).repartition("part")
+    parts.write.partitionBy("part").text(f"{path}/csv")
+    schema = T.StructType.fromDDL("order_key bigint, price double, day date")
+    report = X.csv_to_parquet(s, f"{path}/csv", f"{path}/out", schema, header=False)
+    part = F.regexp_extract("source_file", "part=([0-9]+)", 1).cast("long")
+    good = X.converted(s, f"{path}/out").groupBy(part.alias("part")).agg(F.sum(F.col("price").cast("decimal(20,2)")).cast("double").alias("price"), F.max("day").alias("last_day"))
+    lines = X.refused_lines(s, f"{path}/out").groupBy(part.alias("part")).agg(F.sum(F.length(X.BAD_LINE)).alias("bad_chars"))
+    sums = report.groupBy(part.alias("part")).agg(*[F.sum(c).alias(c) for c in ("csv_rows", "parquet_rows", "bad_lines")], F.bool_and("verified").alias("verified"))
+    return sums.join(good, "part").join(lines, "part")
+
+
+add("source_csv_report", _csv_report,
+    """WITH l AS (SELECT (o_orderkey // 10) % 4 AS part, o_orderkey % 10 IN (3, 7) AS bad, o_totalprice AS price, CAST(o_orderdate AS DATE) AS day,
+      length(o_orderkey::VARCHAR) + CASE WHEN o_orderkey % 10 = 3 THEN 15 ELSE 1 END AS n, o_orderkey % 10 = 7 AS short FROM orders)
+    SELECT CAST(part AS BIGINT) AS part, count(*) AS csv_rows, count(*) FILTER (NOT bad) AS parquet_rows, count(*) FILTER (bad) AS bad_lines, true AS verified,
+    CAST(sum(CAST(price AS DECIMAL(20, 2))) FILTER (NOT bad) AS DOUBLE) AS price, max(day) FILTER (NOT bad) AS last_day,
+    CAST(sum(n + CASE WHEN short THEN length(price::VARCHAR) ELSE 0 END) FILTER (bad) AS BIGINT) AS bad_chars FROM l GROUP BY part""")
+
 # --- F1-F24 -------------------------------------------------------------------------------------
 
 add("code_rules",
@@ -493,3 +520,15 @@ add("stream_latest_quotes", lambda s, d: N.latest_quotes(_ticks(s, d)).select("c
     "SELECT event_type AS code, CAST(ts AS DATE) AS day, arg_max(value, ts) AS price, arg_max(event_id, ts) AS seq FROM events GROUP BY 1, 2")
 add("stream_ticks_to_bars", lambda s, d: N.ticks_to_bars(_ticks(s, d)),
     "SELECT event_type AS code, CAST(ts AS DATE) AS trade_date, arg_min(value, event_id) AS open, max(value) AS high, min(value) AS low, arg_max(value, event_id) AS close, count(*) AS ticks FROM events GROUP BY 1, 2")
+
+
+def _latest_table(s, d):
+    """The events as a stream of ticks, kept as a table of the newest one of each kind."""
+    path, events = f"{shared_folder(s)}/latest-{uuid.uuid4().hex}", A.table(s, d, "events")
+    stream = s.readStream.schema(events.schema).parquet(f"{d}/events.parquet*")  # a file or a folder; a stream takes a pattern for either
+    ticks = stream.select(F.col("event_type").alias("code"), "ts", F.col("value").alias("price"), F.col("event_id").alias("seq"))
+    N.latest_table_stream(ticks, f"{path}/table", f"{path}/checkpoint").awaitTermination()
+    return N.read_latest(s, f"{path}/table").select("code", "ts", "price", "seq")
+
+
+add("stream_latest_table", _latest_table, "SELECT event_type AS code, max(ts) AS ts, arg_max(value, ts) AS price, arg_max(event_id, ts) AS seq FROM events GROUP BY 1")

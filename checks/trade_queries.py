@@ -83,6 +83,13 @@ add("trade_equity_curve",
             "g AS (SELECT DISTINCT code, pattern, side FROM trades)", recursive=True)
     + "SELECT code, pattern, side, n.trade_date, round(coalesce(last_value(m.equity IGNORE NULLS) OVER (PARTITION BY code, pattern, side ORDER BY n.i), 1e8::DOUBLE), 2) AS equity "
       "FROM g JOIN num n USING (code) LEFT JOIN marks m USING (code, pattern, side, i)")
+add("trade_equity_market",
+    lambda s, d: T.equity_curve(A.bars(s, d), few_trades(s, d)).groupBy("pattern", "side", "trade_date").agg(
+        F.count("*").alias("accounts"), F.sum(F.round("equity", 0).cast("decimal(20,0)")).cast("double").alias("equity")),
+    S.with_(*ACCOUNTS, "g AS (SELECT DISTINCT code, pattern, side FROM trades)", """per AS (SELECT pattern, side, n.trade_date,
+      CAST(round(coalesce(last_value(m.equity IGNORE NULLS) OVER (PARTITION BY code, pattern, side ORDER BY n.i), 1e8::DOUBLE), 0) AS DECIMAL(20, 0)) AS equity
+      FROM g JOIN num n USING (code) LEFT JOIN marks m USING (code, pattern, side, i))""", recursive=True)
+    + "SELECT pattern, side, trade_date, count(*) AS accounts, CAST(sum(equity) AS DOUBLE) AS equity FROM per GROUP BY ALL")
 add("trade_drawdown", lambda s, d: few_trades(s, d).select("code", "pattern", "side", "trade_no", F.round("hold_max_drawdown", 4).alias("hold_max_drawdown")),
     S.with_(*ACCOUNTS, """run AS (SELECT code, pattern, side, trade_no, at_close, greatest(CASE WHEN side = 'buy' THEN cash_in + size * entry_price ELSE cash_in - size * entry_price END,
         max(at_close) OVER (PARTITION BY code, pattern, side, trade_no ORDER BY i)) AS peak FROM held_bars)""", recursive=True)
@@ -386,6 +393,26 @@ add("metric_quality_report", lambda s, d: M.quality_report(few_scan(s, d), A.uni
     UNION ALL SELECT {S.group_of()}, 0, 0, 0, 1 FROM universe WHERE board = 'excluded'),
     sums AS (SELECT coalesce(market, 'total') AS market, CAST(sum(rows) AS BIGINT) AS rows, CAST(sum(files) AS BIGINT) AS files, CAST(sum(idle) AS BIGINT) AS idle, CAST(sum(issues) AS BIGINT) AS issues FROM lines GROUP BY ROLLUP (market))
     SELECT *, CASE WHEN issues = 0 THEN 'good' WHEN issues < 10 THEN 'warning' ELSE 'error' END AS status FROM sums""".replace("sums AS (SELECT coalesce", "qsums AS (SELECT coalesce").replace("FROM sums", "FROM qsums"))
+
+
+def _timed_scan(s, d):
+    """Performance rows with the time of their load: a day for each code, the doji a day later."""
+    days = A.universe(s, d).select("code", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("key") % 7).cast("int")).alias("day"))
+    return few_scan(s, d).join(days, "code").withColumn("loaded_at", F.date_add("day", F.when(F.col("pattern") == "CDLDOJI", 1).otherwise(0)).cast("timestamp"))
+
+
+def _timed_issues(s, d):
+    return A.universe(s, d).filter("board = 'excluded'").select("code", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("key") % 5).cast("int")).cast("timestamp").alias("loaded_at"))
+
+
+add("metric_quality_report_since", lambda s, d: M.quality_report(_timed_scan(s, d), _timed_issues(s, d), "2024-01-04").select(
+        "market", *[F.col(c).cast("long").alias(c) for c in ("rows", "files", "idle", "issues")], "status"),
+    _SCAN_FEW[:-1] + f""", {S.UNIVERSE}, per AS (SELECT code, side, count(*) AS rows, sum(trades) AS t FROM scan JOIN universe USING (code) GROUP BY code, side
+      HAVING max(DATE '2024-01-01' + (key % 7)::INTEGER + CASE WHEN pattern = 'CDLDOJI' THEN 1 ELSE 0 END) >= DATE '2024-01-04'),
+    lines AS (SELECT {S.group_of()} AS market, rows, 1 AS files, CASE WHEN t = 0 THEN 1 ELSE 0 END AS idle, 0 AS issues FROM per
+    UNION ALL SELECT {S.group_of()}, 0, 0, 0, 1 FROM universe WHERE board = 'excluded' AND DATE '2024-01-01' + (key % 5)::INTEGER >= DATE '2024-01-04'),
+    qsums AS (SELECT coalesce(market, 'total') AS market, CAST(sum(rows) AS BIGINT) AS rows, CAST(sum(files) AS BIGINT) AS files, CAST(sum(idle) AS BIGINT) AS idle, CAST(sum(issues) AS BIGINT) AS issues FROM lines GROUP BY ROLLUP (market))
+    SELECT *, CASE WHEN issues = 0 THEN 'good' WHEN issues < 10 THEN 'warning' ELSE 'error' END AS status FROM qsums""")
 add("metric_db_stats", lambda s, d: M.db_stats(A.universe(s, d), A.bars(s, d)),
     S.with_(S.BARS, S.UNIVERSE, "cov AS (SELECT code, count(*) AS n, min(trade_date) AS a, max(trade_date) AS z FROM bars GROUP BY code)")
     + "SELECT coalesce(board, 'total') AS board, count(*) AS securities, count(a) AS covered, CAST(coalesce(sum(n), 0) AS BIGINT) AS bars, min(a) AS min_date, max(z) AS max_date "
@@ -513,3 +540,30 @@ add("cycle_market_cycles_short",
     lambda s, d: Z.market_cycles(A.bars(s, d), min_days=5).select("code", "start", "end", "days", "change_pct", "start_price", "end_price", "pivot_type", "type"),
     S.with_(S.BARS, _ZIG, _SEGS, _SUB.format(d2=10), recursive=True)
     + f"SELECT {_SEG_COLS}, CASE WHEN change_pct >= 5 THEN 'up' WHEN change_pct <= -5 THEN 'down' ELSE 'flat' END AS type FROM parts WHERE days >= 5")
+
+
+# --- rules given as code --------------------------------------------------------------------------
+
+
+def _turns(least: int = 3):
+    """A rule as Python: the first rise after a run of falls buys, the first fall after a run of rises sells."""
+
+    def decide(bars, least=least):
+        run, buy, sell, last = 0, [], [], None
+        for close in bars["close"]:
+            move = 0 if last is None else (close > last) - (close < last)
+            buy.append(move > 0 and run <= -least)
+            sell.append(move < 0 and run >= least)
+            run = run + move if move * run > 0 else move
+            last = close
+        return bars.assign(buy=buy, sell=sell)
+
+    return R.rule_of_code(decide, ("close",))
+
+
+_TURNS = ("mv AS (SELECT *, sign(close - lag(close) OVER (PARTITION BY code ORDER BY trade_date))::INT AS m FROM bars)",
+          "ml AS (SELECT *, " + ", ".join(f"lag(m, {k}) OVER (PARTITION BY code ORDER BY trade_date) AS m{k}" for k in (1, 2, 3)) + " FROM mv)",
+          "flags AS (SELECT code, trade_date, open, close, coalesce(m = 1 AND m1 = -1 AND m2 = -1 AND m3 = -1, false) AS buy, coalesce(m = -1 AND m1 = 1 AND m2 = 1 AND m3 = 1, false) AS sell FROM ml)")
+add("rule_of_code", lambda s, d: _turns()(A.bars(s, d)).select("code", "trade_date", "buy", "sell"),
+    S.with_(S.BARS, *_TURNS) + "SELECT code, trade_date, buy, sell FROM flags")
+add("trade_rule_of_code", lambda s, d: R.flag_trades(_turns()(A.bars(s, d))).filter("NOT is_open").select(*_FT), _flag_sql(_TURNS) + _FSQL)

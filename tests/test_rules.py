@@ -209,3 +209,34 @@ def test_registry_takes_own_rule(spark, data):
     R.register("monday", lambda bars: bars.selectExpr("*", "dayofweek(trade_date) = 2 AS buy", "dayofweek(trade_date) = 5 AS sell"))
     assert R.flag_trades(R.RULES["monday"](spark.createDataFrame(data))).count() > 0
     del R.RULES["monday"]
+
+
+def test_rule_of_code(spark, data):
+    """A stop that trails the highest close since the rule last spoke: state that columns can't carry."""
+    def decide(bars, fall=0.01):
+        top, buy, sell = None, [], []
+        for close in bars["close"]:
+            top = close if top is None else max(top, close)
+            hit = close < top * (1 - fall)
+            sell.append(hit)
+            buy.append(not hit and close == top)
+            top = close if hit else top
+        return bars.assign(buy=pd.array(buy, "boolean"), sell=sell)
+
+    bars = spark.createDataFrame(data)
+    rule = R.rule_of_code(decide)
+    got = rule(bars, fall=0.02).toPandas()
+    assert list(got.columns) == ["code", "trade_date", "bar_idx", "open", "close", "buy", "sell"] and len(got) == len(data)
+    for code, g in data.sort_values("trade_date").groupby("code"):
+        want, mine = decide(g, 0.02), got[got.code == code].sort_values("trade_date")
+        assert list(mine.buy) == list(want.buy) and list(mine.sell) == list(want.sell) and list(mine.bar_idx) == list(range(len(g)))
+    R.register("trailing", rule)
+    sweep = R.param_sweep(bars, "trailing", [{"fall": 0.01}, {"fall": 0.05}]).toPandas()
+    del R.RULES["trailing"]
+    assert set(sweep.set_no) == {0, 1} and rule(bars.filter("code = 'none'")).count() == 0
+
+
+@pytest.mark.parametrize("wrong", [lambda b: b, lambda b: b.assign(buy=1.5, sell=False), lambda b: b.iloc[:1].assign(buy=True, sell=False), lambda b: None])
+def test_rule_of_code_checks_what_it_gets(spark, data, wrong):
+    with pytest.raises(Exception, match="returns a frame with buy and sell|is not boolean"):
+        R.rule_of_code(wrong)(spark.createDataFrame(data)).count()

@@ -10,7 +10,7 @@ from pyspark.sql.types import StructType
 
 from wickspark.functions.pick import pick_row
 from wickspark.model import BAR_SCHEMA
-from wickspark.operators import daily as D_, ordered, selection as F_
+from wickspark.operators import daily as D_, metrics as M_, ordered, selection as F_
 from wickspark.sources import bars as B, files as X, text as Q
 from wickspark.streaming import ingest as N
 
@@ -313,3 +313,57 @@ def test_good_rows_keep_texts_and_read_once(spark):
     assert sorted((r.code, r.note) for r in got) == [("600000.SH", f"n{D(2024, 1, 1) + dt.timedelta(days=7 * k)}") for k in range(5)]
     assert F_.good_rows(raw).columns == raw.columns
     assert {r.code: r.reason for r in F_.quality_check(raw).collect()} == {"600000.SH": None, "600001.SH": "duplicate date", "600002.SH": "null trade_date"}
+
+
+# --- files with faults, load times, the latest table --------------------------------------------------
+
+def test_csv_with_broken_lines(spark, folder):
+    os.makedirs(f"{folder}/csv/below")
+    texts = {"a.csv": "code,close\n600000.SH,1.5\n600001.SH,x\n\n600002.SH\n  \n600003.SH,2.5,9\n600004.SH,\n", "below/b.csv": "code,close\n", "c.csv": "code,close\nz,1"}
+    for name, text in texts.items():
+        with open(f"{folder}/csv/{name}", "w") as f:
+            f.write(text)
+    schema = StructType.fromDDL("code string, close double")
+    rep = {r.source_file.rsplit("/", 1)[1]: tuple(r)[1:] for r in X.csv_to_parquet(spark, f"{folder}/csv", f"{folder}/pq", schema).collect()}
+    assert rep == {"a.csv": (5, 2, 3, True), "b.csv": (0, 0, 0, True), "c.csv": (1, 1, 0, True)}
+    assert sorted((r.code, r.close) for r in X.converted(spark, f"{folder}/pq").collect()) == [("600000.SH", 1.5), ("600004.SH", None), ("z", 1.0)]
+    assert sorted(r.bad_line for r in X.refused_lines(spark, f"{folder}/pq").collect()) == ["600001.SH,x", "600002.SH", "600003.SH,2.5,9"]
+    with pytest.raises(ValueError):
+        X.csv_to_parquet(spark, f"{folder}/csv", f"{folder}/no", StructType.fromDDL("bad_line string"))
+
+
+def test_quality_report_since(spark, folder):
+    rows = [("600000.SH", "buy", "P", 3), ("600000.SH", "sell", "P", 0), ("DJI", "buy", "P", 0)]
+    for k, row in enumerate(rows):
+        spark.createDataFrame([row], "code string, side string, pattern string, trades int").coalesce(1).write.parquet(f"{folder}/perf/load={k}")
+        for name in os.listdir(f"{folder}/perf/load={k}"):
+            os.utime(f"{folder}/perf/load={k}/{name}", (1_700_000_000 + 100 * k,) * 2)
+    perf = X.read_performance(spark, f"{folder}/perf")
+    issues = spark.sql("SELECT '600009.SH' AS code, timestamp_seconds(1700000050) AS loaded_at UNION ALL SELECT 'SPX', timestamp_seconds(1700000150) UNION ALL SELECT 'N225', NULL")
+    since = dt.datetime.fromtimestamp(1_700_000_100, dt.timezone.utc)
+    report = lambda at: {r.market: (r.rows, r.files, r.idle, r.issues, r.status) for r in M_.quality_report(perf, issues, at).collect()}
+    assert report(since) == {"stock": (1, 1, 1, 0, "good"), "index": (1, 1, 1, 1, "warning"), "total": (2, 2, 2, 1, "warning")}
+    assert report(None) == {"stock": (2, 2, 1, 1, "warning"), "index": (1, 1, 1, 2, "warning"), "total": (3, 3, 2, 3, "warning")}
+
+
+def test_latest_table_resumes_and_repeats(spark, folder):
+    """Ticks in several files, late and equal ones among them: one, two or all files a batch give the table of all ticks; a batch may be repeated."""
+    at = lambda h: dt.datetime(2024, 1, 5, h)
+    files = [[("a", at(10), 1.0, "x"), ("b", at(9), 2.0, None)], [("a", at(12), 3.0, "y"), ("a", at(12), 4.0, "z")], [("a", at(11), 5.0, "late"), ("c", dt.datetime(2020, 1, 1), 6.0, "old")], [("d", None, 7.0, "q")]]
+    schema = StructType.fromDDL("code string, ts timestamp, price double, note string")
+    want = sorted(map(tuple, N.newest_of(spark.createDataFrame([r for f in files for r in f], schema)).collect()))
+    assert [w[0] for w in want] == ["a", "b", "c", "d"] and want[0][1] == at(12)
+    for n in (1, 2, 10):
+        land, path = f"{folder}/land{n}", f"{folder}/latest{n}"
+        for k, rows in enumerate(files):
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(land)
+            if k % 2:
+                N.latest_table_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", n).parquet(land), path, f"{path}_cp").awaitTermination()
+        assert sorted(map(tuple, N.read_latest(spark, path).collect())) == want
+        last = max(int(f) for f in os.listdir(f"{path}_cp/commits") if f.isdigit())
+        for name in (f"{last}", f".{last}.crc"):
+            os.remove(f"{path}_cp/commits/{name}")  # as if the driver was lost before it could note the last batch
+        N.latest_table_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", n).parquet(land), path, f"{path}_cp").awaitTermination()
+        assert sorted(map(tuple, N.read_latest(spark, path).collect())) == want
+    with pytest.raises(ValueError):
+        N.read_latest(spark, f"{folder}/none")

@@ -144,3 +144,24 @@ def test_market_totals(spark, data):
     total = scan.groupBy().sum("trades").first()[0]
     assert M.market_wide_stats(scan).groupBy().sum("trades").first()[0] == total
     assert scan.count() == 30 * 6
+
+
+def test_equity_curve_by_loop(spark):
+    """Every bar of every account against its trades one by one; long flat stretches and one bar accounts among them."""
+    data = random_bars(6, 300, 5, step=0.25)
+    bars = spark.createDataFrame(data)
+    trades = T.select_trades(T.candidate_trades(bars, ["CDLENGULFING", "CDLDOJI", "CDLDARKCLOUDCOVER"]))
+    curve, done = T.equity_curve(bars, trades).toPandas(), trades.toPandas()
+    accounts, bars_seen = 0, 0
+    for key, own in done.groupby(["code", "pattern", "side"]):
+        g = data[data.code == key[0]].sort_values("trade_date")
+        closes, want = list(g.close), [1e8] * len(g)
+        for t in own.sort_values("trade_no").to_dict("records"):
+            sign = 1 if t["side"] == "buy" else -1
+            for i in range(t["entry_idx"], len(closes)):
+                held = i < t["entry_idx"] + t["held_bars"]
+                want[i] = t["cash_in"] + sign * t["size"] * closes[i] if held and not (t["exit_reason"] == "end" and i == len(closes) - 1) else t["cash_out"]
+        mine = curve[(curve.code == key[0]) & (curve.pattern == key[1]) & (curve.side == key[2])].sort_values("trade_date")
+        assert list(mine.trade_date) == list(g.trade_date) and all(abs(a - b) < 1e-3 for a, b in zip(mine.equity, want))
+        accounts, bars_seen = accounts + 1, bars_seen + len(g)
+    assert accounts > 5 and len(curve) == bars_seen

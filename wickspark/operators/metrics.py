@@ -164,11 +164,17 @@ def performance_stats(performance: DataFrame) -> DataFrame:
         F.round(F.avg("return_pct"), 2).alias("avg_return"))
 
 
-def quality_report(performance: DataFrame, issues: DataFrame | None = None) -> DataFrame:
+def quality_report(performance: DataFrame, issues: DataFrame | None = None, since=None) -> DataFrame:
     """Rows, tables (code, side) and traded-less tables per market, with a grand total and a status.
 
-    issues: (code, ...) rows that failed to load."""
-    per_file = performance.groupBy("code", "side").agg(F.count("*").alias("rows"), F.sum("trades").alias("t"))
+    issues: (code, ...) rows that failed to load.  since: only tables of which a row was loaded then or later, and issues of that
+    time, count; both frames need `loaded_at` then (`files.read_performance` gives it). A row or issue without a time is older than any."""
+    per_file = performance.groupBy("code", "side").agg(
+        F.count("*").alias("rows"), F.sum("trades").alias("t"), *([F.max("loaded_at").alias("newest")] if since is not None else []))
+    if since is not None:
+        first = F.lit(since).cast("timestamp")
+        per_file = per_file.filter(F.col("newest") >= first)
+        issues = issues.filter(F.col("loaded_at") >= first) if issues is not None else None
     perf = per_file.select(perf_group(F.col("code")).alias("market"), "rows",
                            F.lit(1).alias("files"), (F.col("t") == 0).cast("int").alias("idle"),
                            F.lit(0).alias("issues"))

@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -214,6 +215,41 @@ def register(name: str, rule: Callable[..., DataFrame]) -> None:
     RULES[name] = rule
 
 
+def rule_of_code(decide: Callable[..., pd.DataFrame], needs: Iterable[str] = ("open", "high", "low", "close", "vol")) -> Callable[..., DataFrame]:
+    """A rule written as plain Python, for what columns can't say: state that each bar takes on from the one before.
+
+    decide(bars, **parameters) gets the bars of one code by date, as a pandas frame with trade_date, bar_idx and the columns it needs, and
+    returns one with boolean `buy` and `sell` for the same bars; anything else ends the query with the code's name. A null flag is no flag.
+    Codes are dealt by hash and handed over as Arrow batches; a code is bounded by the calendar (one row a day). The result can be registered,
+    traded and swept like any rule."""
+    needs = tuple(dict.fromkeys(("open", "close", *needs)))
+    shown = _BAR
+
+    def checked(flags, own: pd.DataFrame) -> dict:
+        code = own["code"].iloc[0]
+        if not isinstance(flags, pd.DataFrame) or len(flags) != len(own) or not {"buy", "sell"} <= set(flags.columns):
+            raise ValueError(f"{code}: a rule returns a frame with buy and sell for each of the {len(own)} bars")
+        out = {}
+        for side in ("buy", "sell"):
+            values = flags[side].astype(object).where(flags[side].notna(), False)
+            if not values.map(lambda v: v is True or v is False or type(v).__name__ in ("bool", "bool_")).all():
+                raise ValueError(f"{code}: {side} is not boolean")
+            out[side] = values.astype(bool).to_numpy()
+        return out
+
+    def rule(bars: DataFrame, **parameters) -> DataFrame:
+        rows = candles.bar_index(bars).select("code", "trade_date", "bar_idx", *needs)
+        kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+
+        def run(own: pd.DataFrame) -> pd.DataFrame:
+            own = own.sort_values("trade_date", ignore_index=True)
+            return own[list(shown)].assign(**checked(decide(own.copy(), **parameters), own))
+
+        return rows.groupBy("code").applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in shown) + ", buy boolean, sell boolean")
+
+    return rule
+
+
 # --- T10 ----------------------------------------------------------------------------------------
 
 _TRADE = "struct<entry_date:date,entry_price:double,exit_date:date,exit_price:double,size:double,cash_out:double,is_open:boolean>"

@@ -25,6 +25,7 @@ from wickspark.operators.selection import fill_forward_zero
 
 KEYS = ("code", "pattern", "side")
 NEVER = 2147483647
+SPAN = 64  # bars of one run, by which bars meet stretches of an account
 PAGE = 64  # trades are appended page by page: appending to one long array would copy it every time
 WHOLE = ("OVER (PARTITION BY code ORDER BY trade_date "
          "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
@@ -245,11 +246,11 @@ def marks(trades: DataFrame, keys: Iterable[str] = KEYS) -> DataFrame:
     settles = ("exit_reason <> 'end' AND entry_idx + held_bars <= last_idx "
                "AND (_next IS NULL OR _next <> entry_idx + held_bars)")
     rows = held.selectExpr(
-        *dict.fromkeys((*keys, "side")), "trade_no", "entry_idx", "pnl_pct AS _pnl_pct", "held_bars AS _held_bars",
+        *dict.fromkeys((*keys, "side")), "trade_no", "entry_idx", "last_idx", "pnl_pct AS _pnl_pct", "held_bars AS _held_bars",
         "hold_days AS _hold_days",
         f"posexplode(IF({settles}, concat(_held, array(cash_out)), _held)) AS (_at, equity)")
     return rows.selectExpr(
-        *dict.fromkeys((*keys, "side")), "trade_no", "entry_idx + _at AS bar_idx", "equity",
+        *dict.fromkeys((*keys, "side")), "trade_no", "entry_idx + _at AS bar_idx", "last_idx", "equity",
         "IF(_at = 0, round(_pnl_pct, 2), NULL) AS pnl_pct", "IF(_at = 0, _held_bars, NULL) AS held_bars",
         "IF(_at = 0, _hold_days, NULL) AS hold_days")
 
@@ -264,15 +265,20 @@ def marked_returns(marks_: DataFrame, cash: float = START_CASH, keys: Iterable[s
 
 
 def equity_curve(bars: DataFrame, trades: DataFrame, cash: float = START_CASH) -> DataFrame:
-    """T6 per bar: every bar of every account that traded, flat stretches filled forward."""
-    index = bar_index(bars)
-    held = trades.select(*KEYS).distinct()
-    grid = held.join(index.select("code", "trade_date", "bar_idx"), "code")
-    full = grid.join(marks(trades).select(*KEYS, "bar_idx", F.col("equity").alias("_e")),
-                     [*KEYS, "bar_idx"], "left")
-    part = "OVER (PARTITION BY code, pattern, side ORDER BY bar_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    return full.selectExpr(*KEYS, "trade_date", "bar_idx",
-                           f"coalesce(last(_e, true) {part}, {cash}D) AS equity")
+    """T6 per bar: every bar of every account that traded.
+
+    An account is first cut into stretches of equal equity: from each mark to the bar before the next one, and from the first bar to
+    the first mark.  Only marks are sorted.  A stretch meets its bars by (code, run of SPAN bars), so no account is ever held or sorted
+    bar by bar, however long it lies flat, and a code with many accounts is spread over its runs."""
+    own = f"OVER (PARTITION BY {', '.join(KEYS)} ORDER BY bar_idx)"
+    cut = marks(trades).selectExpr(
+        *KEYS, "equity", "bar_idx AS lo", f"coalesce(lead(bar_idx) {own} - 1, last_idx) AS hi", f"lag(bar_idx) {own} IS NULL AND bar_idx > 0 AS _first")
+    this = "named_struct('lo', lo, 'hi', hi, 'equity', equity)"
+    before = f"named_struct('lo', 0, 'hi', lo - 1, 'equity', {cash}D)"
+    stretches = cut.selectExpr(*KEYS, f"explode(IF(_first, array({before}, {this}), array({this}))) AS _s").selectExpr(*KEYS, "_s.*")
+    runs = stretches.selectExpr("*", f"explode(sequence(lo div {SPAN}, hi div {SPAN})) AS _run")
+    index = bar_index(bars).selectExpr("code", "trade_date", "bar_idx", f"bar_idx div {SPAN} AS _run")
+    return index.join(runs, ["code", "_run"]).filter("bar_idx BETWEEN lo AND hi").select(*KEYS, "trade_date", "bar_idx", "equity")
 
 
 # --- T13, T14 -----------------------------------------------------------------------------------

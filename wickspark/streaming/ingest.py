@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from wickspark.functions.pick import pick_row
 from wickspark.model import BAR_SCHEMA
-from wickspark.sources.bars import load_rank, upsert_bars
+from wickspark.sources.bars import _Files, load_rank, upsert_bars
 
 
 def ingest_bars_stream(spark: SparkSession, landing: str, store: str, checkpoint: str,
@@ -46,6 +46,46 @@ def latest_quotes(ticks: DataFrame, late: str = "1 hour", every: str = "1 day")
     return newest.select("code", F.col("_w.start").alias("window_start"), *rest)
 
 
+def _versions(files: _Files, path: str) -> dict[int, str]:
+    """Finished versions of a latest table, by batch."""
+    found = (f for f in files.folders(path) if "/batch=" in f and files.exists(f"{f}/_SUCCESS"))
+    return {int(f.rsplit("=", 1)[1]): f for f in found}
+
+
+def newest_of(ticks: DataFrame) -> DataFrame:
+    """ST2: the newest tick of each code (code, ts, ...), of equal ts the one that `pick_row` says. Ticks without ts are older than any."""
+    return pick_row(ticks, ("code",), F.unix_micros(F.col("ts").cast("timestamp")), F.max_by)
+
+
+def latest_table_stream(ticks: DataFrame, path: str, checkpoint: str):
+    """ST2: keeps a table with the newest tick of each code ever seen, read by `read_latest`.
+
+    Each micro-batch is picked down to a row per code, met with the table as the batch before left it, and written as a version of its own.
+    The stream holds no state, so nothing is too late, and the table is what `newest_of` makes of all ticks however they are dealt
+    to batches. A batch that is repeated after a failure starts from the same version and writes the same rows; a version counts once
+    it is finished. The table has a row for each code, whatever the number of ticks; the last two versions are kept."""
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        files = _Files(spark, path)
+        done = _versions(files, path)
+        earlier = sorted(b for b in done if b < batch_id)
+        rows = spark.read.schema(batch.schema).parquet(done[earlier[-1]]).unionByName(batch) if earlier else batch
+        newest_of(rows).write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch_id}")
+        for b in earlier[:-1]:
+            files.remove(done[b])
+
+    return ticks.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_latest(spark: SparkSession, path: str) -> DataFrame:
+    """ST2: the newest finished version of a table that `latest_table_stream` keeps."""
+    done = _versions(_Files(spark, path), path)
+    if not done:
+        raise ValueError(f"no finished version in {path}")
+    return spark.read.parquet(done[max(done)])
+
+
 def ticks_to_bars(ticks: DataFrame, every: str = "1 day") -> DataFrame:
     """Tumbling bars from ticks (code, ts, price, seq), the first and last price by seq."""
     source = ticks.withWatermark("ts", "1 hour") if ticks.isStreaming else ticks

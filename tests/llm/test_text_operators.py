@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -313,6 +314,19 @@ def test_inline_elements_keep_their_text():
     assert "rights" in named("some words " * 30 + "all rights reserved") and "no letters" not in named("12 " * 100 + "a") and "no letters" in named("12 " * 100)
 
 
+def test_hostile_pages_take_linear_time():
+    size = 1_000_000
+    shapes = [
+        "<div>x" * (size // 6), "<b>" * (size // 12) + "<p>x</p>" * (size // 12), "<b>" * (size // 7) + "</i>" * (size // 7), "<nav class='menu side'>x" * (size // 25), "<li>x" * (size // 5),
+        "<table>" * (size // 14) + "<td>x" * (size // 10), "<a '" * (size // 4), "<!--" * (size // 4), "<a " + "b" * size + ">", "<a " + "b=" * (size // 2) + ">", "<title>" * (size // 7), "&" * size,
+    ]
+    for page in shapes:
+        start = time.process_time()
+        pages.blocks(page)
+        assert time.process_time() - start < 8, page[:20]  # seconds; a walk of all open elements for each tag takes minutes
+    assert pages.blocks("<p>a&#" + "9" * 5000 + ";b&#" + "0" * 5000 + "65;c &#65 &#x41; &#; &amp;")[0] == ["a\ufffdbAc A A &#; &"]
+
+
 def test_field_on_pages_it_has_not_seen():
     model, wrong, n = pages.trained(), 0, 0
     for page, marks in pages.labelled_pages(60, seed=123):

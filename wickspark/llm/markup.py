@@ -7,8 +7,9 @@ import re
 
 # One alternative for each kind of markup; none can fail after it has begun, so a scan is linear. An unclosed tag ends with the page.
 _MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>])*)>?""", re.S)
-_ATTRIBUTE = re.compile(r"""([a-zA-Z_:-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_ATTRIBUTE = re.compile(r"""(?<![a-zA-Z_:-])([a-zA-Z_:-]++)\s*+=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _LETTERS = re.compile(r"[a-zA-Z]+")
+_DECIMAL = re.compile(r"&#0*+([0-9]*+)(?<=[0-9]);?")
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -45,6 +46,13 @@ _LEAF = {"p": "p", "h1": "h", "h2": "h", "h3": "h", "h4": "h", "h5": "h", "h6":
 _RIGHTS = re.compile(r"©|\(c\)|copyright|all rights reserved", re.I)
 
 
+def _decoded(text: str) -> str:
+    """Character references decoded, however many digits they have; one beyond the last code point is U+FFFD."""
+    if "&#" in text:
+        text = _DECIMAL.sub(lambda m: f"&#{m[1] or 0};" if len(m[1]) < 8 else "\ufffd", text)
+    return html.unescape(text)
+
+
 def _element(tag: str, attributes: str) -> tuple[int, ...]:
     """Features that an element gives to all below it."""
     name = "h" if tag in ("h1", "h2", "h3", "h4", "h5", "h6") else tag
@@ -61,13 +69,55 @@ def _element(tag: str, attributes: str) -> tuple[int, ...]:
     return tuple(found)
 
 
+class _Open:
+    """The open elements, with what a block asks of them at hand: nothing here looks through the whole stack."""
+
+    def __init__(self) -> None:
+        self.elements: list[tuple[str, tuple[int, ...]]] = []
+        self.places: dict[str, list[int]] = {}  # of each tag, ascending
+        self.blocks: list[str] = []
+        self.leaves: list[str] = []
+        self.counts = [0] * len(FEATURES)
+        self.given: set[int] = set()
+
+    def push(self, tag: str, given: tuple[int, ...]) -> None:
+        self.places.setdefault(tag, []).append(len(self.elements))
+        self.elements.append((tag, given))
+        if tag in BLOCKS:
+            self.blocks.append(tag)
+        if tag in _LEAF:
+            self.leaves.append(_LEAF[tag])
+        for f in given:
+            self.counts[f] += 1
+            if self.counts[f] == 1:
+                self.given.add(f)
+
+    def last(self, tags: set[str] | tuple[str, ...]) -> int:
+        """Place of the innermost element of these tags; -1: none is open."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def cut(self, place: int) -> None:
+        """Closes the element at this place and all within it."""
+        while len(self.elements) > place:
+            tag, given = self.elements.pop()
+            self.places[tag].pop()
+            if tag in BLOCKS:
+                self.blocks.pop()
+            if tag in _LEAF:
+                self.leaves.pop()
+            for f in given:
+                self.counts[f] -= 1
+                if not self.counts[f]:
+                    self.given.discard(f)
+
+
 def blocks(page: str) -> tuple[list[str], list[list[int]]]:
     """Texts of the leaf blocks in page order (character references decoded, white space as one space, trimmed, never
     empty) and the features of each. The content of script, style, template, textarea, title, iframe and noscript is left
-    out; math, svg, object and canvas are inline elements like any other."""
+    out; math, svg, object and canvas are inline elements like any other. Time is linear in the page, however deep it is."""
     texts: list[str] = []
     features: list[list[int]] = []
-    stack: list[tuple[str, tuple[int, ...]]] = []
+    opened = _Open()
     parts: list[str] = []
     linked = 0
     known: dict[tuple[str, str], tuple[int, ...]] = {}
@@ -76,12 +126,10 @@ def blocks(page: str) -> tuple[list[str], list[list[int]]]:
     def close() -> None:
         nonlocal linked
         if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
+            text = " ".join(_decoded("".join(parts)).split())
             if text:
-                own = {0}
-                for _, given in stack:
-                    own.update(given)
-                own.add(_NUMBER["leaf " + next((_LEAF[t] for t, _ in reversed(stack) if t in _LEAF), "other")])
+                own = {0} | opened.given
+                own.add(_NUMBER["leaf " + (opened.leaves[-1] if opened.leaves else "other")])
                 n = text.count(" ") + 1
                 own.add(_NUMBER[f"words {(n > 2) + (n > 6) + (n > 15) + (n > 40)}"])
                 if linked:
@@ -97,14 +145,13 @@ def blocks(page: str) -> tuple[list[str], list[list[int]]]:
             parts.clear()
         linked = 0
 
-    at, links = 0, 0
-    end = len(page)
+    at, end = 0, len(page)
     while at < end:
         m = _MARKUP.search(page, at)
         piece = page[at : m.start() if m else end]
         if piece:
             parts.append(piece)
-            if links:
+            if opened.places.get("a"):
                 linked += len(piece)
         if m is None:
             break
@@ -116,11 +163,8 @@ def blocks(page: str) -> tuple[list[str], list[list[int]]]:
         if m[1]:
             if tag in BLOCKS:
                 close()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    links -= sum(t == "a" for t, _ in stack[k:])
-                    del stack[k:]
-                    break
+            if opened.places.get(tag):
+                opened.cut(opened.places[tag][-1])
             continue
         if tag in RAW:
             if not m[3].endswith("/"):
@@ -129,26 +173,19 @@ def blocks(page: str) -> tuple[list[str], list[list[int]]]:
             continue
         if tag in BLOCKS:
             close()
-            open_p = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in BLOCKS), -1)
-            if open_p >= 0 and stack[open_p][0] == "p":
-                links -= sum(t == "a" for t, _ in stack[open_p:])
-                del stack[open_p:]
+            if opened.blocks and opened.blocks[-1] == "p":
+                opened.cut(opened.places["p"][-1])
             if tag in _ENDS:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in _HOLDS[tag]:
-                        break
-                    if stack[k][0] in _ENDS[tag]:
-                        links -= sum(t == "a" for t, _ in stack[k:])
-                        del stack[k:]
-                        break
+                ended = opened.last(_ENDS[tag])
+                if ended > opened.last(_HOLDS[tag]):
+                    opened.cut(ended)
         elif tag == "br":
             parts.append(" ")
         if tag not in VOID and not m[3].endswith("/"):
             key = (tag, m[3])
             if key not in known:
                 known[key] = _element(tag, m[3])
-            stack.append((tag, known[key]))
-            links += tag == "a"
+            opened.push(tag, known[key])
     close()
     has_article = any(in_article in f for f in features)
     for k, own in enumerate(features):

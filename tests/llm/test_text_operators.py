@@ -66,6 +66,17 @@ def test_grams_depend_on_the_words_only():
     assert grams(b, 3)[1].tolist() == [True, True, False, False] and not grams(b, 5)[1].any()
 
 
+def test_fingerprints_are_the_least_grams_of_windows():
+    words = next(iter(words_of(pa.array([said(random.Random(2), 300), "ba be bio", "ba " * 40, said(random.Random(3), 13)]), ALNUM)))
+    hashes, (_, whole) = grams(words, 8)[0], grams(words, 13)
+    want = {}
+    for w in np.flatnonzero(whole):
+        want.setdefault(min(range(w, w + 6), key=lambda p: (hashes[p], p)), []).append(w)
+    got = decontamination.fingerprints(words, 13, 8)
+    assert [(a, m, h) for a, m, h in zip(*(x.tolist() for x in got), strict=True)] == [(w[0], len(w), hashes[p]) for p, w in sorted(want.items(), key=lambda x: x[1])]
+    assert sum(got[1]) == whole.sum() > 1.5 * len(got[0]) and all(w == list(range(w[0], w[0] + len(w))) for w in want.values())
+
+
 def test_contamination(spark, corpus):
     rng = random.Random(8)
     docs = [(r[0], r[1]) for r in corpus]

@@ -62,6 +62,34 @@ def _vendor(s, d):
 add("source_normalize_vendor", _vendor,
     S.with_(S.SOURCES) + "SELECT code, trade_date, open, high, low, close, CASE source WHEN 'N' THEN vol * 100 ELSE vol END AS vol, CASE source WHEN 'A' THEN vol * close END AS amount, "
     "NULL::DOUBLE AS pct_chg, CASE source WHEN 'R' THEN (vol / 1000) * 100 END AS turnover_rate FROM srcs")
+
+
+def _vendor_indexes(s, d):
+    """Bars as the other vendors would send them: indexes by the number of letters in their code, the rest by board."""
+    b = A.bars(s, d).withColumn("board", K.classify_board(F.col("code")))
+    home, day = F.col("code").rlike(r"\.(SH|SZ|BJ)$"), F.col("trade_date")
+    frame = lambda cond, date, *more: b.filter(cond).select(date.alias("date"), "code", "open", "high", "low", "close", F.col("vol").alias("volume"), *more)
+    sent = {
+        "index_cn": frame(home & (F.col("board") == "index") & F.col("code").endswith(".SH"), day.cast("string")),
+        "index_us": frame(~home & (F.length("code") == 3), F.date_format(day, "yyyy-MM-dd HH:mm:ss"), (F.col("vol") * F.col("close")).alias("amount")),
+        "index_global": frame(~home & (F.length("code") > 3), day),
+        "stock_plain": frame(home & (F.col("board") != "index"), day.cast("string")),
+        "index_lots": b.filter(home & (F.col("board") == "index") & ~F.col("code").endswith(".SH")).select(
+            F.date_format(day, "yyyyMMdd").alias("trade_date"), F.col("code").alias("ts_code"), "open", "high", "low", "close", "vol",
+            (F.col("vol") * 2).alias("amount"), F.when(F.col("vol") > 50, F.col("open")).otherwise(F.lit(float("nan"))).alias("pct_chg")),
+    }
+    out = None
+    for layout, raw in sent.items():
+        part = B.normalize_vendor(raw, layout).withColumn("layout", F.lit(layout))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+add("source_vendor_indexes", _vendor_indexes,
+    S.with_(S.BARS, f"""b AS (SELECT *, CASE WHEN NOT regexp_matches(code, '\\.(SH|SZ|BJ)$') THEN CASE WHEN length(code) = 3 THEN 'index_us' ELSE 'index_global' END
+      WHEN {S.board_of()} <> 'index' THEN 'stock_plain' WHEN code LIKE '%.SH' THEN 'index_cn' ELSE 'index_lots' END AS layout FROM bars)""")
+    + "SELECT code, trade_date, open, high, low, close, vol, CASE layout WHEN 'index_lots' THEN vol * 2 END AS amount, "
+    "CASE WHEN layout = 'index_lots' AND vol > 50 THEN open END AS pct_chg, NULL::DOUBLE AS turnover_rate, layout FROM b")
 add("source_merged_performance",
     lambda s, d: X.merged_performance(few_scan(s, d).withColumn("trades", F.lit(-1).cast("long")).filter("side = 'buy'"), few_scan(s, d).filter("pattern <> 'CDLDOJI'"))
     .select("code", "pattern", "side", "trades", "return_pct"),

@@ -207,6 +207,7 @@ def test_vendor_layouts(spark):
     lots = spark.createDataFrame([("600000.SH", "20240105", 1.0, 2.0, 0.5, 1.5, 3.0, 4.0, 5.0)], "ts_code string, trade_date string, open double, high double, low double, close double, vol double, amount double, pct_chg double")
     r = B.normalize_vendor(lots, "stock_lots").first()
     assert (r.trade_date, r.vol, r.turnover_rate) == (D(2024, 1, 5), 300.0, None)
+    assert B.normalize_vendor(lots, "index_lots").first().vol == 3.0  # an index comes in shares
     frac = spark.createDataFrame([("600000.SH", "2024-01-05", 1.0, 2.0, 0.5, 1.5, 3.0, 0.25)], "code string, date string, open double, high double, low double, close double, volume double, turnover double")
     assert B.normalize_vendor(frac, "stock_fraction").first().turnover_rate == 25.0
 

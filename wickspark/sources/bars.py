@@ -32,6 +32,8 @@ LAYOUTS = {
                        "volume": "vol", "amount": "amount", "turnover": "turnover_rate"},
     "stock_lots": {"trade_date": "trade_date", "open": "open", "high": "high", "low": "low", "close": "close",
                    "vol": "vol", "amount": "amount", "pct_chg": "pct_chg"},
+    "index_lots": {"trade_date": "trade_date", "open": "open", "high": "high", "low": "low", "close": "close",
+                   "vol": "vol", "amount": "amount", "pct_chg": "pct_chg"},
     "stock_plain": {"date": "trade_date", "open": "open", "high": "high", "low": "low", "close": "close", "volume": "vol"},
 }
 SCALES = {("stock_fraction", "turnover_rate"): 100.0, ("stock_lots", "vol"): 100.0}

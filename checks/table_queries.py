@@ -468,6 +468,8 @@ add("daily_security_performance", lambda s, d: D.security_performance(_loads(s,
     _SCAN_FEW[:-1] + f", {S.UNIVERSE} SELECT code, coalesce(name, '') AS name, {S.group_of()} AS type, side, side || '_' || pattern AS strategy, {S.cn()} AS pattern_cn, win_rate, return_pct, sharpe, max_drawdown, trades FROM scan LEFT JOIN universe USING (code)")
 add("daily_retry_set", lambda s, d: D.retry_set(A.universe(s, d).select("code"), _few_signals(s, d)),
     S.with_(*_FEWDAY) + "SELECT code FROM universe WHERE code NOT IN (SELECT code FROM day)")
+add("daily_retry_set_of_day", lambda s, d: D.retry_set(A.universe(s, d).select("code"), A.bars(s, d).filter(F.col("trade_date") == END)),
+    S.with_(S.BARS, S.UNIVERSE) + f"SELECT code FROM universe WHERE code NOT IN (SELECT code FROM bars WHERE trade_date = DATE '{END}')")
 add("metric_tracking_summary",
     lambda s, d: M.tracking_summary(D.tier(_judged(s, d)), A.universe(s, d).select("code", K.is_index_short(F.col("code")).alias("is_index"), (F.col("board") == "excluded").alias("failed"))),
     _PERFJ[:-1] + f""", t AS (SELECT g.code, g.side, p.win_rate, {_TIER} AS tier FROM {_GJ})

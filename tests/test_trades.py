@@ -165,3 +165,29 @@ def test_equity_curve_by_loop(spark):
         assert list(mine.trade_date) == list(g.trade_date) and all(abs(a - b) < 1e-3 for a, b in zip(mine.equity, want))
         accounts, bars_seen = accounts + 1, bars_seen + len(g)
     assert accounts > 5 and len(curve) == bars_seen
+
+
+@pytest.mark.parametrize("hold,cautious", [(2, False), (3, True)])
+def test_accounts_in_place_match_windows(spark, data, hold, cautious):
+    """Accounts formed from one row per code against candidates gathered per account and marks in windows."""
+    bars, keys = spark.createDataFrame(data), ["code", "pattern", "side"]
+    old = T.select_trades(T.candidate_trades(bars, NAMES, hold, cautious))
+    new = T.pattern_trades(bars, NAMES, hold, cautious)
+    assert old.exceptAll(new).count() == 0 and new.exceptAll(old).count() == 0 and old.count() > 0
+    want = M.account_metrics(old).toPandas().sort_values(keys).reset_index(drop=True)
+    got = M.account_figures(T.pattern_accounts(bars, NAMES, hold, cautious)).toPandas()
+    pd.testing.assert_frame_equal(got[want.columns].sort_values(keys).reset_index(drop=True), want, check_exact=True)
+    results = M.scan_patterns(bars, hold=hold, cautious=cautious, buy=NAMES, sell=NAMES)
+    nested = M.pattern_result(results, old)
+    in_place = M.pattern_result(M.scan_patterns(bars, hold=hold, cautious=cautious, buy=NAMES, sell=NAMES, details=True))
+    assert nested.select(sorted(nested.columns)).exceptAll(in_place.select(sorted(nested.columns))).count() == 0 and nested.count() == in_place.count()
+
+
+def test_scan_and_sweep_neither_join_nor_sort_accounts(spark, data, tmp_path):
+    path = str(tmp_path / "bars")
+    spark.createDataFrame(data).write.parquet(path)
+    bars = spark.read.parquet(path)
+    for df in (M.scan_patterns(bars, buy=NAMES, sell=NAMES), M.observe_day_sweep(bars, NAMES, (1, 4))):
+        text = df._jdf.queryExecution().executedPlan().toString()
+        windows = [line for line in text.splitlines() if "windowspecdefinition" in line]
+        assert text.count("Exchange") == 1 and "Join" not in text and windows and not any("windowspecdefinition(code" in w and "pattern" in w for w in windows)

@@ -191,3 +191,17 @@ def test_scan_and_sweep_neither_join_nor_sort_accounts(spark, data, tmp_path):
         text = df._jdf.queryExecution().executedPlan().toString()
         windows = [line for line in text.splitlines() if "windowspecdefinition" in line]
         assert text.count("Exchange") == 1 and "Join" not in text and windows and not any("windowspecdefinition(code" in w and "pattern" in w for w in windows)
+
+
+def test_equity_in_place_matches_windows(spark, data):
+    """Marks and curves of accounts in place against those of windows and joins; the plan neither joins nor sorts accounts."""
+    bars = spark.createDataFrame(data)
+    trades = T.pattern_trades(bars, NAMES)
+    marks, curve = T.account_marks(T.pattern_accounts(bars, NAMES)), T.account_curve(T.pattern_accounts(bars, NAMES, also=["_dates"]))
+    old = T.marked_returns(T.marks(trades)).select(marks.columns)
+    for new, want, keys in ((marks, old, [*T.KEYS, "bar_idx"]), (curve, T.equity_curve(bars, trades).select(curve.columns), [*T.KEYS, "bar_idx"])):
+        a, b = (x.toPandas().sort_values(keys).reset_index(drop=True) for x in (new, want))
+        assert len(a) > 500
+        pd.testing.assert_frame_equal(a, b, check_exact=True)
+        plan = new._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "pattern" not in "".join(line for line in plan.splitlines() if "Window [" in line)

@@ -205,3 +205,13 @@ def test_equity_in_place_matches_windows(spark, data):
         pd.testing.assert_frame_equal(a, b, check_exact=True)
         plan = new._jdf.queryExecution().optimizedPlan().toString()
         assert "Join" not in plan and "pattern" not in "".join(line for line in plan.splitlines() if "Window [" in line)
+
+
+def test_compare_holds_in_place(spark, data):
+    """The differences between two holding periods, as the join of their trades gives them; the plan has no join."""
+    bars = spark.createDataFrame(data)
+    new = T.compare_holds(bars, NAMES, 2, 3)
+    old = T.compare_trades(T.pattern_trades(bars, NAMES), T.pattern_trades(bars, NAMES, hold=3))
+    a, b = (sorted(map(tuple, x.select(*T.KEYS, "trade_no", "difference").collect())) for x in (new, old))
+    assert a == b and {"only_a", "exit_date", "size", "hold_max_drawdown"} <= {x[-1] for x in a}
+    assert "Join" not in new._jdf.queryExecution().optimizedPlan().toString()

@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 
 from tests.series import random_bars
-from wickspark.operators import combined as C, rules as R
+from wickspark.operators import combined as C, metrics as M, rules as R
 
 FEE = 0.0001
 
@@ -192,6 +192,18 @@ def test_pool_shortening_is_exact(spark, data, slots):
     assert list(zip(got.signal_date, got.code, got["size"])) == want and len(want) > slots
 
 
+def test_pool_judges_figures_once_they_are_formed(spark, data):
+    """A filter on the figures of a scan pushed below them forms the account again for every mention; the scan's result as a table decides the same."""
+    bars = spark.createDataFrame(data)
+    scan = M.scan_patterns(bars, buy=["CDLSHORTLINE", "CDLDOJI"], sell=())
+    lazy = C.pool_candidates(bars, scan)
+    plan = lazy._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "aggregate(" in line]
+    table = spark.createDataFrame(scan.toPandas(), scan.schema)
+    want = C.pool_candidates(bars, table).orderBy("code", "signal_date").collect()
+    assert lazy.orderBy("code", "signal_date").collect() == want
+
+
 def test_sweep_and_best(spark, data):
     bars = spark.createDataFrame(data)
     grid = [{"n": 10, "diff": 0.01}, {"n": 20, "diff": 0.02}, {"n": 20, "diff": 0.02}]

@@ -215,3 +215,35 @@ def test_compare_holds_in_place(spark, data):
     a, b = (sorted(map(tuple, x.select(*T.KEYS, "trade_no", "difference").collect())) for x in (new, old))
     assert a == b and {"only_a", "exit_date", "size", "hold_max_drawdown"} <= {x[-1] for x in a}
     assert "Join" not in new._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("cash,part", [(1e8, 1 << 20), (12_000.0, 40)])
+def test_sweep_in_numpy_matches_sql(spark, data, monkeypatch, cash, part):
+    """Accounts of several periods against those folded in SQL, digit by digit: gaps, prices of 0, a code without a name, cash for few lots, codes one by one."""
+    from wickspark.operators import ledgers
+    monkeypatch.setattr(ledgers, "PART", part)
+    rng = np.random.default_rng(4)
+    rows = data[data.code < "600012.SH"].astype({"code": object})
+    rows.loc[rows.code == "600003.SH", "code"] = None
+    for c in ("open", "high", "low", "close"):
+        rows[c] = rows[c].where(rng.random(len(rows)) > 0.05, np.where(rng.random(len(rows)) > 0.5, 0.0, np.nan))
+    rows = rows.astype(object).where(rows.notna(), None)
+    bars = spark.createDataFrame(rows, "code string, trade_date date, open double, high double, low double, close double, vol double")
+    names, days = [*NAMES, "CDLMARUBOZU"], (1, 2, 3, 9)
+    cells = [(n, side) for n in names for side in ("buy", "sell")]
+    keys = ["code", "observe_day", "pattern", "side"]
+    folded = T.folded(T.code_candidates(T.code_rows(bars, names, cells), cells, days).withColumnRenamed("hold", "observe_day"), cash, keys, traded=True)
+    want = M.account_figures(folded, cash, keys).drop("final_value").toPandas()
+    got = M.observe_day_sweep(bars, names, days, cash)
+    assert "aggregate(" not in got._jdf.queryExecution().optimizedPlan().toString()  # a lambda for each candidate and mark
+    a, b = (x[want.columns].sort_values(keys).reset_index(drop=True) for x in (got.toPandas(), want))
+    assert len(b) > 150 and b.code.isna().any() and (b.won < b.trades).any()
+    pd.testing.assert_frame_equal(a, b, check_exact=True)
+
+
+def test_round_two_as_spark(spark):
+    from wickspark.operators.ledgers import round_two
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(0, 30, 2000), np.arange(-400, 400) / 200 + 1, [1.005, -2.675, 1e-9, 8.5e9 + 0.005, 1e17, -1e17, 0.0, np.inf, -np.inf, np.nan]])
+    want = spark.createDataFrame(pd.DataFrame({"i": range(len(x)), "x": x})).selectExpr("i", "round(x, 2) AS r").toPandas().sort_values("i").r.to_numpy()
+    assert np.array_equal(round_two(x), want, equal_nan=True)

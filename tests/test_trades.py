@@ -247,3 +247,44 @@ def test_round_two_as_spark(spark):
     x = np.concatenate([rng.normal(0, 30, 2000), np.arange(-400, 400) / 200 + 1, [1.005, -2.675, 1e-9, 8.5e9 + 0.005, 1e17, -1e17, 0.0, np.inf, -np.inf, np.nan]])
     want = spark.createDataFrame(pd.DataFrame({"i": range(len(x)), "x": x})).selectExpr("i", "round(x, 2) AS r").toPandas().sort_values("i").r.to_numpy()
     assert np.array_equal(round_two(x), want, equal_nan=True)
+
+
+def test_figures_are_judged_once_they_are_formed(spark, data):
+    """A filter on a scan's figures is no part of the formulas that form the account: no fold of trades stands in it, and it gives the rows of the whole scan."""
+    from wickspark.operators import daily as D
+    bars = spark.createDataFrame(data)
+    scan = M.scan_patterns(bars, buy=NAMES, sell=NAMES)
+    folds = [df._jdf.queryExecution().optimizedPlan().toString().count("cash_before, ") for df in (
+        D.legacy_filter(scan), D.legacy_filter(M.scan_patterns(bars, buy=NAMES, sell=NAMES, details=True)), M.scan_patterns(bars, buy=NAMES, sell=NAMES, details=True),
+        D.legacy_filter(M.account_figures(T.pattern_accounts(bars, NAMES))), M.account_figures(T.pattern_accounts(bars, NAMES)))]
+    assert folds[0] == 0 and folds[1] == folds[2] and folds[3] == folds[4]
+    want = scan.toPandas()
+    want = want[(want.win_rate > 50) & (want.return_pct > 0)]
+    assert 0 < len(want) < scan.count() and sorted(map(tuple, D.legacy_filter(scan).toPandas().values)) == sorted(map(tuple, want.values))
+
+
+def test_scan_in_numpy_matches_sql(spark, data):
+    """The scan's figures against those of its detailed form, which folds accounts in SQL; accounts without a trade, a code with one bar and years given among them."""
+    bars = spark.createDataFrame(pd.concat([data, data[data.code == "600001.SH"].head(1).assign(code="one")]))
+    names = [*NAMES, "CDLBREAKAWAY"]
+    for asked in ({}, {"hold": 4, "cash": 15_000.0, "cautious": True, "start": "2020-01-01", "end": "2020-12-31"}):
+        got, want = (M.scan_patterns(bars, buy=names, sell=["CDLDOJI", "CDLDOJI"], details=d, **asked).drop("trade_details").toPandas() for d in (False, True))
+        a, b = (x.sort_values(list(T.KEYS)).reset_index(drop=True) for x in (got, want))
+        assert len(b) == 31 * 6 and (b.trades == 0).any() and (b.trades > 0).any()
+        pd.testing.assert_frame_equal(a, b, check_exact=True)
+
+
+def test_signals_of_days_pass_few_bars_to_wide_windows(spark, data):
+    """Signals of far and near days as the whole history gives them; what is far from any asked day is left out before the wide windows."""
+    from wickspark.operators import daily as D
+    bars = spark.createDataFrame(pd.concat([data, data[data.code == "600002.SH"].head(5).assign(code="few")]))
+    for days in (["2020-01-07", "2020-05-04"], "2020-04-15", ["2030-01-01"]):
+        asked = [days] if isinstance(days, str) else days
+        whole = candles.signals(bars, NAMES).filter("bar_idx >= 3")
+        want = whole.filter(whole.trade_date.cast("string").isin(asked)).selectExpr("code", "trade_date", "pattern AS fired", "value")
+        got = D.daily_signals(bars, days, NAMES)
+        key = ["code", "trade_date", "fired", "value"]
+        assert sorted(map(tuple, got.select(key).toPandas().values)) == sorted(map(tuple, want.select(key).toPandas().values))
+        assert (got.count() > 0) == (days != ["2030-01-01"])
+    text = got._jdf.queryExecution().optimizedPlan().toString()
+    assert text.index("isnotnull(_hi") > text.index("avg(")  # below, and so before, the rolling means
